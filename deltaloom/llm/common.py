@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 #: The white space that separates words, as bytes: space, tab to carriage return.
 WORD_SPACE = np.zeros(256, bool)
 WORD_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+#: White space, control characters and ASCII punctuation: only letters, digits and all beyond ASCII make words.
+LOOSE_SPACE = np.array([c < 128 and not chr(c).isalnum() for c in range(256)])
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _U = np.uint64
@@ -93,10 +95,10 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS[0], _POWERS[1]
 
 
-def word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(column: pa.Array, space: np.ndarray = WORD_SPACE) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the lower-cased words of every text, and each text's word count.
 
-    A word is a maximal run of bytes other than white space; A-Z are lower-cased. Nulls
+    A word is a maximal run of bytes that ``space`` doesn't mark; A-Z are lower-cased. Nulls
     and empty texts have no words. All texts of the array are hashed at once: prefix sums
     of a polynomial over the bytes give every word's hash without a loop.
     """
@@ -112,7 +114,7 @@ def word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     if not len(raw):
         return np.zeros(0, np.uint64), np.zeros(n, np.int64)
     bounds = bounds - bounds[0]
-    solid = ~WORD_SPACE[raw]
+    solid = ~space[raw]
     start = solid.copy()
     start[1:] &= ~solid[:-1]
     cuts = bounds[1:-1][bounds[1:-1] < len(raw)]

@@ -6,10 +6,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_rank, pivot_search, sentencepiece_codec, token_planes, toxicity
+from . import decontaminate, html_mincut, language_rank, ngram_join, pivot_search, sentencepiece_codec, token_planes, toxicity, warc_bundles
 from .common import table
 
 
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -18,12 +22,24 @@ def op3_pivot_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pivot_search.top_k(table(spark, sf_dir, "embeddings"), k=5, query_modulus=50, scale=256.0)
 
 
+def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.link_components(table(spark, sf_dir, "documents"), width=5, percent=75)
+
+
 def op6_language_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     profiles = language_rank.train_profiles(docs.where(~language_rank.held_out(F.col("doc_id"))))
     return language_rank.identify(docs, profiles).select("doc_id", F.coalesce(language_rank.held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_bundles.archive_and_read(table(spark, sf_dir, "pages"), least=0).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op8_html_mincut(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_mincut.extract(table(spark, sf_dir, "pages"))
+
+
 def op9_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_planes.store_and_read(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1)
 
@@ -34,7 +50,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", F.coalesce(language_rank.held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", "predicted")
 
 
-QUERIES = {f.__name__: f for f in (op2_sentencepiece, op3_pivot_topk, op6_language_rank, op9_token_planes, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_sentencepiece, op3_pivot_topk, op5_ngram_join, op6_language_rank, op7_warc, op8_html_mincut, op9_token_planes, op10_toxicity)}
 
 ORACLES = {
     "op3_pivot_topk": """

@@ -28,7 +28,7 @@ class publish:
         self.store, path = _at(self.folder)
         self.store.create_dir(path, recursive=True)
         self.temp, self.final = f"{path}/.{self.name}", f"{path}/{self.name}"
-        return self.store.open_output_stream(self.temp)
+        return self.store.open_output_stream(self.temp, compression=None)
 
     def done(self) -> str:
         self.store.move(self.temp, self.final)
