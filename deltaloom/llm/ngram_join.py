@@ -3,18 +3,24 @@
 Every document is the set of its distinct word shingles, hashed to 64 bits. Two documents
 link when 100 * intersection >= percent * union.
 
-1. Prefix keys. With all shingles in one global order, two linked sets of sizes a and b
-   share one of their first a - ceil(t*a) + 1 and b - ceil(t*b) + 1 shingles. The order
-   puts shingles that are frequent in the corpus last, so common passages rarely lead two
-   documents together. It is only an order: whatever it is, no link is lost.
-2. Groups. Documents that share a prefix key are in one group (connected components), so
-   all links lie inside groups. Equal sets are one member.
-3. Blocks. Groups are dealt into blocks of bounded size. In a block an inverted index is
+1. Shared shingles. A set of n shingles links with nothing unless ceil(t*n) of them occur
+   in another document. The hashes are dealt by range, in packed sorted runs, and every
+   document's shared ones are counted; only documents with enough of them go on. A hash
+   that a slice of documents holds more than once is counted there and shipped once.
+2. Prefix keys. The same is done once more among the remaining sets, and gives each its
+   shingles that any other of them has; only these can meet. With all shingles in one
+   global order, two linked sets of sizes a and b share one of their first a - ceil(t*a) + 1
+   and b - ceil(t*b) + 1 shingles, and neither is larger than the other's size over t. The
+   order has the unshared shingles first, which meet nothing, and those of common passages
+   last; it is only an order, so whatever it is, no link is lost.
+3. Groups. Documents that share a prefix key at fitting sizes are in one group (connected
+   components), so all links lie inside groups. Equal sets are one member.
+4. Blocks. Groups are dealt into blocks of bounded size. In a block an inverted index is
    built, and each member is searched in it: of its lists the longest are set apart, the
    short ones are merged through a heap, and only what occurs often enough in those is
    looked up in the long ones by binary search. What reaches the required overlap is
    compared exactly. Members already connected aren't compared again.
-4. Groups of several blocks are then closed: representatives of the blocks' components
+5. Groups of several blocks are then closed: representatives of the blocks' components
    are searched among themselves, and at last all members outside a group's largest
    component are searched against every block of the group. Pairs inside one component
    need no comparison, so this is exact and stays linear for groups of near copies.
@@ -58,45 +64,156 @@ def shingle_sets(batches, width: int, rows: int = 512, size: int = 8 << 20):
         yield b, [np.unique(shingle_hashes(words[e - c : e], width)) for e, c in zip(ends, counts)]
 
 
-def frequent_shingles(docs: DataFrame, width: int, most: int = 100_000) -> np.ndarray:
-    """Shingles seen often in the corpus, rarest first; at most ``most`` numbers.
+def _deltas(keys: np.ndarray) -> bytes:
+    steps = np.diff(keys, prepend=np.uint64(0))
+    if len(steps) > 1 and int(steps[1:].max()) < 1 << 32:
+        return b"4" + keys[:1].tobytes() + steps[1:].astype("<u4").tobytes()
+    return b"8" + keys.tobytes()
 
-    Each slice of rows counts the shingles that three or more of its distinct sets have;
-    the counts of all slices are summed. The list only orders shingles.
+
+def _undeltas(data: bytes) -> np.ndarray:
+    if data[:1] == b"8":
+        return np.frombuffer(data, np.uint64, offset=1)
+    return np.cumsum(np.concatenate([np.frombuffer(data, np.uint64, 1, 1), np.frombuffer(data, "<u4", offset=9).astype(np.uint64)]))
+
+
+def shared_counts(rows: DataFrame, width: int, parts: int) -> DataFrame:
+    """(sig, shared): shingles of each set that other documents, or copies of it, have too.
+
+    ``rows`` are (doc_id, text). Counts of a set with copies are sums over its copies.
     """
 
-    def run(batches):
-        for _, sets in shingle_sets(batches, width, 4096, 24 << 20):
-            distinct = {signature(s): s for s in sets if len(s)}
-            if not distinct:
+    def deal(batches):
+        for b, sets in shingle_sets(batches, width, 4096, 16 << 20):
+            sets = [s for s, d in zip(sets, b.column(0).is_valid().to_pylist()) if d and len(s)]
+            if sets:
+                yield _dealt(sets, np.array([signature(s) for s in sets], np.int64), parts, 16)
+
+    met = rows.mapInArrow(deal, _RUN).repartition(parts, "part").mapInArrow(lambda batches: _meet(batches, False), "sig long, shared long, keys binary")
+    return met.groupBy("sig").agg(F.sum("shared").alias("shared"))
+
+
+def shared_keys(sets: DataFrame, percent: int, parts: int) -> DataFrame:
+    """(sig, n, keys): each set's shingles that another of ``sets`` (sig, n, shingles) has.
+
+    Sets that have too few of them to link are left out.
+    """
+
+    def deal(batches):
+        for b in pieces(batches, 4096, 32 << 20):
+            held = [np.frombuffer(x, np.uint64) for x in b.column(2).to_pylist()]
+            yield _dealt(held, np.asarray(b.column(0)), parts, 0)
+
+    def gather(batches):
+        for (sig,), t in _by_key(batches, ["sig"]):
+            n = max(t["n"].to_pylist())
+            keys = np.sort(np.concatenate([np.frombuffer(x, np.uint64) for x in t["keys"].to_pylist()]))
+            if len(keys) * 100 >= n * percent:
+                yield pa.RecordBatch.from_arrays([pa.array([sig]), pa.array([n]), pa.array([keys.tobytes()], pa.binary())], names=["sig", "n", "keys"])
+
+    met = sets.mapInArrow(deal, _RUN).repartition(parts, "part").mapInArrow(lambda batches: _meet(batches, True), "sig long, shared long, keys binary")
+    whole = sets.select("sig", F.col("n"), F.lit(b"").alias("keys"))
+    return met.select("sig", F.lit(0).cast("long").alias("n"), "keys").union(whole).repartition(parts, "sig").sortWithinPartitions("sig").mapInArrow(gather, "sig long, n long, keys binary")
+
+
+_RUN = "part int, sigs binary, counts binary, keys binary, owners binary"
+
+
+def _dealt(sets: list[np.ndarray], sigs: np.ndarray, parts: int, drop: int) -> pa.RecordBatch:
+    """A slice's runs by part, and one row of what the slice itself holds more than once.
+
+    That row's counts are negative: less the number of each set's keys, which follow.
+    """
+    flat = np.concatenate(sets) >> np.uint64(drop)
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    order = np.argsort(flat, kind="stable")
+    flat, owner = flat[order], owner[order]
+    new = np.concatenate([[True], flat[1:] != flat[:-1]])
+    lone = new & np.append(new[1:], True)
+    by = np.argsort(owner[~lone], kind="stable")
+    again = np.bincount(owner[~lone], minlength=len(sets))
+    out = [(int(sigs[0] % parts), sigs.tobytes(), (-again).astype("<i8").tobytes(), b"" if drop else flat[~lone][by].tobytes(), b"")]
+    keys, owners = flat[new], np.where(lone[new], owner[new], len(sets))
+    cuts = np.searchsorted(keys, np.array([(k << 64 - drop) // parts for k in range(parts)], np.uint64))
+    for part, (lo, hi) in enumerate(zip(cuts, [*cuts[1:], len(keys)])):
+        if lo < hi:
+            named, at = np.unique(owners[lo:hi], return_inverse=True)
+            out.append((part, np.append(sigs, 0)[named].tobytes(), (named < len(sets)).astype("<i8").tobytes(), _deltas(keys[lo:hi]), at.astype("<u2").tobytes()))
+    kinds = [pa.int32(), *[pa.binary()] * 4]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=[x.split()[0] for x in _RUN.split(", ")])
+
+
+def _meet(batches, with_keys: bool):
+    """Per part: which keys several slices hold, as counts or keys of their owners.
+
+    A part is a range of hashes, as large as its share of all; a key that is common holds
+    one entry for each slice of documents, not for each document.
+    """
+    names = ["sig", "shared", "keys"]
+    held: dict[int, list] = {}
+    for b in batches:
+        for part, sigs, counts, keys, owners in zip(*(c.to_pylist() for c in b.columns)):
+            sigs, counts = np.frombuffer(sigs, np.int64), np.frombuffer(counts, "<i8")
+            if owners:
+                held.setdefault(part, []).append((_undeltas(keys), np.frombuffer(owners, "<u2"), sigs, counts))
                 continue
-            flat = np.sort(np.concatenate(list(distinct.values())))
+            cuts = np.cumsum([0, *-counts]) * 8
+            own = [keys[lo:hi] for lo, hi in zip(cuts, cuts[1:])] if with_keys else [None] * len(sigs)
+            yield pa.RecordBatch.from_arrays([pa.array(sigs), pa.array(-counts), pa.array(own, pa.binary())], names=names)
+    for runs in held.values():
+        keys = np.concatenate([r[0] for r in runs])
+        base = np.cumsum([0, *[len(r[2]) for r in runs]])
+        owner = np.concatenate([r[1].astype(np.int64) + at for r, at in zip(runs, base)])
+        sigs, real = np.concatenate([r[2] for r in runs]), np.concatenate([r[3] for r in runs])
+        order = np.argsort(keys, kind="stable")
+        keys, owner = keys[order], owner[order]
+        new = np.concatenate([[True], keys[1:] != keys[:-1]])
+        many = ~(new & np.append(new[1:], True)) & (real[owner] > 0)
+        keys, owner = keys[many], owner[many]
+        n = np.bincount(owner, minlength=len(sigs))
+        some = np.flatnonzero(n)
+        if with_keys:
+            raw = keys[np.argsort(owner, kind="stable")].tobytes()
+            cuts = np.cumsum([0, *n[some]]) * 8
+            own = [raw[lo:hi] for lo, hi in zip(cuts, cuts[1:])]
+        else:
+            own = [None] * len(some)
+        yield pa.RecordBatch.from_arrays([pa.array(sigs[some]), pa.array(n[some].astype(np.int64)), pa.array(own, pa.binary())], names=names)
+
+
+def common_keys(shared: DataFrame, most: int = 100_000) -> np.ndarray:
+    """Shingles that many sets share, rarest first; at most ``most`` numbers.
+
+    Each slice of sets counts those that three or more of them have, and the counts of all
+    slices are summed. The list only orders shingles.
+    """
+
+    def run(batches):
+        for b in pieces(batches, 4096, 32 << 20):
+            flat = np.sort(np.concatenate([np.frombuffer(x, np.int64) for x in b.column(2).to_pylist()]))
             first = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]]))
             n = np.diff(np.append(first, len(flat)))
             keep = n >= 3
-            yield pa.RecordBatch.from_arrays([pa.array(flat[first[keep]].view(np.int64)), pa.array(n[keep].astype(np.int64))], names=["key", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(flat[first[keep]]), pa.array(n[keep].astype(np.int64))], names=["key", "n"])
 
-    top = docs.mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "key").limit(most).toArrow()
-    return np.asarray(top["key"]).astype(np.int64).view(np.uint64)[::-1] if top.num_rows else np.zeros(0, np.uint64)
+    top = shared.mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "key").limit(most).toArrow()
+    return np.asarray(top["key"]).astype(np.int64)[::-1].view(np.uint64) if top.num_rows else np.zeros(0, np.uint64)
 
 
-def prefix_keys(shingles: np.ndarray, percent: int, common: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The first shingles in the global order, and which of them are frequent.
+def prefix_keys(keys: np.ndarray, n: int, percent: int, common: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Of a set of n shingles whose shared ones are ``keys``: those of its prefix.
 
-    ``common`` is sorted, ``place`` the rank of each.
+    ``common`` is sorted, ``place`` the rank of each in the global order.
     """
-    n = len(shingles)
-    p = n - required(n, percent) + 1
-    if len(common):
-        at = np.minimum(np.searchsorted(common, shingles), len(common) - 1)
-        often = common[at] == shingles
-        rare = shingles[~often]
-        if len(rare) < p:
-            late = at[often]
-            late = late[np.argsort(place[late], kind="stable")][: p - len(rare)]
-            return np.concatenate([rare, common[late]]), np.concatenate([np.zeros(len(rare), bool), np.ones(len(late), bool)])
-        shingles = rare
-    return shingles[:p], np.zeros(p, bool)
+    p = len(keys) - required(n, percent) + 1
+    if p <= 0 or not len(common):
+        return keys[: max(p, 0)]
+    at = np.minimum(np.searchsorted(common, keys), len(common) - 1)
+    often = common[at] == keys
+    rare, late = keys[~often], at[often]
+    if len(rare) >= p:
+        return rare[:p]
+    return np.concatenate([rare, common[late[np.argsort(place[late], kind="stable")][: p - len(rare)]]])
 
 
 class Forest:
@@ -123,11 +240,12 @@ class Forest:
 class DivideSkip:
     """Inverted lists over the sets of a block, and T-occurrence search in them."""
 
-    def __init__(self, sets: list[np.ndarray], percent: int, mu: float = 0.01):
-        self.sets, self.percent, self.mu = sets, percent, mu
-        self.sizes = np.array([len(s) for s in sets])
+    def __init__(self, sets: list[np.ndarray], sizes: np.ndarray, percent: int, mu: float = 0.01):
+        """``sets`` hold the shingles that can meet, ``sizes`` how many there are in all."""
+        self.sets, self.sizes, self.percent, self.mu = sets, sizes, percent, mu
+        held = np.array([len(s) for s in sets])
         flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
-        owner = np.repeat(np.arange(len(sets)), self.sizes)
+        owner = np.repeat(np.arange(len(sets)), held)
         order = np.argsort(flat, kind="stable")
         flat, self.owners = flat[order], owner[order]
         first = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]])) if len(flat) else np.zeros(0, int)
@@ -135,7 +253,7 @@ class DivideSkip:
         self.starts = first
         self.places = np.empty(len(flat), int)  # of each set's shingles in turn: their list
         self.places[order] = np.repeat(np.arange(len(first)), self.lengths)
-        self.offsets = np.concatenate([[0], np.cumsum(self.sizes)])
+        self.offsets = np.concatenate([[0], np.cumsum(held)])
 
     def search(self, q: int, alive: np.ndarray) -> list[int]:
         """Members of ``alive`` that may link with member q, for exact comparison.
@@ -187,20 +305,20 @@ class DivideSkip:
         return out
 
     def linked(self, i: int, j: int) -> bool:
-        a, b = self.sets[i], self.sets[j]
-        if min(len(a), len(b)) * 100 < self.percent * max(len(a), len(b)):
+        a, b = int(self.sizes[i]), int(self.sizes[j])
+        if min(a, b) * 100 < self.percent * max(a, b):
             return False
-        both = len(np.intersect1d(a, b, assume_unique=True))
-        return 100 * both >= self.percent * (len(a) + len(b) - both)
+        both = len(np.intersect1d(self.sets[i], self.sets[j], assume_unique=True))
+        return 100 * both >= self.percent * (a + b - both)
 
 
-def link_block(sets: list[np.ndarray], groups: np.ndarray, asks: np.ndarray, percent: int) -> list[tuple[int, int]]:
+def link_block(sets: list[np.ndarray], sizes: np.ndarray, groups: np.ndarray, asks: np.ndarray, percent: int) -> list[tuple[int, int]]:
     """A spanning forest of the links of a block, as pairs of member numbers.
 
     ``groups`` numbers what is connected already; members of one number aren't compared.
     ``asks`` says which members are queries; each of them meets all others.
     """
-    index, forest = DivideSkip(sets, percent), Forest(len(sets))
+    index, forest = DivideSkip(sets, sizes, percent), Forest(len(sets))
     first: dict[int, int] = {}
     for i, g in enumerate(groups):
         forest.join(first.setdefault(g, i), i)
@@ -209,7 +327,8 @@ def link_block(sets: list[np.ndarray], groups: np.ndarray, asks: np.ndarray, per
     done = np.zeros(len(sets), bool)
     for q in np.flatnonzero(asks):
         done[q] = True
-        alive = (comp != comp[q]) & ~done
+        fits = (sizes * percent <= sizes[q] * 100) & (sizes[q] * percent <= sizes * 100)
+        alive = (comp != comp[q]) & ~done & fits
         if not alive.any():
             continue
         for c in index.search(int(q), alive):
@@ -240,7 +359,7 @@ def _by_key(batches, names):
 
 
 def _search_blocks(rows: DataFrame, percent: int, tasks: int) -> DataFrame:
-    """Links (u, v) found in blocks of rows (grp, block, sig, comp, asks, shingles)."""
+    """Links (u, v) found in blocks of rows (grp, block, sig, comp, asks, n, keys)."""
 
     def run(batches):
         for _, t in _by_key(batches, ["grp", "block"]):
@@ -253,13 +372,13 @@ def _search_blocks(rows: DataFrame, percent: int, tasks: int) -> DataFrame:
                 asks = asks[first]
             if len(sig) < 2 or not asks.any():
                 continue
-            raw = t["shingles"].take(pa.array(first)).to_pylist()
-            got = link_block([np.frombuffer(x, np.uint64) for x in raw], np.asarray(t["comp"])[first], asks, percent)
+            raw = t["keys"].take(pa.array(first)).to_pylist()
+            got = link_block([np.frombuffer(x, np.uint64) for x in raw], np.asarray(t["n"])[first], np.asarray(t["comp"])[first], asks, percent)
             if got:
                 at = np.array(got)
                 yield pa.RecordBatch.from_arrays([pa.array(sig[at[:, 0]]), pa.array(sig[at[:, 1]])], names=["u", "v"])
 
-    dealt = rows.select("grp", "block", "sig", "comp", "asks", "shingles").repartition(tasks, "grp", "block").sortWithinPartitions("grp", "block")
+    dealt = rows.select("grp", "block", "sig", "comp", "asks", "n", "keys").repartition(tasks, "grp", "block").sortWithinPartitions("grp", "block")
     return dealt.mapInArrow(run, "u long, v long")
 
 
@@ -267,7 +386,11 @@ def _tasks(spark) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
 
 
-def link_components(docs: DataFrame, width: int = 5, percent: int = 75, block: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _edges(rows: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(rows[:, i])) for i in range(5)], names=["key", "u", "v", "lo", "hi"])
+
+
+def link_components(docs: DataFrame, width: int = 5, percent: int = 75, block: int = 1024, broadcast_rows: int = 500_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles and component_id of every document.
 
     Words are runs of non-white-space with A-Z lower-cased. A text of fewer than ``width``
@@ -288,71 +411,84 @@ def link_components(docs: DataFrame, width: int = 5, percent: int = 75, block: i
     described = materialise(rows.mapInArrow(describe, "doc_id long, n_shingles long, sig long"), "described")
     usable = described.where("doc_id is not null and n_shingles > 0")
 
-    ranked = frequent_shingles(rows, width)
+    # one row for each set, of the document with the smallest id
+    firsts = usable.groupBy("sig").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.count("*").alias("copies"))
+    enough = F.col("shared") * 100 >= F.col("n") * F.col("copies") * percent
+    apt = materialise(firsts.join(shared_counts(rows, width, tasks), "sig").where(enough).select("sig", "doc_id"), "apt")
+    wanted = F.broadcast(apt) if apt.count() <= broadcast_rows else apt
+
+    def sets_of(batches):
+        for b, sets in shingle_sets(batches, width):
+            right = [i for i, (s, g) in enumerate(zip(sets, b.column(0).to_pylist())) if signature(s) == g]
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(right, pa.int64())), pa.array([len(sets[i]) for i in right], pa.int64()), pa.array([sets[i].tobytes() for i in right], pa.binary())], names=["sig", "n", "shingles"])
+
+    sets = materialise(rows.where("text is not null").join(wanted, "doc_id").select("sig", "text").mapInArrow(sets_of, "sig long, n long, shingles binary"), "sets")
+
+    sets = materialise(shared_keys(sets, percent, tasks), "shared")
+    ranked = common_keys(sets)
     common = np.sort(ranked)
     place = np.empty(len(ranked), np.int64)
     place[np.searchsorted(common, ranked)] = np.arange(len(ranked))
-    held = spark.sparkContext.broadcast((common, place))  # at most 100,000 pairs of numbers
+    held_order = spark.sparkContext.broadcast((common, place))  # at most 100,000 pairs of numbers
 
     def postings(batches):
-        known, ranks = held.value
-        for b, sets in shingle_sets(batches, width):
-            keys, often, sigs, seen = [], [], [], set()
-            for d, s in zip(b.column(0).is_valid().to_pylist(), sets):
-                sig = signature(s)
-                if d and len(s) and sig not in seen:
-                    seen.add(sig)
-                    k, o = prefix_keys(s, percent, known, ranks)
-                    keys.append(k)
-                    often.append(o)
-                    sigs.append(np.full(len(k), sig, np.int64))
-            if keys:
-                sig, often = np.concatenate(sigs), np.concatenate(often)
-                salt = np.where(often, np.mod(sig, SALTS) + 1, 0).astype(np.int8)  # 0: not salted
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(salt), pa.array(sig)], names=["key", "salt", "sig"])
+        for b in pieces(batches, 2048):
+            keys, sizes, sigs = [], [], []
+            for sig, n, raw in zip(*(c.to_pylist() for c in b.columns)):
+                k = prefix_keys(np.frombuffer(raw, np.uint64), n, percent, *held_order.value).view(np.int64)
+                keys.append(k)
+                sizes.append(np.full(len(k), n))
+                sigs.append(np.full(len(k), sig, np.int64))
+            sig = np.concatenate(sigs)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.mod(sig, SALTS).astype(np.int8)), pa.array(np.concatenate(sizes)), pa.array(sig)], names=["key", "salt", "n", "sig"])
 
     def stars(batches):
-        """Edges from every row of a run of equal (key, salt) to the run's first row."""
-        carry = None
+        """Edges from the members of a run of equal (key, salt), by rising size, to its first.
+
+        A run ends where the next size can't link with the last: then none after can. Each
+        run's leader is an edge to itself that carries the run's key and sizes.
+        """
+        held = None  # key, salt, leader, its size, last size
         for b in batches:
-            key, salt, sig = (np.asarray(b.column(i)) for i in range(3))
+            key, salt, n, sig = (np.asarray(b.column(i)) for i in range(4))
             if not len(key):
                 continue
-            if carry is not None:
-                key, salt, sig = np.append(carry[0], key), np.append(carry[1], salt), np.append(carry[2], sig)
-            new = np.concatenate([[True], (key[1:] != key[:-1]) | (salt[1:] != salt[:-1])])
+            same = (key[1:] == key[:-1]) & (salt[1:] == salt[:-1]) & (n[1:] * percent <= n[:-1] * 100)
+            joins = bool(held and held[0] == key[0] and held[1] == salt[0] and n[0] * percent <= held[4] * 100)
+            new = np.concatenate([[not joins], ~same])
             at = np.flatnonzero(new)
-            center = sig[at[np.cumsum(new) - 1]]
-            u, v, k = [sig[sig != center]], [center[sig != center]], [np.zeros(int((sig != center).sum()), np.int64)]
-            lead = at[salt[at] > 0]  # leaders of salted runs meet under their key alone
-            if carry is not None and len(lead) and lead[0] == 0:
-                lead = lead[1:]
-            u, v, k = np.concatenate([*u, sig[lead]]), np.concatenate([*v, sig[lead]]), np.concatenate([*k, key[lead]])
-            pairs = np.unique(np.stack([u, v, k], 1), axis=0) if len(u) else np.zeros((0, 3), np.int64)
-            carry = (key[-1:], salt[-1:], center[-1:])
-            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, i])) for i in range(3)], names=["u", "v", "key"])
-
-    spread = rows.mapInArrow(postings, "key long, salt byte, sig long").repartition(tasks, "key", "salt").sortWithinPartitions("key", "salt")
-    starred = materialise(spread.mapInArrow(stars, "u long, v long, key long"), "stars")
-    leaders = starred.where("u = v").select("key", F.col("u").alias("sig"))
-    joined = leaders.join(leaders.groupBy("key").agg(F.min("sig").alias("v"), F.max("sig").alias("m")).where("v < m"), "key").select(F.col("sig").alias("u"), "v")
-    groups = components(starred.where("u <> v").select("u", "v").union(joined).where("u <> v"))
+            run = np.cumsum(new) - 1  # -1: still the held run
+            lead = np.append(sig[at], held[2] if held else 0)[run]
+            out = [(sig, lead, np.zeros(len(sig), np.int64), n, n)] if len(sig) else []
+            ends = np.append(at[1:], len(key)) - 1  # last rows of the runs begun here
+            if joins:
+                end = at[0] - 1 if len(at) else len(key) - 1
+                held = (*held[:4], n[end])
+            closed = [held] if held and len(at) else []
+            out += [tuple(np.array([x]) for x in (h[2], h[2], h[0], h[3], h[4])) for h in closed]
+            if len(at):
+                k, e = at[:-1], ends[:-1]
+                out.append((sig[k], sig[k], key[k], n[k], n[e]))
+                held = (key[at[-1]], salt[at[-1]], sig[at[-1]], n[at[-1]], n[-1])
+            u, v, k, lo, hi = (np.concatenate(c) for c in zip(*out))
+            keep = (u != v) | (k != 0)
+            pairs = np.unique(np.stack([np.where(u != v, 0, k), u, v, np.where(u != v, 0, lo), np.where(u != v, 0, hi)], 1)[keep], axis=0)
+            yield _edges(pairs)
+        if held:
+            yield _edges(np.array([[held[0], held[2], held[2], held[3], held[4]]], np.int64))
+
+    spread = sets.mapInArrow(postings, "key long, salt byte, n long, sig long").repartition(tasks, "key", "salt").sortWithinPartitions("key", "salt", "n")
+    starred = materialise(spread.mapInArrow(stars, "key long, u long, v long, lo long, hi long"), "stars")
+    # runs of one key in several salts: again by rising size, each to the one before
+    before = Window.partitionBy("key").orderBy("lo", "u").rowsBetween(Window.unboundedPreceding, -1)
+    leaders = starred.where("u = v").join(starred.where("u = v").groupBy("key").agg(F.count("*").alias("m")).where("m > 1"), "key")
+    leaders = leaders.withColumn("most", F.max(F.struct("hi", F.col("u").alias("by"))).over(before)).where(F.col("lo") * percent <= F.col("most.hi") * 100).select("u", F.col("most.by").alias("v"))
+    groups = components(starred.where("u <> v").select("u", "v").union(leaders))
     groups = materialise(groups, "groups")
 
-    # the members' sets: one row for each set, of the document with the smallest id
-    firsts = usable.groupBy("sig").agg(F.min("doc_id").alias("doc_id"))
     sizes = groups.groupBy("label").agg(F.count("*").alias("size"))
-    members = groups.join(sizes, "label").join(firsts, groups["node"] == firsts["sig"]).select("doc_id", "sig", F.col("label").alias("grp"), "size")
-    texts = rows.where("text is not null").join(members, "doc_id").select("sig", "text", "grp", "size")
-
-    def sets_of(batches):
-        for b, sets in shingle_sets(batches, width):
-            right = [i for i, (s, g) in enumerate(zip(sets, b.column(0).to_pylist())) if signature(s) == g]
-            at = pa.array(right, pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(2).take(at), b.column(0).take(at), b.column(3).take(at), pa.array([sets[i].tobytes() for i in right], pa.binary())], names=["grp", "sig", "size", "shingles"])
-
-    blocks = F.ceil(F.col("size") / F.lit(block)).cast("long")
-    sets = materialise(texts.mapInArrow(sets_of, "grp long, sig long, size long, shingles binary").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("sig"), F.col("blocks"))), "sets")
+    members = groups.join(sizes, "label").select(F.col("node").alias("sig"), F.col("label").alias("grp"), F.ceil(F.col("size") / F.lit(block)).cast("long").alias("blocks"))
+    sets = materialise(sets.join(members, "sig").withColumn("block", F.pmod(F.xxhash64("sig"), F.col("blocks"))), "members")
     links = materialise(_search_blocks(sets.withColumns({"comp": F.col("sig"), "asks": F.lit(True)}), percent, tasks), "links")
 
     large = sets.where("blocks > 1")
@@ -377,7 +513,7 @@ def link_components(docs: DataFrame, width: int = 5, percent: int = 75, block: i
         links = materialise(links.union(_search_blocks(outside.union(against), percent, tasks)), "links")
 
     comps = components(links)
-    named = firsts.join(comps, firsts["sig"] == comps["node"], "left").select("sig", F.coalesce("label", "sig").alias("label"), "doc_id")
+    named = firsts.select("sig", "doc_id").join(comps, firsts["sig"] == comps["node"], "left").select("sig", F.coalesce("label", "sig").alias("label"), "doc_id")
     least = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     # only sets whose component isn't simply its own document need a place in the join
     by_sig = named.join(least, "label").select("sig", "component_id").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
