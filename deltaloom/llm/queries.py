@@ -6,7 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_mincut, language_rank, ngram_join, pivot_search, sentencepiece_codec, token_planes, toxicity, warc_bundles
+import corpus_pipeline
+
+from . import chat_tools, decontaminate, html_mincut, language_rank, ngram_join, pivot_search, sentencepiece_codec, token_planes, toxicity, warc_bundles
 from .common import table
 
 
@@ -22,6 +24,10 @@ def op3_pivot_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pivot_search.top_k(table(spark, sf_dir, "embeddings"), k=5, query_modulus=50, scale=256.0)
 
 
+def op4_chat_tools(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_tools.format_chats(table(spark, sf_dir, "conversations"))
+
+
 def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.link_components(table(spark, sf_dir, "documents"), width=5, percent=75)
 
@@ -50,14 +56,18 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", F.coalesce(language_rank.held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", "predicted")
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_sentencepiece, op3_pivot_topk, op5_ngram_join, op6_language_rank, op7_warc, op8_html_mincut, op9_token_planes, op10_toxicity)}
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_sentencepiece, op3_pivot_topk, op4_chat_tools, op5_ngram_join, op6_language_rank, op7_warc, op8_html_mincut, op9_token_planes, op10_toxicity)} | {"pipeline": pipeline}
 
 ORACLES = {
     "op3_pivot_topk": """
         WITH v AS (
-            SELECT vec_id, list_transform(embedding, x -> floor(256 * CAST(x AS DOUBLE))) AS e FROM embeddings
+            SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e FROM embeddings
             WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
-              AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+              AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
         s AS (
             SELECT q.vec_id AS query_id, x.vec_id AS vec_id, CAST(list_dot_product(q.e, x.e) AS BIGINT) AS score
             FROM v q JOIN v x ON x.vec_id <> q.vec_id AND len(x.e) = len(q.e) WHERE q.vec_id % 50 = 0)
