@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
 
@@ -63,6 +64,12 @@ def pieces(batches, max_rows: int = 512, max_bytes: int = 8 << 20):
             yield batch.slice(at, step)
 
 
+def carried(docs: DataFrame, id_col: str, text_col: str, carry: list[str]) -> tuple[DataFrame, str]:
+    """(doc_id, text, then the carried columns), and the carried columns' schema."""
+    fields = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in docs.select(*carry).schema) if carry else ""
+    return docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"), *[docs[c].alias(f"_carried_{i}") for i, c in enumerate(carry)]), fields
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective scrambler of 64-bit words."""
     with np.errstate(over="ignore"):
@@ -95,24 +102,42 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS[0], _POWERS[1]
 
 
-def word_hashes(column: pa.Array, space: np.ndarray = WORD_SPACE) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of the lower-cased words of every text, and each text's word count.
+#: Bytes that are hashed at a time; a longer word is hashed on its own.
+_STRETCH = 1 << 20
+
+
+def _stretch(raw: np.ndarray, begins: np.ndarray, ends: np.ndarray, fold: np.ndarray) -> np.ndarray:
+    if ends[-1] - begins[-1] > _STRETCH:
+        one = hashlib.blake2b(fold[raw[begins[-1] : ends[-1]]].tobytes(), digest_size=8).digest()
+        rest = _stretch(raw, begins[:-1], ends[:-1], fold) if len(begins) > 1 else np.zeros(0, np.uint64)
+        return np.append(rest, np.frombuffer(one, np.uint64))
+    lo, size = begins[0], ends[-1] - begins[0]
+    up, down = _powers(2 * _STRETCH + 1)
+    with np.errstate(over="ignore"):
+        sums = np.zeros(size + 1, np.uint64)
+        np.cumsum(_TABLE[fold[raw[lo : lo + size]]] * up[:size], out=sums[1:])
+        at = begins - lo
+        return mix64((sums[ends - lo] - sums[at]) * down[at] + (ends - begins).astype(np.uint64) * _ODD)
+
+
+def word_spans(column: pa.Array, space: np.ndarray = WORD_SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The texts' bytes, where their words begin and end, and each text's word count.
 
-    A word is a maximal run of bytes that ``space`` doesn't mark; A-Z are lower-cased. Nulls
-    and empty texts have no words. All texts of the array are hashed at once: prefix sums
-    of a polynomial over the bytes give every word's hash without a loop.
+    A word is a maximal run of bytes that ``space`` doesn't mark. Nulls and empty texts have
+    no words.
     """
-    column = column.cast(pa.large_binary()).combine_chunks() if isinstance(column, pa.ChunkedArray) else column.cast(pa.large_binary())
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    column = column.cast(pa.large_binary())
     if column.null_count:
         column = column.fill_null(b"")
-    n = len(column)
+    n, none = len(column), np.zeros(0, np.int64)
     if not n:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        return np.zeros(0, np.uint8), none, none, none
     bounds = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + n + 1]
     data = column.buffers()[2]
     raw = np.frombuffer(data, np.uint8)[bounds[0] : bounds[-1]] if data is not None else np.zeros(0, np.uint8)
     if not len(raw):
-        return np.zeros(0, np.uint64), np.zeros(n, np.int64)
+        return raw, none, none, np.zeros(n, np.int64)
     bounds = bounds - bounds[0]
     solid = ~space[raw]
     start = solid.copy()
@@ -123,13 +148,27 @@ def word_hashes(column: pa.Array, space: np.ndarray = WORD_SPACE) -> tuple[np.nd
     end[:-1] = solid[:-1] & (~solid[1:] | start[1:])
     end[-1] = solid[-1]
     begins, ends = np.flatnonzero(start), np.flatnonzero(end) + 1
-    up, down = _powers(len(raw) + 1)
-    with np.errstate(over="ignore"):
-        sums = np.zeros(len(raw) + 1, np.uint64)
-        np.cumsum(_TABLE[_LOWER[raw]] * up[: len(raw)], out=sums[1:])
-        words = mix64((sums[ends] - sums[begins]) * down[begins] + (ends - begins).astype(np.uint64) * _ODD)
-    counts = np.diff(np.searchsorted(begins, bounds))
-    return words, counts
+    return raw, begins, ends, np.diff(np.searchsorted(begins, bounds))
+
+
+def hash_spans(raw: np.ndarray, begins: np.ndarray, ends: np.ndarray, fold: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the words at these places, their bytes mapped by ``fold``.
+
+    Bytes are hashed a megabyte at a time: prefix sums of a polynomial over them give every
+    word's hash without a loop over words.
+    """
+    words = np.empty(len(begins), np.uint64)
+    cuts = np.unique(np.searchsorted(begins, np.arange(0, len(raw), _STRETCH)))
+    for i, j in zip(cuts, [*cuts[1:], len(begins)]):
+        if i < j:
+            words[i:j] = _stretch(raw, begins[i:j], ends[i:j], fold)
+    return words
+
+
+def word_hashes(column: pa.Array, space: np.ndarray = WORD_SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of every text's words, A-Z lower-cased, and each text's word count."""
+    raw, begins, ends, counts = word_spans(column, space)
+    return hash_spans(raw, begins, ends, _LOWER), counts
 
 
 def shingle_hashes(words: np.ndarray, width: int) -> np.ndarray:

@@ -84,13 +84,18 @@ def shared_counts(rows: DataFrame, width: int, parts: int) -> DataFrame:
     """
 
     def deal(batches):
-        for b, sets in shingle_sets(batches, width, 4096, 16 << 20):
+        for b, sets in shingle_sets(batches, width, 4096, 8 << 20):
             sets = [s for s, d in zip(sets, b.column(0).is_valid().to_pylist()) if d and len(s)]
             if sets:
                 yield _dealt(sets, np.array([signature(s) for s in sets], np.int64), parts, 16)
 
-    met = rows.mapInArrow(deal, _RUN).repartition(parts, "part").mapInArrow(lambda batches: _meet(batches, False), "sig long, shared long, keys binary")
-    return met.groupBy("sig").agg(F.sum("shared").alias("shared"))
+    def total(batches):
+        for _, t in _by_key(batches, ["home"]):
+            sigs, back = np.unique(np.concatenate([np.frombuffer(x, np.int64) for x in t["sigs"].to_pylist()]), return_inverse=True)
+            n = np.bincount(back, np.concatenate([np.frombuffer(x, "<i8") for x in t["counts"].to_pylist()]), len(sigs)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(sigs), pa.array(n)], names=["sig", "shared"])
+
+    return _exchanged(rows.mapInArrow(deal, _RUN), parts, False).mapInArrow(total, "sig long, shared long").groupBy("sig").agg(F.sum("shared").alias("shared"))
 
 
 def shared_keys(sets: DataFrame, percent: int, parts: int) -> DataFrame:
@@ -105,24 +110,34 @@ def shared_keys(sets: DataFrame, percent: int, parts: int) -> DataFrame:
             yield _dealt(held, np.asarray(b.column(0)), parts, 0)
 
     def gather(batches):
-        for (sig,), t in _by_key(batches, ["sig"]):
-            n = max(t["n"].to_pylist())
-            keys = np.sort(np.concatenate([np.frombuffer(x, np.uint64) for x in t["keys"].to_pylist()]))
-            if len(keys) * 100 >= n * percent:
-                yield pa.RecordBatch.from_arrays([pa.array([sig]), pa.array([n]), pa.array([keys.tobytes()], pa.binary())], names=["sig", "n", "keys"])
+        for _, t in _by_key(batches, ["home"]):
+            runs = [(np.frombuffer(x, np.int64), np.frombuffer(n, "<i8")) for x, n in zip(t["sigs"].to_pylist(), t["counts"].to_pylist())]
+            sig = np.concatenate([np.repeat(x, n) for x, n in runs])
+            keys = np.concatenate([np.frombuffer(x, np.uint64) for x in t["keys"].to_pylist()])
+            order = np.lexsort((keys, sig))
+            sig, keys = sig[order], keys[order]
+            at = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]])) if len(sig) else np.zeros(0, int)
+            raw, cuts = keys.tobytes(), np.append(at, len(sig)) * 8
+            yield pa.RecordBatch.from_arrays([pa.array(sig[at]), pa.array([raw[lo:hi] for lo, hi in zip(cuts, cuts[1:])], pa.binary())], names=["sig", "keys"])
+
+    kept = _exchanged(sets.mapInArrow(deal, _RUN), parts, True).mapInArrow(gather, "sig long, keys binary")
+    return kept.join(sets.select("sig", "n"), "sig").where(F.octet_length("keys") / 8 * 100 >= F.col("n") * percent).select("sig", "n", "keys")
+
 
-    met = sets.mapInArrow(deal, _RUN).repartition(parts, "part").mapInArrow(lambda batches: _meet(batches, True), "sig long, shared long, keys binary")
-    whole = sets.select("sig", F.col("n"), F.lit(b"").alias("keys"))
-    return met.select("sig", F.lit(0).cast("long").alias("n"), "keys").union(whole).repartition(parts, "sig").sortWithinPartitions("sig").mapInArrow(gather, "sig long, n long, keys binary")
+def _exchanged(runs: DataFrame, parts: int, with_keys: bool) -> DataFrame:
+    """Runs to their range of hashes, and what was found there back to the slices' homes."""
+    met = runs.repartition(parts, "part").mapInArrow(lambda batches: _meet(batches, with_keys), _FOUND)
+    return met.repartition(parts, "home").sortWithinPartitions("home")
 
 
-_RUN = "part int, sigs binary, counts binary, keys binary, owners binary"
+_FOUND = "home long, sigs binary, counts binary, keys binary"
+_RUN = "part int, home long, sigs binary, counts binary, keys binary, owners binary"
 
 
 def _dealt(sets: list[np.ndarray], sigs: np.ndarray, parts: int, drop: int) -> pa.RecordBatch:
     """A slice's runs by part, and one row of what the slice itself holds more than once.
 
-    That row's counts are negative: less the number of each set's keys, which follow.
+    A slice's home is a number made from all its sets.
     """
     flat = np.concatenate(sets) >> np.uint64(drop)
     owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
@@ -132,14 +147,15 @@ def _dealt(sets: list[np.ndarray], sigs: np.ndarray, parts: int, drop: int) -> p
     lone = new & np.append(new[1:], True)
     by = np.argsort(owner[~lone], kind="stable")
     again = np.bincount(owner[~lone], minlength=len(sets))
-    out = [(int(sigs[0] % parts), sigs.tobytes(), (-again).astype("<i8").tobytes(), b"" if drop else flat[~lone][by].tobytes(), b"")]
+    home = int(mix64(np.array([np.sum(mix64(sigs.view(np.uint64)))], np.uint64)).view(np.int64)[0])
+    out = [(home % parts, home, sigs.tobytes(), again.astype("<i8").tobytes(), b"" if drop else flat[~lone][by].tobytes(), b"")]
     keys, owners = flat[new], np.where(lone[new], owner[new], len(sets))
     cuts = np.searchsorted(keys, np.array([(k << 64 - drop) // parts for k in range(parts)], np.uint64))
     for part, (lo, hi) in enumerate(zip(cuts, [*cuts[1:], len(keys)])):
         if lo < hi:
             named, at = np.unique(owners[lo:hi], return_inverse=True)
-            out.append((part, np.append(sigs, 0)[named].tobytes(), (named < len(sets)).astype("<i8").tobytes(), _deltas(keys[lo:hi]), at.astype("<u2").tobytes()))
-    kinds = [pa.int32(), *[pa.binary()] * 4]
+            out.append((part, home, np.append(sigs, 0)[named].tobytes(), (named < len(sets)).astype("<i8").tobytes(), _deltas(keys[lo:hi]), at.astype("<u2").tobytes()))
+    kinds = [pa.int32(), pa.int64(), *[pa.binary()] * 4]
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=[x.split()[0] for x in _RUN.split(", ")])
 
 
@@ -149,36 +165,31 @@ def _meet(batches, with_keys: bool):
     A part is a range of hashes, as large as its share of all; a key that is common holds
     one entry for each slice of documents, not for each document.
     """
-    names = ["sig", "shared", "keys"]
+    names = [x.split()[0] for x in _FOUND.split(", ")]
     held: dict[int, list] = {}
     for b in batches:
-        for part, sigs, counts, keys, owners in zip(*(c.to_pylist() for c in b.columns)):
-            sigs, counts = np.frombuffer(sigs, np.int64), np.frombuffer(counts, "<i8")
+        for part, home, sigs, counts, keys, owners in zip(*(c.to_pylist() for c in b.columns)):
             if owners:
-                held.setdefault(part, []).append((_undeltas(keys), np.frombuffer(owners, "<u2"), sigs, counts))
-                continue
-            cuts = np.cumsum([0, *-counts]) * 8
-            own = [keys[lo:hi] for lo, hi in zip(cuts, cuts[1:])] if with_keys else [None] * len(sigs)
-            yield pa.RecordBatch.from_arrays([pa.array(sigs), pa.array(-counts), pa.array(own, pa.binary())], names=names)
+                held.setdefault(part, []).append((_undeltas(keys), np.frombuffer(owners, "<u2"), np.frombuffer(sigs, np.int64), np.frombuffer(counts, "<i8"), home))
+            else:  # what the slice found by itself goes straight home
+                yield pa.RecordBatch.from_arrays([pa.array([home]), *[pa.array([x], pa.binary()) for x in (sigs, counts, keys)]], names=names)
     for runs in held.values():
         keys = np.concatenate([r[0] for r in runs])
         base = np.cumsum([0, *[len(r[2]) for r in runs]])
         owner = np.concatenate([r[1].astype(np.int64) + at for r, at in zip(runs, base)])
-        sigs, real = np.concatenate([r[2] for r in runs]), np.concatenate([r[3] for r in runs])
+        real = np.concatenate([r[3] for r in runs])
         order = np.argsort(keys, kind="stable")
         keys, owner = keys[order], owner[order]
         new = np.concatenate([[True], keys[1:] != keys[:-1]])
         many = ~(new & np.append(new[1:], True)) & (real[owner] > 0)
         keys, owner = keys[many], owner[many]
-        n = np.bincount(owner, minlength=len(sigs))
-        some = np.flatnonzero(n)
-        if with_keys:
-            raw = keys[np.argsort(owner, kind="stable")].tobytes()
-            cuts = np.cumsum([0, *n[some]]) * 8
-            own = [raw[lo:hi] for lo, hi in zip(cuts, cuts[1:])]
-        else:
-            own = [None] * len(some)
-        yield pa.RecordBatch.from_arrays([pa.array(sigs[some]), pa.array(n[some].astype(np.int64)), pa.array(own, pa.binary())], names=names)
+        n = np.bincount(owner, minlength=base[-1])
+        raw, cuts = (keys[np.argsort(owner, kind="stable")] if with_keys else keys[:0]).tobytes(), np.append(0, np.cumsum(n)) * 8
+        for (_, _, sigs, _, home), lo, hi in zip(runs, base, base[1:]):
+            some = np.flatnonzero(n[lo:hi])
+            if len(some):
+                found = sigs[some].tobytes(), n[lo:hi][some].astype("<i8").tobytes(), raw[cuts[lo] : cuts[hi]] if with_keys else b""
+                yield pa.RecordBatch.from_arrays([pa.array([home]), *[pa.array([x], pa.binary()) for x in found]], names=names)
 
 
 def common_keys(shared: DataFrame, most: int = 100_000) -> np.ndarray:
@@ -290,19 +301,19 @@ class DivideSkip:
                 last, n = c, 1
             if n >= least and last >= 0:
                 found.append((last, n))
-        out = []
-        for c, n in found:
-            left = len(long)
-            for k in long[::-1]:
-                if n + left < need or n >= need:
-                    break
-                s, size = self.starts[k], self.lengths[k]
-                at = np.searchsorted(self.owners[s : s + size], c)
-                n += at < size and self.owners[s + at] == c
-                left -= 1
-            if n >= need:
-                out.append(c)
-        return out
+        who = np.array([c for c, _ in found], int)
+        count = np.array([n for _, n in found], int)
+        left = len(long)
+        for s, size in zip(self.starts[long[::-1]], self.lengths[long[::-1]]):
+            if not len(who) or left <= 0:
+                break
+            some = count + left >= need
+            who, count = who[some], count[some]
+            here = self.owners[s : s + size]
+            at = np.minimum(np.searchsorted(here, who), size - 1)
+            count += here[at] == who
+            left -= 1
+        return who[count >= need].tolist()
 
     def linked(self, i: int, j: int) -> bool:
         a, b = int(self.sizes[i]), int(self.sizes[j])
