@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fresh_path, materialise, pieces
+from .common import fresh_path, hash_spans, materialise, pieces, word_spans
 from .storage import list_files, open_input, publish
 
 MAGIC, END = b"DLTOKPL1", b"DLTOKEND"
@@ -136,60 +136,149 @@ class Reader:
         return parts[0] if len(parts) == 1 else np.concatenate(parts) if parts else np.zeros(0, np.uint32)
 
 
+#: White space at which every text may be cut: space, tab, newline, carriage return.
+_CUTS = np.zeros(256, bool)
+_CUTS[[9, 10, 13, 32]] = True
+_AS_IS = np.arange(256, dtype=np.uint8)
+#: Bytes of plain letters (0: ASCII, or Latin-1 in UTF-8), of ASCII marks (1), others (2).
+_KINDS = np.full(256, 2, np.uint8)
+_KINDS[[*range(65, 91), *range(97, 123), *range(0x80, 0xC0), 0xC3]] = 0
+_KINDS[[c for c in range(33, 127) if not chr(c).isalnum() and c != 39]] = 1
+
+
+class _Places:
+    """Sorted hashes and the place of each; new ones gather in a small second table."""
+
+    def __init__(self):
+        self.levels = [(np.zeros(0, np.uint64), np.zeros(0, np.int32))] * 2
+
+    def __len__(self) -> int:
+        return sum(len(k) for k, _ in self.levels)
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """The places of sorted hashes; -1 for those that aren't known."""
+        out = np.full(len(hashes), -1, np.int32)
+        for keys, places in self.levels:
+            if len(keys):
+                at = np.minimum(np.searchsorted(keys, hashes), len(keys) - 1)
+                hit = keys[at] == hashes
+                out[hit] = places[at[hit]]
+        return out
+
+    def add(self, hashes: np.ndarray, places: np.ndarray) -> None:
+        self.levels[1] = self._merged(self.levels[1], (hashes, places))
+        if len(self.levels[1][0]) > max(50_000, len(self.levels[0][0]) // 4):
+            self.levels = [self._merged(*self.levels), (hashes[:0], places[:0])]
+
+    @staticmethod
+    def _merged(a, b):
+        keys = np.concatenate([a[0], b[0]])
+        order = np.argsort(keys, kind="stable")
+        return keys[order], np.concatenate([a[1], b[1]])[order]
+
+
 class ChunkTokenizer:
     """The tokenizers library over texts, asked once per distinct run without white space.
 
     ``whole`` asks the library for whole texts. Else a text is cut at space, tab, newline
     and carriage return, which is right for a tokenizer whose pre-tokenizer drops white
     space and whose normaliser looks at no neighbours beyond it; that is verified on one
-    text of every batch. Letters that end in marks are asked for apart if no apostrophe or
-    special token can tie them. The memo holds each run's ids as bytes.
+    text of every batch. Letters that end in marks are runs apart if no apostrophe or
+    special token can tie them. Runs are known by 64-bit hashes; their ids lie in one pool,
+    from which whole batches are put together.
     """
 
-    _PLAIN = re.compile(r"[\x21-\x7e\u00a1-\u024f]+")
-    _MARKED = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-&(-/:-@\[-`{-~]+)")
+    _ONE = re.compile(r"[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+|[!-&(-/:-@\[-`{-~]+")
 
-    def __init__(self, path: str, memo: int = 500_000, whole: bool = False):
+    def __init__(self, path: str, memo: int = 3_000_000, whole: bool = False):
         from tokenizers import Tokenizer
 
-        self.library, self.memo, self.limit, self.whole = Tokenizer.from_file(path), {"": b""}, memo, whole
-
-    def _ask(self, words: list[str]) -> None:
-        """Ids of runs from the library: plain ones in long lines, split by their offsets."""
-        plain = [w for w in words if self._PLAIN.fullmatch(w) and "<|" not in w]
-        for at in range(0, len(plain), 1000):
-            lot = plain[at : at + 1000]
-            got = self.library.encode(" ".join(lot), add_special_tokens=False)
-            begins = np.cumsum([0, *[len(w) + 1 for w in lot]])
-            places = np.fromiter((o[0] for o in got.offsets), np.int64, len(got.ids))
-            cuts = np.searchsorted(places, begins) * 4
-            ids = np.array(got.ids, "<u4").tobytes()
-            for w, lo, hi in zip(lot, cuts, cuts[1:]):
-                self.memo[w] = ids[lo:hi]
-        rest = [w for w in words if w not in self.memo]
-        for w, e in zip(rest, self.library.encode_batch(rest, add_special_tokens=False) if rest else []):
-            self.memo[w] = np.array(e.ids, "<u4").tobytes()
-
-    def encode_batch(self, texts: list[str], end: int | None) -> list[np.ndarray]:
+        self.library, self.limit, self.whole = Tokenizer.from_file(path), memo, whole
+        vocabulary = self.library.get_vocab()
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)  # pieces that end a word
+        self.last[[i for p, i in vocabulary.items() if p.endswith("</w>")]] = True
+        self._forget()
+
+    def _forget(self) -> None:
+        self.slots = _Places()
+        self.pool, self.used = np.zeros(1 << 16, np.uint32), 0
+        self.starts, self.sizes = np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int32)
+
+    def _keep(self, hashes: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> None:
+        at, n = len(self.slots), len(sizes)
+        while len(self.pool) < self.used + len(ids):
+            self.pool = np.append(self.pool, np.zeros_like(self.pool))
+        while len(self.starts) < at + n:
+            self.starts, self.sizes = np.append(self.starts, self.starts * 0), np.append(self.sizes, self.sizes * 0)
+        self.pool[self.used : self.used + len(ids)] = ids
+        self.starts[at : at + n], self.sizes[at : at + n] = self.used + np.cumsum(sizes) - sizes, sizes
+        self.used += len(ids)
+        self.slots.add(hashes, np.arange(at, at + n, dtype=np.int32))
+
+    def _learn(self, hashes: np.ndarray, words: list[str]) -> None:
+        """Ids of runs: those that are one word each in long lines, the rest one by one."""
+        one = [bool(self._ONE.fullmatch(w)) and "<|" not in w for w in words]
+        rest = [k for k, x in enumerate(one) if not x]
+        whole = [k for k, x in enumerate(one) if x]
+        for at in range(0, len(whole), 4000):
+            lot = whole[at : at + 4000]
+            ids = np.array(self.library.encode(" ".join([words[k] for k in lot]), add_special_tokens=False).ids, np.uint32)
+            stops = np.flatnonzero(self.last[ids]) + 1
+            if len(stops) == len(lot):
+                self._keep(hashes[lot], ids, np.diff(stops, prepend=0))
+            else:
+                rest += lot
+        for at in range(0, len(rest), 4000):
+            lot = rest[at : at + 4000]
+            got = [np.array(e.ids, np.uint32) for e in self.library.encode_batch([words[k] for k in lot], add_special_tokens=False)]
+            self._keep(hashes[lot], np.concatenate(got), np.array([len(x) for x in got], np.int64))
+
+    @staticmethod
+    def _apart(raw: np.ndarray, begins: np.ndarray, ends: np.ndarray, counts: np.ndarray):
+        """Runs of letters that end in marks as two runs: (begins, ends, counts)."""
+        if not len(begins):
+            return begins, ends, counts
+        kind = _KINDS[raw]
+        odd = kind == 2
+        odd[1:] |= (raw[:-1] == 0xC3) & ((raw[1:] == 0x97) | (raw[1:] == 0xB7)) | (raw[:-1] == 0x3C) & (raw[1:] == 0x7C)
+        mark = kind == 1
+        turn = np.zeros(len(raw), bool)  # a mark after a letter, or a letter after a mark
+        turn[1:] = mark[1:] != mark[:-1]
+        inside = begins + 1
+        total = np.append(0, np.cumsum(odd, dtype=np.int32)), np.append(0, np.cumsum(turn, dtype=np.int32))
+        fit = (total[0][ends] == total[0][begins]) & (total[1][ends] - total[1][inside] == 1) & mark[ends - 1]
+        at = np.flatnonzero(turn)[total[1][inside[fit]]]
+        doc = np.repeat(np.arange(len(counts)), counts)
+        return np.sort(np.append(begins, at)), np.sort(np.append(ends, at)), counts + np.bincount(doc[fit], minlength=len(counts))
+
+    def encode_batch(self, column: pa.Array, end: int | None) -> list[np.ndarray]:
+        """Ids of every text of a column, each followed by ``end``; nulls count as empty."""
         tail = [] if end is None else [end]
         if self.whole:
-            return [np.array(e.ids + tail, "<u4") for e in self.library.encode_batch(texts, add_special_tokens=False)]
-        memo = self.memo
-        if len(memo) > self.limit:
-            memo.clear()
-            memo[""] = b""
-        split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        missing = {w for ws in split for w in ws if w not in memo}
-        marked = [m for m in map(self._MARKED.fullmatch, missing) if m and "<|" not in m[0]]
-        self._ask(list({x for m in marked for x in m.groups() if x not in memo} | missing.difference([m[0] for m in marked])))
-        for m in marked:
-            memo[m[0]] = memo[m[1]] + memo[m[2]]
-        last = np.array(tail, "<u4").tobytes()
-        out = [np.frombuffer(b"".join(map(memo.__getitem__, ws)) + last, "<u4") for ws in split]
-        k = len(texts) // 2
-        if out[k].tolist() != self.library.encode(texts[k], add_special_tokens=False).ids + tail:
+            return [np.array(e.ids + tail, np.uint32) for e in self.library.encode_batch([t or "" for t in column.to_pylist()], add_special_tokens=False)]
+        if len(self.slots) > self.limit:
+            self._forget()
+        raw, *spans = word_spans(column, _CUTS)
+        begins, ends, counts = self._apart(raw, *spans)
+        hashes, first, back = np.unique(hash_spans(raw, begins, ends, _AS_IS), return_index=True, return_inverse=True)
+        slot = self.slots.find(hashes)
+        new = np.flatnonzero(slot < 0)
+        if len(new):
+            text, at = raw.tobytes(), first[new]
+            self._learn(hashes[new], [text[lo:hi].decode() for lo, hi in zip(begins[at].tolist(), ends[at].tolist())])
+            slot[new] = self.slots.find(hashes[new])
+        start, size = self.starts[slot][back], self.sizes[slot][back]
+        ahead = np.cumsum(size, dtype=np.int32)  # a batch has fewer ids than bytes
+        doc = np.repeat(np.arange(len(counts), dtype=np.int32), counts) * len(tail)
+        out = np.full(int(ahead[-1] if len(ahead) else 0) + len(counts) * len(tail), tail[0] if tail else 0, np.uint32)
+        step = np.arange(int(ahead[-1]) if len(ahead) else 0, dtype=np.int32)
+        out[step + np.repeat(doc, size)] = self.pool[step + np.repeat(start - ahead + size, size)]
+        stops = np.append(0, ahead)[np.append(0, np.cumsum(counts))] + np.arange(len(counts) + 1) * len(tail)
+        got = [out[lo:hi] for lo, hi in zip(stops, stops[1:])]
+        k = len(counts) // 2
+        if len(counts) and got[k].tolist() != self.library.encode(column[k].as_py() or "", add_special_tokens=False).ids + tail:
             raise AssertionError("this tokenizer doesn't treat runs between white space alone; use whole=True")
-        return out
+        return got
 
 
 _TOKENIZERS: dict[tuple[str, bool], ChunkTokenizer] = {}
@@ -220,12 +309,12 @@ def write_tokens(docs: DataFrame, tokenizer: str, out_dir: str, end_id: int | No
         writer = None
         tokens = docs_n = 0
         first = None
-        for b in pieces(batches):
+        for b in pieces(batches, 1024, 4 << 20):
             if writer is None:
                 temp = publish(out_dir, f"part-{part:06d}-{uuid.uuid4().hex}.dlt")
                 out = temp.open()
                 writer, first = Writer(out, 0, block, kind), b.column(0)[0].as_py()
-            for d, ids in zip(b.column(0).to_pylist(), _TOKENIZERS[key].encode_batch(b.column(1).to_pylist(), end_id)):
+            for d, ids in zip(b.column(0).to_pylist(), _TOKENIZERS[key].encode_batch(b.column(1), end_id)):
                 writer.add(d, ids)
                 tokens += len(ids)
             docs_n += b.num_rows
