@@ -2,7 +2,10 @@
 
 A page is cut into text blocks at block-level tags. A linear classifier gives each block a
 log-odds of being content; its absolute value becomes a terminal capacity, to the content
-side if positive, else to the boilerplate side. Smoothness edges join neighbours in page
+side if positive, else to the boilerplate side. What the text looks like is weighed by a
+logistic regression, fitted to blocks of a bounded sample of pages whose tags or names say
+plainly what they are; what tags and names themselves say has fixed weights, larger than
+all that the text can say. Smoothness edges join neighbours in page
 order, heavier the deeper their common ancestor, and successive blocks of one parent.
 Maximum flow then separates content from boilerplate at least total cost.
 """
@@ -14,8 +17,10 @@ import math
 import re
 from collections import deque
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .common import pieces
 
@@ -31,8 +36,12 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 # Words of class, id and role that speak against or for content.
 BOILER_WORDS = frozenset("ad ads advert advertisement advertising adsense sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert sidebar side menu nav navbar navigation breadcrumb breadcrumbs footer header masthead topbar toolbar comment comments commentlist reply replies respond discussion disqus share sharing social related recommended recommendations subscribe subscription newsletter signup login search popup modal overlay widget pagination pager copyright legal disclaimer skip toc tags meta byline complementary contentinfo".split())
 CONTENT_WORDS = frozenset("article articlebody content post entry story body main text maincontent postcontent".split())
-#: Weights of the block classifier: log-odds added by each feature.
-WEIGHTS = {"bias": -1.2, "content_tag": 6.0, "content_word": 1.6, "boiler_tag": -9.0, "boiler_word": -9.0, "page_header": -6.0, "hidden": -12.0, "links": -3.5, "words": 0.7, "sentence": 0.5, "heading": 0.6, "copyright": -2.0}
+#: Log-odds that tags and names add.
+MARKUP = {"content_tag": 6.0, "content_word": 1.6, "boiler_tag": -12.0, "boiler_word": -12.0, "page_header": -10.0, "hidden": -15.0}
+#: Weights of the text's features where there is nothing to fit them on.
+UNFITTED = (-1.2, 0.7, -3.5, 0.5, 0.6, -2.0)
+#: The most that a text's features add or take.
+TEXT_MOST = 3.0
 NEAR, SIBLING = 0.5, 0.4
 
 _TAG = re.compile(r"<(?:!--(.*?)(?:--!?>|\Z)|[!?][^>]*(?:>|\Z)|/[^a-zA-Z][^>]*(?:>|\Z)|(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>)", re.S)
@@ -150,31 +159,60 @@ def blocks(page: str) -> list[tuple[str, Node, int]]:
     return out
 
 
-def log_odds(text: str, node: Node, linked: int) -> float:
+def text_features(text: str, node: Node, linked: int) -> tuple[float, ...]:
+    """Constant, length, share of links, sentence's end, heading, copyright sign."""
+    return 1.0, math.log(1 + len(text) / 24), linked / len(text), float(text[-1] in ".!?…\""), float(node.tag in HEADINGS), float("©" in text[:40])
+
+
+def log_odds(text: str, node: Node, linked: int, weights: tuple[float, ...] = UNFITTED) -> float:
     """The classifier's log-odds that a block is content."""
-    w = WEIGHTS
-    z = w["bias"] + w["words"] * math.log(1 + len(text) / 24) + w["links"] * linked / len(text)
-    if node.content:
-        z += w["content_tag"]
-    if node.word:
-        z += w["content_word"]
-    if node.boiler:
-        z += w["boiler_tag"]
-    if node.named:
-        z += w["boiler_word"]
-    if node.header:
-        z += w["page_header"]
-    if node.hidden:
-        z += w["hidden"]
-    if text[-1] in ".!?…\"":
-        z += w["sentence"]
-    if node.tag in HEADINGS:
-        z += w["heading"]
-    if "©" in text[:40]:
-        z += w["copyright"]
+    z = sum(w * x for w, x in zip(weights, text_features(text, node, linked)))
+    z = min(max(z, -TEXT_MOST), TEXT_MOST)
+    for said, name in ((node.content, "content_tag"), (node.word, "content_word"), (node.boiler, "boiler_tag"), (node.named, "boiler_word"), (node.header, "page_header"), (node.hidden, "hidden")):
+        if said:
+            z += MARKUP[name]
     return z
 
 
+def fit_weights(pages: DataFrame, max_pages: int = 2000, max_bytes: int = 200_000) -> tuple[float, ...]:
+    """Weights of the text's features, by logistic regression.
+
+    Fitted on the ``max_pages`` pages first by a hash of their ids, of those with at most
+    ``max_bytes`` bytes of html. Blocks inside an article or main element are content,
+    those in what is named or tagged as boilerplate are not; others aren't used. The
+    weights are UNFITTED where one of the two kinds is missing.
+    """
+    ids = pages.where(F.octet_length("html") <= max_bytes).select("page_id").where("page_id is not null").distinct().orderBy(F.xxhash64("page_id"), "page_id").limit(max_pages)
+    sample = pages.join(F.broadcast(ids), "page_id", "left_semi").where(F.octet_length("html") <= max_bytes).select("html")
+
+    def run(batches):
+        for b in pieces(batches):
+            rows = []
+            for page in b.column(0).to_pylist():
+                for text, node, linked in blocks(page):
+                    against = node.boiler or node.named or node.header
+                    if against or node.content:
+                        rows.append((float(not against), text_features(text, node, linked)))
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.float64()), pa.array([r[1] for r in rows], pa.list_(pa.float64()))], names=["y", "x"])
+
+    got = sample.mapInArrow(run, "y double, x array<double>").toArrow()
+    y = got["y"].to_numpy()
+    if len(set(y.tolist())) < 2:
+        return UNFITTED
+    x = np.array(got["x"].to_pylist())
+    share = y.mean()
+    each = np.where(y > 0, 0.5 / share, 0.5 / (1 - share))  # both kinds weigh the same
+    w = np.zeros(x.shape[1])
+    ridge = np.eye(x.shape[1]) * 1e-3 * len(y)
+    for _ in range(25):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        grown = np.linalg.solve((x * (each * p * (1 - p))[:, None]).T @ x + ridge, x.T @ (each * (y - p)) - ridge @ w)
+        w = w + grown
+        if np.abs(grown).max() < 1e-6:
+            break
+    return tuple(float(v) for v in np.round(w, 6))
+
+
 def smoothness(nodes: list[Node]) -> list[tuple[int, int, float]]:
     """Edges (i, j, capacity) between blocks that are near in the page or its tree."""
     edges = []
@@ -270,12 +308,12 @@ def minimum_cut(unary: list[float], edges: list[tuple[int, int, float]]) -> list
                 turn[a] += 1
 
 
-def main_text(page: str | None) -> str:
+def main_text(page: str | None, weights: tuple[float, ...] = UNFITTED) -> str:
     """Content blocks joined by one space; empty for null, empty or text-less pages."""
     found = blocks(page) if page else []
     if not found:
         return ""
-    unary = [log_odds(*b) for b in found]
+    unary = [log_odds(*b, weights) for b in found]
     if min(unary) > 0:
         keep = [True] * len(found)
     elif max(unary) <= 0:
@@ -285,15 +323,20 @@ def main_text(page: str | None) -> str:
     return " ".join([b[0] for b, k in zip(found, keep) if k])
 
 
-def extract(pages: DataFrame) -> DataFrame:
+def extract(pages: DataFrame, weights: tuple[float, ...] | None = None) -> DataFrame:
     """page_id, url, text and n_chars of every page; null html counts as empty.
 
+    The classifier is fitted on a sample of the pages unless ``weights`` are given.
+
     Repeated rows each give a row, null ids and urls stay null, other columns are ignored.
     """
 
+    if weights is None:
+        weights = fit_weights(pages)
+
     def run(batches):
         for b in pieces(batches):
-            texts = [main_text(p) for p in b.column(2).to_pylist()]
+            texts = [main_text(p, weights) for p in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), b.column(1).cast(pa.string()), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     return pages.select("page_id", "url", "html").mapInArrow(run, "page_id long, url string, text string, n_chars long")

@@ -81,6 +81,19 @@ def test_page_text(html, want):
     assert html_mincut.main_text(html) == want
 
 
+def test_fitted_weights(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    weights = html_mincut.fit_weights(pages, max_pages=60)
+    assert len(weights) == len(html_mincut.UNFITTED) and weights != html_mincut.UNFITTED
+    assert weights[2] < 0 < weights[1]  # links speak against content, length for it
+    for html in [r.html for r in pages.limit(40).collect()]:
+        text = html_mincut.main_text(html, weights)
+        assert text == html_mincut.main_text(html) and text
+    bare = "<body><div><a href=a>One</a> <a href=b>Two</a></div><div>" + "A long run of plain words. " * 20 + "</div></body>"
+    assert html_mincut.main_text(bare, weights) == ("A long run of plain words. " * 20).strip()
+    assert html_mincut.fit_weights(pages.limit(0)) == html_mincut.UNFITTED
+
+
 def test_minimum_cut_is_minimal():
     rnd = random.Random(6)
     for _ in range(40):
