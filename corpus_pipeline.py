@@ -16,35 +16,47 @@ from deltaloom.llm.common import materialise, table
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
-def _keep(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """The documents whose id is in ``kept``, all columns as they were."""
-    return docs.join(kept.select("doc_id").distinct(), "doc_id", "left_semi").select(*COLUMNS)
+def _without(docs: DataFrame, ids: DataFrame, name: str) -> DataFrame:
+    """The documents whose id isn't among ``ids``.
+
+    The ids are written first, so Spark knows their size and shuffles the texts only if
+    there are too many ids to broadcast.
+    """
+    return docs.join(materialise(ids.distinct(), name), "doc_id", "left_anti").select(*COLUMNS)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents whose language can't be told: no text, or no letter in it."""
     profiles = language_rank.train_profiles(docs.where(~language_rank.held_out(F.col("doc_id"))))
-    found = language_rank.identify(docs, profiles)
-    return _keep(docs, found.where(F.col("lang_pred") != language_rank.UNDETERMINED))
+    found = language_rank.identify(docs, profiles, carry=COLUMNS)
+    return found.where(F.col("lang_pred") != language_rank.UNDETERMINED).select(*COLUMNS)
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that the toxicity model marks."""
     labels = table(spark, sf_dir, "labels").where(~language_rank.held_out(F.col("doc_id")))
     model = toxicity.train(docs, labels)
-    return _keep(docs, toxicity.score(docs, model).where("predicted = 0"))
+    return toxicity.score(docs, model, carry=COLUMNS).where("predicted = 0").select(*COLUMNS)
 
 
 def unique(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps, of each group of linked documents, the one with the smallest id."""
+    """Keeps, of each group of linked documents, the one with the smallest id.
+
+    Documents are known by their ids; of rows that repeat an id and a text one stays.
+    """
     found = ngram_join.link_components(docs, width=5, percent=75)
-    return _keep(docs, found.where("component_id = doc_id"))
+    kept = _without(docs, found.where("component_id <> doc_id").select("doc_id"), "copies")
+    again = materialise(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
+    if again.isEmpty():
+        return kept
+    rows = kept.join(again, "doc_id", "left_semi").select(*COLUMNS).dropDuplicates(["doc_id", "text"])
+    return kept.join(again, "doc_id", "left_anti").select(*COLUMNS).union(rows)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold a benchmark item."""
-    found = decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(*COLUMNS)
+    found = decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark"))
+    return _without(docs, found.select("doc_id"), "contaminated")
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

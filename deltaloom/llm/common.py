@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import hashlib
 import tempfile
 import uuid
@@ -49,19 +52,49 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small_batches(df: DataFrame) -> None:
+    """Lets Spark hand at most 16 MB of rows to Python at a time, unless less is set."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(conf.get(name).rstrip("bB")) > 16 << 20:
+        conf.set(name, str(16 << 20))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _give_back() -> None:
+    """Return freed memory to the system: a Python worker lives on for other tasks."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU C library
+    if trim:
+        trim(0)
+
+
 def pieces(batches, max_rows: int = 512, max_bytes: int = 8 << 20):
     """Arrow batches cut into slices of at most ``max_rows`` rows, fewer if they are large."""
-    for batch in batches:
-        rows = batch.num_rows
-        if not rows:
-            continue
-        step = max(1, min(max_rows, int(rows * max_bytes / max(batch.nbytes, 1))))
-        for at in range(0, rows, step):
-            yield batch.slice(at, step)
+    try:
+        for batch in batches:
+            rows = batch.num_rows
+            if not rows:
+                continue
+            step = max(1, min(max_rows, int(rows * max_bytes / max(batch.nbytes, 1))))
+            for at in range(0, rows, step):
+                yield batch.slice(at, step)
+            del batch
+    finally:
+        _give_back()
+
+
+@contextlib.contextmanager
+def uncollected():
+    """No garbage collection meanwhile: for work that makes many small lists, none in cycles."""
+    gc.disable()
+    try:
+        yield
+    finally:
+        gc.enable()
+        gc.collect()
 
 
 def carried(docs: DataFrame, id_col: str, text_col: str, carry: list[str]) -> tuple[DataFrame, str]:
@@ -171,6 +204,88 @@ def word_hashes(column: pa.Array, space: np.ndarray = WORD_SPACE) -> tuple[np.nd
     return hash_spans(raw, begins, ends, _LOWER), counts
 
 
+class Places:
+    """Sorted hashes and the place of each; new ones gather in a small second table."""
+
+    def __init__(self):
+        self.levels = [(np.zeros(0, np.uint64), np.zeros(0, np.int32))] * 2
+
+    def __len__(self) -> int:
+        return sum(len(k) for k, _ in self.levels)
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """The places of sorted hashes; -1 for those that aren't known."""
+        out = np.full(len(hashes), -1, np.int32)
+        for keys, places in self.levels:
+            if len(keys):
+                at = np.minimum(np.searchsorted(keys, hashes), len(keys) - 1)
+                hit = keys[at] == hashes
+                out[hit] = places[at[hit]]
+        return out
+
+    def add(self, hashes: np.ndarray, places: np.ndarray) -> None:
+        self.levels[1] = self._merged(self.levels[1], (hashes, places))
+        if len(self.levels[1][0]) > max(50_000, len(self.levels[0][0]) // 4):
+            self.levels = [self._merged(*self.levels), (hashes[:0], places[:0])]
+
+    @staticmethod
+    def _merged(a, b):
+        keys = np.concatenate([a[0], b[0]])
+        order = np.argsort(keys, kind="stable")
+        return keys[order], np.concatenate([a[1], b[1]])[order]
+
+
+class RunPool:
+    """Ids of runs of bytes, known by 64-bit hashes, in one pool of numbers."""
+
+    def __init__(self, limit: int):
+        self.limit = limit
+        self._forget()
+
+    def _forget(self) -> None:
+        self.places = Places()
+        self.pool, self.used = np.zeros(1 << 16, np.uint32), 0
+        self.starts, self.sizes = np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int32)
+
+    def add(self, hashes: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> None:
+        """Keep the ids of runs, one after the other; hashes ascend."""
+        at, n = len(self.places), len(sizes)
+        while len(self.pool) < self.used + len(ids):
+            self.pool = np.append(self.pool, np.zeros_like(self.pool))
+        while len(self.starts) < at + n:
+            self.starts, self.sizes = np.append(self.starts, self.starts * 0), np.append(self.sizes, self.sizes * 0)
+        self.pool[self.used : self.used + len(ids)] = ids
+        self.starts[at : at + n], self.sizes[at : at + n] = self.used + np.cumsum(sizes) - sizes, sizes
+        self.used += len(ids)
+        self.places.add(hashes, np.arange(at, at + n, dtype=np.int32))
+
+    def fill(self, raw, begins, ends, counts, fold, learn, tail: list[int]) -> list[np.ndarray]:
+        """Each text's ids, run after run, then ``tail``; ``learn`` adds runs not yet known.
+
+        ``learn`` gets hashes, ascending, and the runs as strings.
+        """
+        if len(self.places) > self.limit:
+            self._forget()
+        hashes, first, back = np.unique(hash_spans(raw, begins, ends, fold), return_index=True, return_inverse=True)
+        place = self.places.find(hashes)
+        new = np.flatnonzero(place < 0)
+        if len(new):
+            text, at = raw.tobytes(), first[new]
+            learn(hashes[new], [text[lo:hi].decode() for lo, hi in zip(begins[at].tolist(), ends[at].tolist())])
+            place[new] = self.places.find(hashes[new])
+        start, size = self.starts[place][back], self.sizes[place][back]
+        ahead = np.cumsum(size, dtype=np.int32)  # a batch has fewer ids than bytes
+        total, more = int(ahead[-1]) if len(ahead) else 0, len(tail)
+        doc = np.repeat(np.arange(len(counts), dtype=np.int32), counts) * more
+        stops = np.append(0, ahead)[np.append(0, np.cumsum(counts))] + np.arange(len(counts) + 1) * more
+        out = np.empty(total + len(counts) * more, np.uint32)
+        step = np.arange(total, dtype=np.int32)
+        out[step + np.repeat(doc, size)] = self.pool[step + np.repeat(start - ahead + size, size)]
+        for k, t in enumerate(tail):
+            out[stops[1:] - more + k] = t
+        return [out[lo:hi] for lo, hi in zip(stops, stops[1:])]
+
+
 def shingle_hashes(words: np.ndarray, width: int) -> np.ndarray:
     """Hashes of all runs of ``width`` words; of the whole sequence if it is shorter."""
     if not len(words):

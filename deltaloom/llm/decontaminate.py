@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOOSE_SPACE, pieces, shingle_hashes, word_hashes
+from .common import LOOSE_SPACE, pieces, shingle_hashes, small_batches, word_hashes
 
 RESULT = "doc_id long, item_id long, score double, passage long, question_overlap double, answer_overlap double"
 
@@ -194,6 +194,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = 0.6, over
     are at most ``shard_bytes``; a larger benchmark is cut into that many more shards by a
     hash of its ids, and each shard is searched in turn.
     """
+    small_batches(docs)
     tests = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text is not null and trim(text) <> ''")
     size = tests.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(1, -(-size // shard_bytes))

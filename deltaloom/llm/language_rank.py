@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import pieces
+from .common import carried, pieces, small_batches
 
 UNDETERMINED = "und"
 _BITS = 21
@@ -78,7 +78,7 @@ def train_profiles(docs: DataFrame, text_col: str = "text", lang_col: str = "lan
             got, back = np.unique(codes, return_inverse=True)
             return got, np.bincount(back, n, len(got)).astype(np.int64)
 
-        for b in pieces(batches):
+        for b in pieces(batches, 512, 1 << 20):
             by: dict[str, list[np.ndarray]] = {}
             for text, lang in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 by.setdefault(lang, []).append(grams(text))
@@ -94,13 +94,14 @@ def train_profiles(docs: DataFrame, text_col: str = "text", lang_col: str = "lan
     return sorted((r.lang, [x.gram for x in r.g]) for r in best.collect())
 
 
-def identify(docs: DataFrame, profiles: list[tuple[str, list[int]]], id_col: str = "doc_id", text_col: str = "text", top: int = 400) -> DataFrame:
+def identify(docs: DataFrame, profiles: list[tuple[str, list[int]]], id_col: str = "doc_id", text_col: str = "text", top: int = 400, carry: list[str] = []) -> DataFrame:  # noqa: B006
     """doc_id, lang_pred and score (0 to 1) of every whole text.
 
     ``und`` with score 0 where the text is null or has no letter, or nothing was learned;
     ties go to the language whose name sorts first. The score is 1 less the distance's
     share of the largest distance possible. Repeated rows each give a row, null ids stay
-    null, other columns are ignored.
+    null, other columns are ignored. ``carry`` names columns of ``docs`` that each row takes
+    along instead of doc_id.
     """
     names = [name for name, _ in profiles]
     known = np.unique(np.array([g for _, gs in profiles for g in gs], np.int64))
@@ -126,9 +127,12 @@ def identify(docs: DataFrame, profiles: list[tuple[str, list[int]]], id_col: str
                 k = int(apart.argmin())
                 langs.append(names[k])
                 scores.append(float(max(0.0, 1 - apart[k] / (top * len(own)))))
-            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "lang_pred", "score"])
+            first = b.columns[2:] if carry else [b.column(0).cast(pa.int64())]
+            yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(scores, pa.float64()), *first], names=["lang_pred", "score", *(carry or ["doc_id"])])
 
-    return docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text")).mapInArrow(run, "doc_id long, lang_pred string, score double")
+    small_batches(docs)
+    rows, fields = carried(docs, id_col, text_col, carry)
+    return rows.mapInArrow(run, "lang_pred string, score double" + (fields or ", doc_id long"))
 
 
 def held_out(column) -> F.Column:

@@ -15,7 +15,7 @@ link when 100 * intersection >= percent * union.
    last; it is only an order, so whatever it is, no link is lost.
 3. Groups. Documents that share a prefix key at fitting sizes are in one group (connected
    components), so all links lie inside groups. Equal sets are one member.
-4. Blocks. Groups are dealt into blocks of bounded size. In a block an inverted index is
+4. Blocks. Groups are dealt into blocks of bounded numbers of sets and shingles. In a block an inverted index is
    built, and each member is searched in it: of its lists the longest are set apart, the
    short ones are merged through a heap, and only what occurs often enough in those is
    looked up in the long ones by binary search. What reaches the required overlap is
@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, mix64, pieces, shingle_hashes, word_hashes
+from .common import materialise, mix64, pieces, shingle_hashes, small_batches, word_hashes
 from .components import components
 
 SALTS = 16
@@ -105,7 +105,7 @@ def shared_keys(sets: DataFrame, percent: int, parts: int) -> DataFrame:
     """
 
     def deal(batches):
-        for b in pieces(batches, 4096, 32 << 20):
+        for b in pieces(batches, 4096, 8 << 20):
             held = [np.frombuffer(x, np.uint64) for x in b.column(2).to_pylist()]
             yield _dealt(held, np.asarray(b.column(0)), parts, 0)
 
@@ -200,7 +200,7 @@ def common_keys(shared: DataFrame, most: int = 100_000) -> np.ndarray:
     """
 
     def run(batches):
-        for b in pieces(batches, 4096, 32 << 20):
+        for b in pieces(batches, 4096, 8 << 20):
             flat = np.sort(np.concatenate([np.frombuffer(x, np.int64) for x in b.column(2).to_pylist()]))
             first = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]]))
             n = np.diff(np.append(first, len(flat)))
@@ -256,14 +256,14 @@ class DivideSkip:
         self.sets, self.sizes, self.percent, self.mu = sets, sizes, percent, mu
         held = np.array([len(s) for s in sets])
         flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
-        owner = np.repeat(np.arange(len(sets)), held)
+        owner = np.repeat(np.arange(len(sets), dtype=np.int32), held)
         order = np.argsort(flat, kind="stable")
         flat, self.owners = flat[order], owner[order]
         first = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]])) if len(flat) else np.zeros(0, int)
         self.lengths = np.diff(np.append(first, len(flat)))
         self.starts = first
-        self.places = np.empty(len(flat), int)  # of each set's shingles in turn: their list
-        self.places[order] = np.repeat(np.arange(len(first)), self.lengths)
+        self.places = np.empty(len(flat), np.int32)  # of each set's shingles in turn: their list
+        self.places[order] = np.repeat(np.arange(len(first), dtype=np.int32), self.lengths)
         self.offsets = np.concatenate([[0], np.cumsum(held)])
 
     def search(self, q: int, alive: np.ndarray) -> list[int]:
@@ -401,7 +401,7 @@ def _edges(rows: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(rows[:, i])) for i in range(5)], names=["key", "u", "v", "lo", "hi"])
 
 
-def link_components(docs: DataFrame, width: int = 5, percent: int = 75, block: int = 1024, broadcast_rows: int = 500_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def link_components(docs: DataFrame, width: int = 5, percent: int = 75, block: int = 1024, block_keys: int = 1 << 20, broadcast_rows: int = 500_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles and component_id of every document.
 
     Words are runs of non-white-space with A-Z lower-cased. A text of fewer than ``width``
@@ -412,6 +412,7 @@ def link_components(docs: DataFrame, width: int = 5, percent: int = 75, block: i
     different shingles, or sets, are taken for one with a chance of 2**-64 a pair.
     """
     spark = docs.sparkSession
+    small_batches(docs)
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
     tasks = _tasks(spark)
 
@@ -497,8 +498,9 @@ def link_components(docs: DataFrame, width: int = 5, percent: int = 75, block: i
     groups = components(starred.where("u <> v").select("u", "v").union(leaders))
     groups = materialise(groups, "groups")
 
-    sizes = groups.groupBy("label").agg(F.count("*").alias("size"))
-    members = groups.join(sizes, "label").select(F.col("node").alias("sig"), F.col("label").alias("grp"), F.ceil(F.col("size") / F.lit(block)).cast("long").alias("blocks"))
+    lots = F.greatest(F.ceil(F.count("*") / F.lit(block)), F.ceil(F.sum(F.octet_length("keys") / 8) / F.lit(block_keys))).cast("long")
+    sized = sets.join(groups, F.col("sig") == F.col("node"))
+    members = groups.join(sized.groupBy("label").agg(lots.alias("blocks")), "label").select(F.col("node").alias("sig"), F.col("label").alias("grp"), "blocks")
     sets = materialise(sets.join(members, "sig").withColumn("block", F.pmod(F.xxhash64("sig"), F.col("blocks"))), "members")
     links = materialise(_search_blocks(sets.withColumns({"comp": F.col("sig"), "asks": F.lit(True)}), percent, tasks), "links")
 
@@ -511,7 +513,7 @@ def link_components(docs: DataFrame, width: int = 5, percent: int = 75, block: i
         # representatives among themselves, in blocks of their own
         now = labelled(links)
         leads = now.where("comp = sig")
-        counts = leads.groupBy("grp").agg(F.ceil(F.count("*") / F.lit(block)).cast("long").alias("lots"))
+        counts = leads.groupBy("grp").agg(lots.alias("lots"))
         leads = leads.join(counts, "grp").withColumn("block", F.pmod(F.xxhash64("sig", F.lit(1)), F.col("lots"))).withColumn("asks", F.lit(True))
         links = materialise(links.union(_search_blocks(leads, percent, tasks)), "links")
         # all outside the largest component of a group, against every block of the group

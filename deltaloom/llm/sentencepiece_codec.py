@@ -3,24 +3,24 @@
 Encoding keeps a score-ordered agenda (a heap) of adjacent symbol pairs: the pair whose
 joined piece has the highest score, leftmost on ties, is merged first. A text is first cut
 wherever no piece of the vocabulary can span the cut; the agenda's result on each chunk is
-then the same as on the whole text, so chunks can be kept in a bounded memo. Every chunk
-that enters the memo is checked against the sentencepiece library, batch by batch.
+then the same as on the whole text, so chunks can be kept in a bounded pool. Every chunk
+that enters the pool is checked against the sentencepiece library, batch by batch.
 """
 
 from __future__ import annotations
 
-import gc
 import hashlib
 import heapq
-import re
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import pieces
+from .common import RunPool, pieces, small_batches, uncollected, word_spans
 
 SPACE = "▁"
+_NOTHING, _AS_IS = np.zeros(256, bool), np.arange(256, dtype=np.uint8)
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
 
@@ -57,7 +57,7 @@ class PieceCodec:
     are refused with ValueError when loaded.
     """
 
-    def __init__(self, model_file: str, memo: int = 800_000, check: bool = True):
+    def __init__(self, model_file: str, memo: int = 1_100_000, check: bool = True):
         import sentencepiece
 
         self.library = sentencepiece.SentencePieceProcessor(model_file=model_file)
@@ -94,8 +94,10 @@ class PieceCodec:
             raise ValueError("user-defined symbols are not supported")
         self.fallback = len(self.byte_ids) == 256
         self.inside = {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)}
-        self.words = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+") if not any(p[1] == SPACE != p[0] for p in self.inside) else re.compile(".+", re.S)
-        self.limit, self.memo, self.runs, self.check = memo, {}, {}, check
+        #: Whether no piece goes on with a space after something else, so that words stand alone.
+        self.apart = not any(p[1] == SPACE != p[0] for p in self.inside)
+        self.pool, self.runs, self.check = RunPool(memo), {}, check
+        self.names = list(map(str, range(len(self.pieces))))
         self.shown = [p.replace(SPACE, " ") for p in self.pieces]
 
     def agenda(self, text: str) -> list[int]:
@@ -152,43 +154,40 @@ class PieceCodec:
             out = [x for k, x in enumerate(out) if x != self.unknown or not k or out[k - 1] != x]
         return out
 
-    def learn(self, words: list[str]) -> None:
-        """Encode chunks into the memo, and check them against the library in one batch."""
-        new = [(w, self.chunk(w)) for w in words]
-        if self.check and self.prefix:
-            at = [i for i, (w, _) in enumerate(new) if w[0] == SPACE and w != SPACE]
-            for i, said in zip(at, self.library.encode([new[i][0][1:].replace(SPACE, " ") for i in at], num_threads=1)):
-                if said != new[i][1]:
-                    raise AssertionError(f"agenda and library differ on {new[i][0]!r}: {new[i][1]} and {said}")
-        for w, ids in new:
-            self.memo[w] = (ids, ",".join(map(str, ids)))
-
-    def encode_batch(self, texts: list[str]) -> list[tuple[list[int], str]]:
-        """Ids of each text, and the same as decimals joined by commas."""
-        memo = self.memo
-        if len(memo) > self.limit:
-            memo.clear()
-        if len(self.runs) > self.limit:
+    def _learn(self, hashes: np.ndarray, words: list[str]) -> None:
+        """Encode chunks into the pool, and check them against the library in one batch."""
+        if len(self.runs) > 60_000:
             self.runs.clear()
-        split = [self.words.findall(self.prefix + t.replace(" ", SPACE)) if t else [] for t in texts]
-        missing = {w for ws in split for w in ws if w not in memo}
-        if missing:
-            self.learn(list(missing))
-        out = []
-        for ws in split:
-            got = [memo[w] for w in ws]
-            ids: list[int] = []
-            for g in got:
-                ids += g[0]
-            if not self.fallback:
-                ids = [x for k, x in enumerate(ids) if x != self.unknown or not k or ids[k - 1] != x]
-                out.append((ids, ",".join(map(str, ids))))
-            else:
-                out.append((ids, ",".join([g[1] for g in got])))
-        return out
+        words = [w.replace(" ", SPACE) for w in words]
+        new = [self.chunk(w) for w in words]
+        if self.check and self.prefix:
+            at = [i for i, w in enumerate(words) if w[0] == SPACE and w != SPACE]
+            for i, said in zip(at, self.library.encode([words[i][1:].replace(SPACE, " ") for i in at], num_threads=1)):
+                if said != new[i]:
+                    raise AssertionError(f"agenda and library differ on {words[i]!r}: {new[i]} and {said}")
+        sizes = np.fromiter(map(len, new), np.int32, len(new))
+        self.pool.add(hashes, np.fromiter((x for ids in new for x in ids), np.uint32, int(sizes.sum())), sizes)
+
+    def encode_batch(self, texts: list[str | None]) -> list[list[int]]:
+        """Ids of each text; nulls count as empty."""
+        # a run is spaces and what follows them up to the next space; literal piece spaces are the same
+        column = pa.array([self.prefix.replace(SPACE, " ") + t.replace(SPACE, " ") if t else "" for t in texts], pa.large_string())
+        raw, begins, ends, counts = word_spans(column, _NOTHING)
+        if self.apart and len(raw):
+            space = raw == 32
+            cut = np.append(False, space[1:] & ~space[:-1])
+            cut[begins] = False
+            at = np.flatnonzero(cut)
+            owner = np.searchsorted(begins, at, "right") - 1  # the text of each cut, among those not empty
+            counts[np.flatnonzero(counts)] += np.bincount(owner, minlength=len(begins))
+            begins, ends = np.sort(np.append(begins, at)), np.sort(np.append(ends, at))
+        got = [ids.tolist() for ids in self.pool.fill(raw, begins, ends, counts, _AS_IS, self._learn, [])]
+        if not self.fallback:  # the library shows a run of unknown symbols as one
+            got = [[x for k, x in enumerate(ids) if x != self.unknown or not k or ids[k - 1] != x] for ids in got]
+        return got
 
     def encode(self, text: str) -> list[int]:
-        return self.encode_batch([text])[0][0]
+        return self.encode_batch([text])[0]
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids: pieces joined, byte pieces as UTF-8, the prefix space dropped."""
@@ -269,23 +268,23 @@ def encode_documents(docs: DataFrame, model_file: str, id_col: str = "doc_id", t
 
     def run(batches):
         own = codec(model_file)
-        gc.disable()  # the memo's many small lists hold no cycles, and walking them costs a third of the time
-        for b in pieces(batches):
-            texts = [t or "" for t in b.column(1).to_pylist()]
-            coded = own.encode_batch(texts)
-            back = [own.decode(ids) for ids, _ in coded]
-            if own.check and back != own.library.decode([ids for ids, _ in coded]):
-                raise AssertionError("decoded texts differ from the library's")
-            cols = [
-                b.column(0).cast(pa.int64()),
-                pa.array([len(ids) for ids, _ in coded], pa.int64()),
-                pa.array([hashlib.sha256(s.encode()).hexdigest() for _, s in coded], pa.string()),
-                pa.array([hashlib.sha256(t.encode()).hexdigest() for t in back], pa.string()),
-            ]
-            if with_ids:
-                cols.append(pa.array([ids for ids, _ in coded], pa.list_(pa.int32())))
-            if with_text:
-                cols.append(pa.array(back, pa.string()))
-            yield pa.RecordBatch.from_arrays(cols, names=schema.names)
-
+        with uncollected():
+            for b in pieces(batches):
+                coded = own.encode_batch(b.column(1).to_pylist())
+                back = [own.decode(ids) for ids in coded]
+                if own.check and back != own.library.decode(coded):
+                    raise AssertionError("decoded texts differ from the library's")
+                cols = [
+                    b.column(0).cast(pa.int64()),
+                    pa.array(list(map(len, coded)), pa.int64()),
+                    pa.array([hashlib.sha256(",".join([own.names[i] for i in ids]).encode()).hexdigest() for ids in coded], pa.string()),
+                    pa.array([hashlib.sha256(t.encode()).hexdigest() for t in back], pa.string()),
+                ]
+                if with_ids:
+                    cols.append(pa.array(coded, pa.list_(pa.int32())))
+                if with_text:
+                    cols.append(pa.array(back, pa.string()))
+                yield pa.RecordBatch.from_arrays(cols, names=schema.names)
+
+    small_batches(docs)
     return docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text")).mapInArrow(run, schema)

@@ -17,7 +17,6 @@ so a reader needs one file for a document and, by the index, only the blocks it
 
 from __future__ import annotations
 
-import gc
 import re
 import struct
 import uuid
@@ -29,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fresh_path, hash_spans, materialise, pieces, word_spans
+from .common import RunPool, fresh_path, materialise, pieces, small_batches, word_spans
 from .storage import list_files, open_input, publish
 
 MAGIC, END = b"DLTOKPL1", b"DLTOKEND"
@@ -146,37 +145,6 @@ _KINDS[[*range(65, 91), *range(97, 123), *range(0x80, 0xC0), 0xC3]] = 0
 _KINDS[[c for c in range(33, 127) if not chr(c).isalnum() and c != 39]] = 1
 
 
-class _Places:
-    """Sorted hashes and the place of each; new ones gather in a small second table."""
-
-    def __init__(self):
-        self.levels = [(np.zeros(0, np.uint64), np.zeros(0, np.int32))] * 2
-
-    def __len__(self) -> int:
-        return sum(len(k) for k, _ in self.levels)
-
-    def find(self, hashes: np.ndarray) -> np.ndarray:
-        """The places of sorted hashes; -1 for those that aren't known."""
-        out = np.full(len(hashes), -1, np.int32)
-        for keys, places in self.levels:
-            if len(keys):
-                at = np.minimum(np.searchsorted(keys, hashes), len(keys) - 1)
-                hit = keys[at] == hashes
-                out[hit] = places[at[hit]]
-        return out
-
-    def add(self, hashes: np.ndarray, places: np.ndarray) -> None:
-        self.levels[1] = self._merged(self.levels[1], (hashes, places))
-        if len(self.levels[1][0]) > max(50_000, len(self.levels[0][0]) // 4):
-            self.levels = [self._merged(*self.levels), (hashes[:0], places[:0])]
-
-    @staticmethod
-    def _merged(a, b):
-        keys = np.concatenate([a[0], b[0]])
-        order = np.argsort(keys, kind="stable")
-        return keys[order], np.concatenate([a[1], b[1]])[order]
-
-
 class ChunkTokenizer:
     """The tokenizers library over texts, asked once per distinct run without white space.
 
@@ -190,30 +158,14 @@ class ChunkTokenizer:
 
     _ONE = re.compile(r"[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+|[!-&(-/:-@\[-`{-~]+")
 
-    def __init__(self, path: str, memo: int = 3_000_000, whole: bool = False):
+    def __init__(self, path: str, memo: int = 2_000_000, whole: bool = False):
         from tokenizers import Tokenizer
 
-        self.library, self.limit, self.whole = Tokenizer.from_file(path), memo, whole
+        self.library, self.whole = Tokenizer.from_file(path), whole
         vocabulary = self.library.get_vocab()
         self.last = np.zeros(max(vocabulary.values()) + 1, bool)  # pieces that end a word
         self.last[[i for p, i in vocabulary.items() if p.endswith("</w>")]] = True
-        self._forget()
-
-    def _forget(self) -> None:
-        self.slots = _Places()
-        self.pool, self.used = np.zeros(1 << 16, np.uint32), 0
-        self.starts, self.sizes = np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int32)
-
-    def _keep(self, hashes: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> None:
-        at, n = len(self.slots), len(sizes)
-        while len(self.pool) < self.used + len(ids):
-            self.pool = np.append(self.pool, np.zeros_like(self.pool))
-        while len(self.starts) < at + n:
-            self.starts, self.sizes = np.append(self.starts, self.starts * 0), np.append(self.sizes, self.sizes * 0)
-        self.pool[self.used : self.used + len(ids)] = ids
-        self.starts[at : at + n], self.sizes[at : at + n] = self.used + np.cumsum(sizes) - sizes, sizes
-        self.used += len(ids)
-        self.slots.add(hashes, np.arange(at, at + n, dtype=np.int32))
+        self.runs = RunPool(memo)
 
     def _learn(self, hashes: np.ndarray, words: list[str]) -> None:
         """Ids of runs: those that are one word each in long lines, the rest one by one."""
@@ -225,13 +177,13 @@ class ChunkTokenizer:
             ids = np.array(self.library.encode(" ".join([words[k] for k in lot]), add_special_tokens=False).ids, np.uint32)
             stops = np.flatnonzero(self.last[ids]) + 1
             if len(stops) == len(lot):
-                self._keep(hashes[lot], ids, np.diff(stops, prepend=0))
+                self.runs.add(hashes[lot], ids, np.diff(stops, prepend=0))
             else:
                 rest += lot
         for at in range(0, len(rest), 4000):
             lot = rest[at : at + 4000]
             got = [np.array(e.ids, np.uint32) for e in self.library.encode_batch([words[k] for k in lot], add_special_tokens=False)]
-            self._keep(hashes[lot], np.concatenate(got), np.array([len(x) for x in got], np.int64))
+            self.runs.add(hashes[lot], np.concatenate(got), np.array([len(x) for x in got], np.int64))
 
     @staticmethod
     def _apart(raw: np.ndarray, begins: np.ndarray, ends: np.ndarray, counts: np.ndarray):
@@ -256,25 +208,9 @@ class ChunkTokenizer:
         tail = [] if end is None else [end]
         if self.whole:
             return [np.array(e.ids + tail, np.uint32) for e in self.library.encode_batch([t or "" for t in column.to_pylist()], add_special_tokens=False)]
-        if len(self.slots) > self.limit:
-            self._forget()
         raw, *spans = word_spans(column, _CUTS)
         begins, ends, counts = self._apart(raw, *spans)
-        hashes, first, back = np.unique(hash_spans(raw, begins, ends, _AS_IS), return_index=True, return_inverse=True)
-        slot = self.slots.find(hashes)
-        new = np.flatnonzero(slot < 0)
-        if len(new):
-            text, at = raw.tobytes(), first[new]
-            self._learn(hashes[new], [text[lo:hi].decode() for lo, hi in zip(begins[at].tolist(), ends[at].tolist())])
-            slot[new] = self.slots.find(hashes[new])
-        start, size = self.starts[slot][back], self.sizes[slot][back]
-        ahead = np.cumsum(size, dtype=np.int32)  # a batch has fewer ids than bytes
-        doc = np.repeat(np.arange(len(counts), dtype=np.int32), counts) * len(tail)
-        out = np.full(int(ahead[-1] if len(ahead) else 0) + len(counts) * len(tail), tail[0] if tail else 0, np.uint32)
-        step = np.arange(int(ahead[-1]) if len(ahead) else 0, dtype=np.int32)
-        out[step + np.repeat(doc, size)] = self.pool[step + np.repeat(start - ahead + size, size)]
-        stops = np.append(0, ahead)[np.append(0, np.cumsum(counts))] + np.arange(len(counts) + 1) * len(tail)
-        got = [out[lo:hi] for lo, hi in zip(stops, stops[1:])]
+        got = self.runs.fill(raw, begins, ends, counts, _AS_IS, self._learn, tail)
         k = len(counts) // 2
         if len(counts) and got[k].tolist() != self.library.encode(column[k].as_py() or "", add_special_tokens=False).ids + tail:
             raise AssertionError("this tokenizer doesn't treat runs between white space alone; use whole=True")
@@ -294,6 +230,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, out_dir: str, end_id: int | No
     name made from their content, so a task that runs again leaves the same file.
     Manifest: path, part (order of files), n_docs, n_tokens.
     """
+    small_batches(docs)
     rows = docs.select(F.coalesce(docs[id_col].cast("long"), F.lit(-(1 << 63))).alias("doc_id"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
     dealt = rows.repartitionByRange(F.col("doc_id"), F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"))
     schema = "path string, part long, n_docs long, n_tokens long, first_id long"
@@ -304,7 +241,6 @@ def write_tokens(docs: DataFrame, tokenizer: str, out_dir: str, end_id: int | No
         key = (tokenizer, whole)
         if key not in _TOKENIZERS:
             _TOKENIZERS[key] = ChunkTokenizer(tokenizer, whole=whole)
-        gc.disable()
         part = TaskContext.get().partitionId()
         writer = None
         tokens = docs_n = 0

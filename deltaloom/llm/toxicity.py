@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, pieces
+from .common import carried, materialise, pieces, small_batches
 
 # Second-person words of the learned languages.
 SECOND_PERSON = frozenset("you your yours yourself du dich dir dein deine ihr euch tu te toi ton ta tes vous votre vos tú ti tus usted ustedes vosotros".split())
@@ -261,17 +261,21 @@ def collect_features(sample: DataFrame, words: dict, begins: dict) -> tuple[np.n
     return x, got["toxic"].to_numpy().astype(float), got["fold"].to_numpy()
 
 
-def score(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text", carry: list[str] = []) -> DataFrame:  # noqa: B006
     """doc_id, score and predicted of every whole text.
 
     Null and empty texts are scored as texts without words. Repeated rows each give a row,
-    null ids stay null, other columns are ignored.
+    null ids stay null, other columns are ignored. ``carry`` names columns of ``docs`` that
+    each row takes along instead of doc_id.
     """
 
     def run(batches):
         lexicon = Lexicon(model.words, model.begins)
         for b in pieces(batches):
             s = model.score(np.array([lexicon.features(t) for t in b.column(1).to_pylist()], float))
-            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], names=["doc_id", "score", "predicted"])
+            first = b.columns[2:] if carry else [b.column(0).cast(pa.int64())]
+            yield pa.RecordBatch.from_arrays([pa.array(s), pa.array((s >= 0.5).astype(np.int32)), *first], names=["score", "predicted", *(carry or ["doc_id"])])
 
-    return docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text")).mapInArrow(run, "doc_id long, score double, predicted int")
+    small_batches(docs)
+    rows, fields = carried(docs, id_col, text_col, carry)
+    return rows.mapInArrow(run, "score double, predicted int" + (fields or ", doc_id long"))
