@@ -14,13 +14,16 @@ class Engine:
     """What every relation, variable and iteration is built with.
 
     ``max_iterations`` bounds the rounds of iterations made without a bound of their own;
-    ``workers`` is the number of variables whose rounds are submitted at once. Derived
+    ``workers`` is the number of variables whose rounds are submitted at once. A round's
+    candidates are looked for in ``probe_from`` or more known tuples by a scan that probes
+    the candidates, if these are at most ``probe_most``; else both are shuffled. Derived
     batches are written under ``spark.checkpoint.dir``, which all executors share, so an
     executor can be lost at any time; a local folder is made only where that is unset.
     """
 
-    def __init__(self, spark: SparkSession, max_iterations: int | None = None, workers: int = 4):
+    def __init__(self, spark: SparkSession, max_iterations: int | None = None, workers: int = 4, probe_from: int = 5_000_000, probe_most: int = 500_000):
         self.spark, self.max_iterations, self.workers = spark, max_iterations, workers
+        self.probe_from, self.probe_most = probe_from, probe_most
         folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
         if not folder:
             folder = tempfile.mkdtemp(prefix="deltaloom-")

@@ -10,6 +10,7 @@ outgrows one relation's proposals.
 from __future__ import annotations
 
 from collections.abc import Mapping
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,6 +31,10 @@ class Leaper:
     def count(self) -> int:
         return 1 << 62
 
+    def counted(self, tuples: DataFrame, name: str) -> DataFrame:
+        """The tuples with the number of values proposed for each as one more column."""
+        return tuples.withColumn(name, F.lit(self.count()))
+
     def filter(self, tuples: DataFrame) -> DataFrame:
         """Source tuples that may be extended at all."""
         return tuples
@@ -71,11 +76,10 @@ class ExtendWith(Leaper):
     def count(self) -> int:
         return self.relation.count()
 
-    def counts(self, tuples: DataFrame) -> DataFrame:
-        """Each tuple with the number of values proposed for it, as column ``n``."""
+    def counted(self, tuples: DataFrame, name: str) -> DataFrame:
         side, on = _side(self.relation, self.key, self.value)
         side = side.distinct().groupBy(*[c for c in side.columns if c != "_v"]).agg(F.count(F.lit(1)).alias("_n"))
-        return tuples.join(side, _both(on), "left").select("t", F.coalesce("_n", F.lit(0)).alias("n"))
+        return tuples.join(side, _both(on), "left").select(tuples["*"], F.coalesce("_n", F.lit(0)).alias(name))
 
     def propose(self, tuples: DataFrame) -> DataFrame:
         side, on = _side(self.relation, self.key, self.value)
@@ -108,10 +112,21 @@ class ExtendAnti(Leaper):
         return pairs.join(side, _both([*on, F.col("v") == F.col("_v")]), "left_anti")
 
 
-def extend_into(source: Variable, leapers: list[Leaper], select, out: Variable) -> None:
+def _extended(tuples: DataFrame, first: Leaper, leapers: list[Leaper]) -> DataFrame:
+    pairs = first.propose(tuples)
+    for x in leapers:
+        if x is not first:
+            pairs = x.intersect(pairs)
+    return pairs.select("t", "v")
+
+
+def extend_into(source: Variable, leapers: list[Leaper], select, out: Variable, by_tuple: bool = False) -> None:
     """Extend the source's recent tuples by every value that all leapers admit.
 
-    Without a leaper that proposes there are no values, so nothing is added.
+    Without a leaper that proposes there are no values, so nothing is added. With
+    ``by_tuple`` each tuple's values are proposed by the leaper that has the fewest for
+    that tuple, the first of equals: more joins, but the bound of a worst-case-optimal join
+    where relations are skewed differently.
     """
     proposers = [x for x in leapers if x.proposes]
     if not proposers or not source.recent_count:
@@ -119,9 +134,18 @@ def extend_into(source: Variable, leapers: list[Leaper], select, out: Variable)
     tuples = source.recent.select(F.struct("*").alias("t"))
     for x in leapers:
         tuples = x.filter(tuples)
-    first = min(proposers, key=lambda x: x.count()) if len(proposers) > 1 else proposers[0]
-    pairs = first.propose(tuples)
-    for x in leapers:
-        if x is not first:
-            pairs = x.intersect(pairs)
+    if by_tuple and len(proposers) > 1:
+        names = [f"_n{i}" for i in range(len(proposers))]
+        for x, name in zip(proposers, names):
+            tuples = x.counted(tuples, name)
+        fewest, parts = F.least(*names), []
+        for i, x in enumerate(proposers):
+            mine = (F.col(names[i]) == fewest) & (fewest > 0)
+            for earlier in names[:i]:
+                mine &= F.col(earlier) != fewest
+            parts.append(_extended(tuples.where(mine).select("t"), x, leapers))
+        pairs = reduce(DataFrame.union, parts)
+    else:
+        first = min(proposers, key=lambda x: x.count()) if len(proposers) > 1 else proposers[0]
+        pairs = _extended(tuples, first, leapers)
     out.insert(pairs.select(*as_columns(select)))

@@ -6,6 +6,7 @@ from collections.abc import Iterable
 from functools import reduce
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..engine import Engine
@@ -67,14 +68,29 @@ class Variable:
         if not self._pending:
             return False
         new = reduce(DataFrame.union, [r.df for r in self._pending])
-        # subtraction is null-safe and leaves distinct rows
-        new = new.subtract(self.stable) if self._stable else new.distinct()
         self._pending = []
-        path, n = self.engine.write(new)
+        path, n = self.engine.write(self._unknown(new) if self._stable else new.distinct())
         if n:
             self._recent = path, n
         return bool(n)
 
+    def _unknown(self, new: DataFrame) -> DataFrame:
+        """Candidates that no stable tuple equals, each once; nulls equal each other.
+
+        A subtraction shuffles all stable tuples. Where these are many and the candidates,
+        once written and counted, few, the stable batches are scanned in place against the
+        candidates instead, and only what was found is subtracted.
+        """
+        if self.stable_count < self.engine.probe_from:
+            return new.subtract(self.stable)
+        path, n = self.engine.write(new.distinct())
+        new = self.engine.read([path], self.schema)
+        if n > self.engine.probe_most:
+            return new.subtract(self.stable)
+        s, c = self.stable.alias("s"), F.broadcast(new.alias("c"))
+        same = reduce(lambda a, b: a & b, [F.col(f"s.`{f}`").eqNullSafe(F.col(f"c.`{f}`")) for f in new.columns])
+        return new.subtract(s.join(c, same, "left_semi"))
+
     def total_len(self) -> int:
         """Stable, recent and pending tuples; pending ones count though known already."""
         return self.stable_count + self.recent_count + sum(r.count() for r in self._pending)

@@ -104,6 +104,15 @@ def test_closure_of_random_graphs(engine):
         assert transitive_closure(engine, rel).rows() == naive_closure(edges)
 
 
+def test_candidates_probe_many_known_tuples(spark):
+    """The scan of known tuples, and its limit, give what subtraction gives."""
+    edges = [(1, 2), (2, 3), (3, 1), (2, None), (None, 1)]
+    for most in (10**6, 3):
+        probing = Engine(spark, probe_from=0, probe_most=most)
+        got = transitive_closure(probing, Relation.from_rows(probing, edges, "a long, b long"))
+        assert sorted(got.rows(), key=repr) == naive_closure(edges)
+
+
 def test_long_chain_keeps_plans_small(engine):
     got = transitive_closure(engine, Relation.from_rows(engine, [(i, i + 1) for i in range(100)], "a long, b long"))
     assert len(got) == 5050

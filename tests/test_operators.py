@@ -85,9 +85,13 @@ def test_joins_equal_naive_ones(engine):
 
 
 def extended(engine, source, *leapers):
-    o = out(engine)
-    extend_into(var(engine, source, "k long"), list(leapers), ["t.k AS k", "v AS v"], o)
-    return o.complete().rows()
+    got = []
+    for by_tuple in (False, True):
+        o = out(engine)
+        extend_into(var(engine, source, "k long"), list(leapers), ["t.k AS k", "v AS v"], o, by_tuple)
+        got.append(o.complete().rows())
+    assert got[0] == got[1]
+    return got[0]
 
 
 def test_extension(engine):
@@ -102,7 +106,7 @@ def test_extension(engine):
     assert extended(engine, [1, 2, 3, 4], *three) == [(2, 200)]
     assert extended(engine, [1, 2], ew([]), ea([])) == []
     assert extended(engine, [1], ew([(1, 5)]), FilterAnti(rel(engine, [], "k long"), {"k": "t.k"}), ea([])) == [(1, 5)]
-    counts = ew([(1, 10), (1, 20), (1, 30), (2, 100), (2, 200)]).counts(engine.spark.createDataFrame([(1,), (2,), (99,)], "k long").select(F.struct("k").alias("t")))
+    counts = ew([(1, 10), (1, 20), (1, 30), (2, 100), (2, 200)]).counted(engine.spark.createDataFrame([(1,), (2,), (99,)], "k long").select(F.struct("k").alias("t")), "n")
     assert {r.t.k: r.n for r in counts.collect()} == {1: 3, 2: 2, 99: 0}
 
 
