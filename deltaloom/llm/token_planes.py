@@ -3,7 +3,8 @@
 File format (all integers little-endian):
 
 * header: 8 bytes ``DLTOKPL1``; u32 ids in a block; u8 planes kind (1 bit, 8 byte);
-  3 zero bytes; u64 position of the file's first id in the whole corpus;
+  3 zero bytes; u64 position of the file's first id in the corpus, 0 where it isn't known
+  yet (files are written at once; the manifest gives their order and sizes);
 * one chunk per block: for each of its planes a zstandard frame;
 * index: per block u64 offset, u32 number of ids, then u32 size of each plane's frame
   (32 sizes for bit planes, 4 for byte planes);
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import RunPool, fresh_path, materialise, pieces, small_batches, word_spans
+from .common import RunPool, fresh_path, materialise, pieces, small_batches, uncollected, word_spans
 from .storage import list_files, open_input, publish
 
 MAGIC, END = b"DLTOKPL1", b"DLTOKEND"
@@ -245,15 +246,16 @@ def write_tokens(docs: DataFrame, tokenizer: str, out_dir: str, end_id: int | No
         writer = None
         tokens = docs_n = 0
         first = None
-        for b in pieces(batches, 1024, 4 << 20):
-            if writer is None:
-                temp = publish(out_dir, f"part-{part:06d}-{uuid.uuid4().hex}.dlt")
-                out = temp.open()
-                writer, first = Writer(out, 0, block, kind), b.column(0)[0].as_py()
-            for d, ids in zip(b.column(0).to_pylist(), _TOKENIZERS[key].encode_batch(b.column(1), end_id)):
-                writer.add(d, ids)
-                tokens += len(ids)
-            docs_n += b.num_rows
+        with uncollected():
+            for b in pieces(batches, 1024, 4 << 20):
+                if writer is None:
+                    temp = publish(out_dir, f"part-{part:06d}-{uuid.uuid4().hex}.dlt")
+                    out = temp.open()
+                    writer, first = Writer(out, 0, block, kind), b.column(0)[0].as_py()
+                for d, ids in zip(b.column(0).to_pylist(), _TOKENIZERS[key].encode_batch(b.column(1), end_id)):
+                    writer.add(d, ids)
+                    tokens += len(ids)
+                docs_n += b.num_rows
         if writer is not None:
             writer.close()
             out.close()
