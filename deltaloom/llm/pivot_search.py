@@ -65,7 +65,7 @@ def _pack(rows, pivots: dict[int, np.ndarray], scale: float, block: int):
 
 
 def search_block(q_ids, q, q_table, x_ids, x, x_table, k: int):
-    """Each query's k best of one block of candidates: (query, candidate, score) arrays.
+    """Each query's k best distinct ids of one block of candidates: (query, candidate, score) arrays.
 
     Returns also how many candidates were evaluated exactly.
     """
@@ -95,7 +95,8 @@ def search_block(q_ids, q, q_table, x_ids, x, x_table, k: int):
             done, work = done + len(at), work + len(at)
             step = min(2 * step, 4096)
             s, ids = np.concatenate([best_s, x[at] @ q[i]]), np.concatenate([best_i, x_ids[at]])
-            top = np.lexsort((ids, -s))[:k]
+            top = np.lexsort((ids, -s))
+            top = top[np.sort(np.unique(ids[top], return_index=True)[1])[:k]]  # an id's best row only
             best_s, best_i = s[top], ids[top]
         found[0].append(np.full(len(best_s), q_ids[i]))
         found[1].append(best_i)

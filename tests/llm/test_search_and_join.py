@@ -133,6 +133,17 @@ def test_top_k_equals_brute_force(spark, block):
     assert got == brute_top(rows)
 
 
+def test_top_k_behind_repeated_ids(spark):
+    """One block whose best candidates are rows of one id, equal or not, more often than k."""
+    rows = [(50, [1.0, 0.0])] + [(7, [9.0, 1.0])] * 8 + [(8, [7.0 - j / 8, 0.0]) for j in range(7)] + [(i, [6.0 - i / 8, 2.0]) for i in range(9, 20)]
+    got = sorted((r.query_id, r.rank, r.vec_id, r.score) for r in pivot_search.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>").coalesce(1), pivots=3).collect())
+    best = {}
+    for i, v in rows[1:]:
+        best[i] = max(best.get(i, -(10**9)), math.floor(256 * v[0]) * 256)
+    want = sorted(best.items(), key=lambda x: (-x[1], x[0]))[:5]
+    assert got == [(50, r, i, s) for r, (i, s) in enumerate(want, 1)]
+
+
 def test_top_k_of_nothing(spark):
     assert pivot_search.top_k(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
     one = spark.createDataFrame([(50, [1.0])], "vec_id long, embedding array<float>")
