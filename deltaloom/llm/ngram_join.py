@@ -435,6 +435,10 @@ def link_components(docs: DataFrame, width: int = 5, percent: int = 75, block: i
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(right, pa.int64())), pa.array([len(sets[i]) for i in right], pa.int64()), pa.array([sets[i].tobytes() for i in right], pa.binary())], names=["sig", "n", "shingles"])
 
     sets = materialise(rows.where("text is not null").join(wanted, "doc_id").select("sig", "text").mapInArrow(sets_of, "sig long, n long, shingles binary"), "sets")
+    # a representative whose row occurs more than once came once for each: one row for each set
+    twice = materialise(sets.groupBy("sig").count().where("count > 1").select("sig"), "repeated-sets")
+    if not twice.isEmpty():
+        sets = sets.join(twice, "sig", "left_anti").union(sets.join(twice, "sig", "left_semi").dropDuplicates(["sig"]))
 
     sets = materialise(shared_keys(sets, percent, tasks), "shared")
     ranked = common_keys(sets)

@@ -79,6 +79,22 @@ def test_join_without_ids_and_rows(spark):
     assert got == [(-1, -1, 26), (4, 4, 26), (4, 4, 26), (5, 4, 26), (9, 9, 0)]
 
 
+@pytest.mark.parametrize("parts", [1, 3])
+def test_join_with_repeated_rows(spark, parts):
+    """Rows that repeat an id and a text stand next to texts that share half of their shingles."""
+    rows = []
+    for f in range(6):
+        w = [f"r{f}_{i}" for i in range(60)]
+        half, near = w[: 30 + 2 * f] + [f"s{f}_{i}" for i in range(30)], [*w[:-1], "end"]
+        rows += [(10 * f, " ".join(w))] * (2 + f) + [(10 * f + 1, " ".join(half))] * (1 + f % 2) + [(10 * f + 2, " ".join(near))] * (f % 3)
+    texts = [t for _, t in rows]
+    sizes, roots = brute_links(texts)
+    want = sorted((i, n, rows[r][0]) for (i, _), n, r in zip(rows, sizes, roots))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.link_components(df).collect())
+    assert got == want
+
+
 def test_divide_skip_misses_nothing():
     rnd = np.random.default_rng(3)
     pool = rnd.integers(1, 1 << 60, 300, dtype=np.uint64)
