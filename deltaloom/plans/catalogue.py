@@ -222,6 +222,22 @@ def q_same_generation(spark, d):
     return same_generation(Engine(spark), part.where("p_partkey BETWEEN 2 AND 127").selectExpr("p_partkey div 2 AS p", "p_partkey AS c"), part.where("p_partkey BETWEEN 1 AND 127").selectExpr("p_partkey AS x", "p_partkey AS y")).df
 
 
+def tc_cyclic_whole(spark, d):
+    """Every part: a cyclic graph like that of tc_cyclic on each 50 keys."""
+    return transitive_closure(Engine(spark), _table(spark, d, "part").selectExpr("p_partkey AS a", "p_partkey div 50 * 50 + (p_partkey * 7 + 3) % 50 AS b")).df
+
+
+def tc_nulls_whole(spark, d):
+    """Every part: a graph with nulls like that of tc_nulls on each 40 keys."""
+    edges = "CASE WHEN p_partkey % 10 = 0 THEN NULL ELSE p_partkey END AS a", "CASE WHEN p_partkey % 7 = 0 THEN NULL ELSE p_partkey div 40 * 40 + (p_partkey * 3 + 1) % 40 END AS b"
+    return transitive_closure(Engine(spark), _table(spark, d, "part").selectExpr(*edges)).df
+
+
+def same_generation_whole(spark, d):
+    """The whole part tree; the result has about a third of the square of the table's rows."""
+    return same_generation(Engine(spark), _tree(spark, d).selectExpr("b AS p", "a AS c"), _table(spark, d, "part").selectExpr("p_partkey AS x", "p_partkey AS y")).df
+
+
 def taint_blocked_reach(spark, d):
     e, part = Engine(spark), _table(spark, d, "part").where("p_partkey > 1").selectExpr("p_partkey div 2 AS a", "p_partkey AS b", "p_size")
     none = spark.createDataFrame([], "s bigint, v bigint")
@@ -237,6 +253,16 @@ def rbac(spark, d):
     return programs.access_control(e, *[Relation(e, x) for x in (roles, above, perms, denied)])["effective"].df
 
 
+def rbac_whole(spark, d):
+    """Every order a role of its customer, every part in the hierarchy, every line a permission."""
+    e = Engine(spark)
+    roles = _table(spark, d, "orders").selectExpr("o_custkey AS u", "o_orderkey AS r")
+    above = _tree(spark, d).selectExpr("a AS c", "b AS p")
+    perms = _table(spark, d, "lineitem").selectExpr("l_suppkey AS r", "l_linenumber AS p")
+    denied = _table(spark, d, "customer").selectExpr("c_custkey AS u", "c_nationkey % 7 AS p")
+    return programs.access_control(e, *[Relation(e, x) for x in (roles, above, perms, denied)])["effective"].df
+
+
 def q_lineage(spark, d):
     e, part = Engine(spark), _table(spark, d, "part")
     moves = part.where("p_partkey > 1").selectExpr("p_partkey div 2 AS a", "p_partkey AS b", "p_size")
@@ -250,6 +276,13 @@ def q_ontology(spark, d):
     return programs.ontology(e, rel(part.where("p_partkey BETWEEN 2 AND 200").selectExpr("p_partkey AS a", "p_partkey div 2 AS b")), rel(part.where("p_partkey BETWEEN 1 AND 200").selectExpr("p_partkey AS a", "CAST(p_size AS BIGINT) AS s")), rel(_table(spark, d, "supplier").selectExpr("s_suppkey AS d", "CAST(s_nationkey AS BIGINT) AS p")), rel(part.where("p_partkey BETWEEN 1 AND 200").selectExpr("p_partkey % 25 AS p", "p_partkey AS a")))["effect"].df
 
 
+def ontology_whole(spark, d):
+    """Every part has a trait and is associated."""
+    e, part = Engine(spark), _table(spark, d, "part")
+    rel = lambda df: Relation(e, df)
+    return programs.ontology(e, rel(_tree(spark, d)), rel(part.selectExpr("p_partkey AS a", "CAST(p_size AS BIGINT) AS s")), rel(_table(spark, d, "supplier").selectExpr("s_suppkey AS d", "CAST(s_nationkey AS BIGINT) AS p")), rel(part.selectExpr("p_partkey % 25 AS p", "p_partkey AS a")))["effect"].df
+
+
 def q_reachability(spark, d):
     e, part = Engine(spark), _table(spark, d, "part").where("p_partkey > 1")
     return programs.reachability(e, Relation(e, part.selectExpr("p_partkey AS a", "p_partkey div 2 AS b")), Relation(e, part.where("p_size % 2 = 0").selectExpr("p_partkey AS a", "p_partkey div 4 AS b")))["allowed"].df
@@ -318,6 +351,7 @@ QUERIES = {
     "index_range_inclusive": index_range_inclusive, "index_composite": index_composite, "tc_tree": tc_tree, "tc_tree_linear": tc_tree_linear, "tc_cyclic": tc_cyclic, "tc_nulls": tc_nulls, "reach_bound": reach_bound,
     "same_generation": q_same_generation, "taint_blocked_reach": taint_blocked_reach, "rbac": rbac, "lineage": q_lineage, "ontology": q_ontology, "reachability": q_reachability, "dependencies": q_dependencies,
     "incremental_closure": incremental_closure, "two_variables": two_variables, "recursion_limit": recursion_limit, "saved_relation": saved_relation,
+    "tc_cyclic_whole": tc_cyclic_whole, "tc_nulls_whole": tc_nulls_whole, "same_generation_whole": same_generation_whole, "rbac_whole": rbac_whole, "ontology_whole": ontology_whole,
 }
 
 _KV = "SELECT DISTINCT l_suppkey AS k, l_partkey AS v FROM lineitem"
@@ -382,4 +416,16 @@ ORACLES = {
     "two_variables": f"{_TREE}, r AS (SELECT CAST(1 AS BIGINT) AS v, 0 AS parity UNION SELECT e.a, 1 - r.parity FROM r JOIN e ON e.b = r.v) SELECT v, CAST(parity AS INTEGER) AS parity FROM r",
     "recursion_limit": f"{_TREE}, r AS (SELECT a, b, 1 AS n FROM e UNION ALL SELECT r.a, e.b, n + 1 FROM r JOIN e ON r.b = e.a WHERE n < 4) SELECT DISTINCT a, b FROM r",
     "saved_relation": _KV,
+    "tc_cyclic_whole": f"WITH RECURSIVE e AS (SELECT p_partkey AS a, p_partkey // 50 * 50 + (p_partkey * 7 + 3) % 50 AS b FROM part), {_CLOSED} SELECT a, b FROM r",
+    "tc_nulls_whole": f"WITH RECURSIVE e AS (SELECT DISTINCT CASE WHEN p_partkey % 10 = 0 THEN NULL ELSE p_partkey END AS a, CASE WHEN p_partkey % 7 = 0 THEN NULL ELSE p_partkey // 40 * 40 + (p_partkey * 3 + 1) % 40 END AS b FROM part), {_CLOSED} SELECT a, b FROM r",
+    "same_generation_whole": f"""{_TREE}, sg AS (SELECT p_partkey AS x, p_partkey AS y FROM part
+               UNION SELECT l.a, r.a FROM sg JOIN e l ON l.b = sg.x JOIN e r ON r.b = sg.y) SELECT x, y FROM sg""",
+    "rbac_whole": f"""{_TREE}, hr AS (SELECT o_custkey AS u, o_orderkey AS r FROM orders UNION SELECT hr.u, e.b FROM hr JOIN e ON e.a = hr.r),
+        ca AS (SELECT DISTINCT u, l_linenumber AS p FROM hr JOIN (SELECT DISTINCT l_suppkey, l_linenumber FROM lineitem) ON l_suppkey = r)
+        SELECT u, p FROM ca WHERE NOT EXISTS (SELECT 1 FROM customer c WHERE c.c_custkey = ca.u AND c.c_nationkey % 7 = ca.p)""",
+    "ontology_whole": f"""{_TREE}, {_CLOSED},
+        own AS (SELECT p_partkey AS a, CAST(p_size AS BIGINT) AS s FROM part),
+        has AS (SELECT a, s FROM own UNION SELECT r.a, own.s FROM r JOIN own ON own.a = r.b),
+        treats AS (SELECT DISTINCT s_suppkey AS d, p_partkey AS a FROM supplier JOIN part ON p_partkey % 25 = s_nationkey)
+        SELECT DISTINCT d, s FROM treats JOIN has USING (a)""",
 }
