@@ -16,13 +16,18 @@ from deltaloom.llm.common import materialise, table
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
-def _without(docs: DataFrame, ids: DataFrame, name: str) -> DataFrame:
-    """The documents whose id isn't among ``ids``.
+def _keyed(docs: DataFrame) -> DataFrame:
+    """The documents with a 64-bit key ``row`` of id and text: stages decide by row, as ids may be null or repeat."""
+    return docs.withColumn("row", F.xxhash64("doc_id", "text"))
 
-    The ids are written first, so Spark knows their size and shuffles the texts only if
-    there are too many ids to broadcast.
+
+def _without(keyed: DataFrame, rows: DataFrame, name: str) -> DataFrame:
+    """The documents whose key isn't among ``rows``.
+
+    The keys are written first, so Spark knows their size and shuffles the texts only if
+    there are too many keys to broadcast.
     """
-    return docs.join(materialise(ids.distinct(), name), "doc_id", "left_anti").select(*COLUMNS)
+    return keyed.join(materialise(rows.distinct(), name), "row", "left_anti")
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,21 +47,28 @@ def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def unique(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps, of each group of linked documents, the one with the smallest id.
 
-    Documents are known by their ids; of rows that repeat an id and a text one stays.
+    Rows of one id with different texts are documents of their own; of rows that repeat an
+    id and a text one stays. Documents without an id link with nothing and stay.
     """
-    found = ngram_join.link_components(docs, width=5, percent=75)
-    kept = _without(docs, found.where("component_id <> doc_id").select("doc_id"), "copies")
-    again = materialise(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
+    keyed = _keyed(docs)
+    ids = materialise(keyed.where("doc_id is not null").select("row", "doc_id"), "ids")
+    found = ngram_join.link_components(keyed.withColumn("id", F.expr("if(doc_id is null, null, row)")), width=5, percent=75, id_col="id")
+    groups = found.where("doc_id is not null").selectExpr("doc_id AS row", "component_id").distinct()
+    named = materialise(groups.join(ids, "row").select("row", "doc_id", "component_id"), "groups")
+    first = named.groupBy("component_id").agg(F.min(F.struct("doc_id", "row")).alias("first")).select("first.row")
+    kept = _without(keyed, named.select("row").join(first, "row", "left_anti"), "copies")
+    again = materialise(ids.groupBy("row").count().where("count > 1").select("row"), "repeated")
     if again.isEmpty():
-        return kept
-    rows = kept.join(again, "doc_id", "left_semi").select(*COLUMNS).dropDuplicates(["doc_id", "text"])
-    return kept.join(again, "doc_id", "left_anti").select(*COLUMNS).union(rows)
+        return kept.select(*COLUMNS)
+    rows = kept.join(again, "row", "left_semi").select(*COLUMNS).dropDuplicates(["doc_id", "text"])
+    return kept.join(again, "row", "left_anti").select(*COLUMNS).union(rows)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold a benchmark item."""
-    found = decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark"))
-    return _without(docs, found.select("doc_id"), "contaminated")
+    keyed = _keyed(docs)
+    found = decontaminate.contaminated(keyed, table(spark, sf_dir, "benchmark"), id_col="row")
+    return _without(keyed, found.select(F.col("doc_id").alias("row")), "contaminated").select(*COLUMNS)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -166,6 +166,21 @@ def test_exchanges_are_linked(spark):
         assert [r.position for r in turns] == list(range(len(turns))) and [r.turn for r in turns] == sorted(r.turn for r in turns)
 
 
+def test_pipeline_decides_by_row(spark):
+    """Ids that are null or shared by different texts: only the row that is a copy, or contaminated, goes."""
+    sf = "/root/testdata/sf0.01"
+    item = max((r.text for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()), key=len)
+    text = lambda k: " ".join(f"{k}{i}" for i in range(60))
+    frame = lambda rows: spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    left = lambda df: sorted(((r.doc_id, r.text) for r in df.collect()), key=repr)
+    leak = f"{text('before')} {item} {text('after')}"
+    rows = [(None, leak), (None, text("a")), (1, leak), (1, text("b")), (2, text("c"))]
+    assert left(corpus_pipeline.decontaminated(spark, frame(rows), sf)) == sorted([rows[1], rows[3], rows[4]], key=repr)
+    rows = [(3, text("d")), (5, text("d")), (5, text("e")), (5, text("e")), (6, text("f")), (6, text("f") + " more"), (None, text("d")), (7, None)]
+    got = left(corpus_pipeline.unique(spark, frame(rows), sf))
+    assert [x for x in got if x[0] != 6] == sorted([rows[0], rows[2], rows[6], rows[7]], key=repr) and sum(x[0] == 6 for x in got) == 1
+
+
 def test_pipeline_stages(spark, tmp_path):
     sf = "/root/testdata/sf0.01"
     docs = spark.read.parquet(f"{sf}/documents.parquet")
