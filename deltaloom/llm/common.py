@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import functools
 import gc
 import hashlib
+import re
+import secrets
 import tempfile
 import uuid
 
@@ -21,20 +24,22 @@ LOOSE_SPACE = np.array([c < 128 and not chr(c).isalnum() for c in range(256)])
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _U = np.uint64
-_ODD = _U(0x9E3779B97F4A7C15)
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the setting is absent (tests in one process) is a local folder made and
-    set for the life of the SparkContext.
+    Only where the setting is absent and the master is local (tests in one process) is a
+    local folder made and set for the life of the SparkContext; a cluster without it is
+    refused, as its executors couldn't see one another's files.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         held = spark.sparkContext.getCheckpointDir()
         if held:
             return held
+        if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         path = tempfile.mkdtemp(prefix="deltaloom-")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(path)
@@ -113,44 +118,40 @@ def mix64(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> _U(31))
 
 
-def _inverse_odd(x: int) -> int:
-    y = x
-    for _ in range(6):
-        y = y * (2 - x * y) & (1 << 64) - 1
-    return y
-
-
 _BASE = 0x5851F42D4C957F2D
-_TABLE = mix64(np.arange(1, 257, dtype=np.uint64) * _ODD)
-_POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+#: Words of at most so many bytes are hashed by table; longer ones one by one.
+_SPAN = 48
+#: Bytes that are hashed at a time.
+_STRETCH = 1 << 17
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_POWERS[0]) < n:
-        with np.errstate(over="ignore"):
-            for i, base in enumerate((_BASE, _inverse_odd(_BASE))):
-                x = np.full(n, base, np.uint64)
-                x[0] = 1
-                _POWERS[i] = np.multiply.accumulate(x)
-    return _POWERS[0], _POWERS[1]
+@functools.lru_cache(maxsize=4)
+def _random_table(key: bytes) -> np.ndarray:
+    """A random number for each place in a word and each byte there, drawn from ``key``."""
+    return np.frombuffer(hashlib.shake_128(key).digest(_SPAN * 256 * 8), np.uint64)
 
 
-#: Bytes that are hashed at a time; a longer word is hashed on its own.
-_STRETCH = 1 << 20
+def new_key() -> bytes:
+    """A key for hashes: drawn anew for each job, so that no text can be made to collide."""
+    return secrets.token_bytes(16)
 
 
-def _stretch(raw: np.ndarray, begins: np.ndarray, ends: np.ndarray, fold: np.ndarray) -> np.ndarray:
-    if ends[-1] - begins[-1] > _STRETCH:
-        one = hashlib.blake2b(fold[raw[begins[-1] : ends[-1]]].tobytes(), digest_size=8).digest()
-        rest = _stretch(raw, begins[:-1], ends[:-1], fold) if len(begins) > 1 else np.zeros(0, np.uint64)
-        return np.append(rest, np.frombuffer(one, np.uint64))
-    lo, size = begins[0], ends[-1] - begins[0]
-    up, down = _powers(2 * _STRETCH + 1)
+def _stretch(raw: np.ndarray, begins: np.ndarray, ends: np.ndarray, fold: np.ndarray, key: bytes) -> np.ndarray:
+    sizes = ends - begins
+    if int(sizes.max()) > _SPAN:
+        out, short = np.empty(len(begins), np.uint64), sizes <= _SPAN
+        if short.any():
+            out[short] = _stretch(raw, begins[short], ends[short], fold, key)
+        for i in np.flatnonzero(~short):
+            out[i] = int.from_bytes(hashlib.blake2b(fold[raw[begins[i] : ends[i]]].tobytes(), digest_size=8, key=key).digest(), "little")
+        return out
+    lo, hi = int(begins[0]), int(ends[-1])
+    place = np.arange(lo, hi, dtype=np.int32) - np.repeat(begins.astype(np.int32), np.diff(np.append(begins, hi)))
+    np.minimum(place, _SPAN - 1, out=place)
+    sums = np.zeros(hi - lo + 1, np.uint64)
     with np.errstate(over="ignore"):
-        sums = np.zeros(size + 1, np.uint64)
-        np.cumsum(_TABLE[fold[raw[lo : lo + size]]] * up[:size], out=sums[1:])
-        at = begins - lo
-        return mix64((sums[ends - lo] - sums[at]) * down[at] + (ends - begins).astype(np.uint64) * _ODD)
+        np.cumsum(_random_table(key)[(place << 8) + fold[raw[lo:hi]]], out=sums[1:])
+        return sums[ends - lo] - sums[begins - lo]
 
 
 def word_spans(column: pa.Array, space: np.ndarray = WORD_SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -184,24 +185,32 @@ def word_spans(column: pa.Array, space: np.ndarray = WORD_SPACE) -> tuple[np.nda
     return raw, begins, ends, np.diff(np.searchsorted(begins, bounds))
 
 
-def hash_spans(raw: np.ndarray, begins: np.ndarray, ends: np.ndarray, fold: np.ndarray) -> np.ndarray:
+def hash_spans(raw: np.ndarray, begins: np.ndarray, ends: np.ndarray, fold: np.ndarray, key: bytes) -> np.ndarray:
     """64-bit hashes of the words at these places, their bytes mapped by ``fold``.
 
-    Bytes are hashed a megabyte at a time: prefix sums of a polynomial over them give every
-    word's hash without a loop over words.
+    A hash is the sum, modulo 2**64, of random numbers, one for each place and byte: any two
+    different words collide with a chance of 2**-64 over the choice of ``key``, whatever they
+    are. Words longer than the table have a keyed BLAKE2b hash.
     """
     words = np.empty(len(begins), np.uint64)
     cuts = np.unique(np.searchsorted(begins, np.arange(0, len(raw), _STRETCH)))
     for i, j in zip(cuts, [*cuts[1:], len(begins)]):
         if i < j:
-            words[i:j] = _stretch(raw, begins[i:j], ends[i:j], fold)
+            words[i:j] = _stretch(raw, begins[i:j], ends[i:j], fold, key)
     return words
 
 
-def word_hashes(column: pa.Array, space: np.ndarray = WORD_SPACE) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(column: pa.Array, key: bytes, space: np.ndarray = WORD_SPACE) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of every text's words, A-Z lower-cased, and each text's word count."""
     raw, begins, ends, counts = word_spans(column, space)
-    return hash_spans(raw, begins, ends, _LOWER), counts
+    return hash_spans(raw, begins, ends, _LOWER, key), counts
+
+
+def span_bytes(raw: np.ndarray, begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The bytes of spans, one after the other."""
+    kind = np.int32 if len(raw) < 1 << 31 else np.int64
+    ahead = np.cumsum(sizes, dtype=kind)
+    return raw[np.arange(int(ahead[-1]) if len(ahead) else 0, dtype=kind) + np.repeat(begins.astype(kind) - ahead + sizes.astype(kind), sizes)]
 
 
 class Places:
@@ -236,51 +245,89 @@ class Places:
 
 
 class RunPool:
-    """Ids of runs of bytes, known by 64-bit hashes, in one pool of numbers."""
+    """Ids of runs of bytes, kept in at most about ``limit`` bytes.
+
+    Runs are looked up by 64-bit hashes under a random key, and every hit is confirmed: the
+    run's own bytes are compared with those kept. If two runs ever had one hash, the pool is
+    emptied and filled again under another key.
+    """
 
     def __init__(self, limit: int):
         self.limit = limit
         self._forget()
 
     def _forget(self) -> None:
-        self.places = Places()
-        self.pool, self.used = np.zeros(1 << 16, np.uint32), 0
-        self.starts, self.sizes = np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int32)
-
-    def add(self, hashes: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> None:
-        """Keep the ids of runs, one after the other; hashes ascend."""
-        at, n = len(self.places), len(sizes)
-        while len(self.pool) < self.used + len(ids):
-            self.pool = np.append(self.pool, np.zeros_like(self.pool))
-        while len(self.starts) < at + n:
-            self.starts, self.sizes = np.append(self.starts, self.starts * 0), np.append(self.sizes, self.sizes * 0)
-        self.pool[self.used : self.used + len(ids)] = ids
-        self.starts[at : at + n], self.sizes[at : at + n] = self.used + np.cumsum(sizes) - sizes, sizes
-        self.used += len(ids)
-        self.places.add(hashes, np.arange(at, at + n, dtype=np.int32))
+        self.key, self.places = new_key(), Places()
+        self.columns = {"ids": np.zeros(1 << 16, np.uint32), "text": np.zeros(1 << 16, np.uint8)} | {n: np.zeros(1 << 14, np.int32) for n in ("at", "size", "text_at", "text_size")}
+        self.n = self.n_ids = self.n_text = 0
+
+    def _append(self, name: str, used: int, values: np.ndarray) -> None:
+        have = self.columns[name]
+        if used + len(values) > len(have):
+            grown = np.zeros(max(used + len(values), len(have) + (len(have) >> 1)), have.dtype)
+            grown[:used] = have[:used]
+            have = self.columns[name] = grown
+        have[used : used + len(values)] = values
+
+    def _add(self, hashes: np.ndarray, text: np.ndarray, text_sizes: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> None:
+        """Keep runs, one after the other; hashes ascend."""
+        n = len(sizes)
+        for name, used, values in (
+            ("ids", self.n_ids, ids), ("text", self.n_text, text), ("at", self.n, self.n_ids + np.cumsum(sizes) - sizes), ("size", self.n, sizes),
+            ("text_at", self.n, self.n_text + np.cumsum(text_sizes) - text_sizes), ("text_size", self.n, text_sizes),
+        ):
+            self._append(name, used, values)
+        self.places.add(hashes, np.arange(self.n, self.n + n, dtype=np.int32))
+        self.n, self.n_ids, self.n_text = self.n + n, self.n_ids + len(ids), self.n_text + len(text)
+
+    def _find(self, raw, begins, ends, fold, learn) -> np.ndarray:
+        """Each run's number in the pool, once those not yet known are learned."""
+        if 32 * self.n + 4 * self.n_ids + self.n_text > self.limit:
+            self._forget()
+        while True:
+            hashes, first, back = np.unique(hash_spans(raw, begins, ends, fold, self.key), return_index=True, return_inverse=True)
+            place = self.places.find(hashes)
+            new = np.flatnonzero(place < 0)
+            if len(new):
+                at, text = first[new], raw.tobytes()
+                words = [text[lo:hi].decode() for lo, hi in zip(begins[at].tolist(), ends[at].tolist())]
+                del text
+                for own, ids, sizes in learn(words):
+                    some = at[own]
+                    self._add(hashes[new[own]], span_bytes(raw, begins[some], ends[some] - begins[some]), ends[some] - begins[some], ids, sizes)
+                place[new] = self.places.find(hashes[new])
+            place = place[back]
+            sizes = ends - begins
+            if np.array_equal(self.columns["text_size"][place], sizes):
+                mark = np.zeros(len(raw) + 1, np.int8)
+                mark[begins] = 1
+                mark[ends] -= 1
+                own, at = raw[np.cumsum(mark[:-1], dtype=np.int8).view(bool)], 0
+                for i in range(0, len(place), 1 << 15):
+                    some = slice(i, i + (1 << 15))
+                    kept = span_bytes(self.columns["text"], self.columns["text_at"][place[some]], sizes[some])
+                    if not np.array_equal(own[at : at + len(kept)], kept):
+                        break
+                    at += len(kept)
+                else:
+                    return place
+            self._forget()
 
     def fill(self, raw, begins, ends, counts, fold, learn, tail: list[int]) -> list[np.ndarray]:
-        """Each text's ids, run after run, then ``tail``; ``learn`` adds runs not yet known.
+        """Each text's ids, run after run, then ``tail``.
 
-        ``learn`` gets hashes, ascending, and the runs as strings.
+        ``learn`` gets runs not yet known as strings and yields (their numbers, ascending;
+        their ids one after the other; how many each has).
         """
-        if len(self.places) > self.limit:
-            self._forget()
-        hashes, first, back = np.unique(hash_spans(raw, begins, ends, fold), return_index=True, return_inverse=True)
-        place = self.places.find(hashes)
-        new = np.flatnonzero(place < 0)
-        if len(new):
-            text, at = raw.tobytes(), first[new]
-            learn(hashes[new], [text[lo:hi].decode() for lo, hi in zip(begins[at].tolist(), ends[at].tolist())])
-            place[new] = self.places.find(hashes[new])
-        start, size = self.starts[place][back], self.sizes[place][back]
+        place = self._find(raw, begins, ends, fold, learn)
+        start, size = self.columns["at"][place], self.columns["size"][place]
         ahead = np.cumsum(size, dtype=np.int32)  # a batch has fewer ids than bytes
         total, more = int(ahead[-1]) if len(ahead) else 0, len(tail)
         doc = np.repeat(np.arange(len(counts), dtype=np.int32), counts) * more
         stops = np.append(0, ahead)[np.append(0, np.cumsum(counts))] + np.arange(len(counts) + 1) * more
         out = np.empty(total + len(counts) * more, np.uint32)
         step = np.arange(total, dtype=np.int32)
-        out[step + np.repeat(doc, size)] = self.pool[step + np.repeat(start - ahead + size, size)]
+        out[step + np.repeat(doc, size)] = self.columns["ids"][step + np.repeat(start - ahead + size, size)]
         for k, t in enumerate(tail):
             out[stops[1:] - more + k] = t
         return [out[lo:hi] for lo, hi in zip(stops, stops[1:])]

@@ -75,14 +75,15 @@ def components(edges: DataFrame) -> DataFrame:
     its smallest neighbour, then its smaller ones. Each step is one exchange, sorted and
     streamed, so no node's neighbours are held. Edges never grow in number, rounds grow
     with the logarithm of the components' size, and each round is written to the shared
-    folder, so a lost executor costs one round at most. A graph of at most ``SMALL`` edges
+    folder, so a lost executor costs one round at most. It ends when number and full 64-bit
+    hash sum of the edges stay as they were. A graph of at most ``SMALL`` edges
     is done in one task instead. Edges with a null end are left out.
     """
     spark = edges.sparkSession
 
     def write(df: DataFrame) -> tuple[DataFrame, tuple]:
         seen, path = Observation(), fresh_path(spark, "edges")
-        df.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v") % 1_000_003).alias("s")).write.parquet(path)
+        df.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")).alias("s")).write.parquet(path)
         return spark.read.schema(_EDGE).parquet(path), (seen.get["n"], seen.get["s"])
 
     def dealt(df: DataFrame) -> DataFrame:

@@ -24,6 +24,7 @@ link when 100 * intersection >= percent * union.
    are searched among themselves, and at last all members outside a group's largest
    component are searched against every block of the group. Pairs inside one component
    need no comparison, so this is exact and stays linear for groups of near copies.
+   Such a member meets only those blocks in which another set has one of its prefix keys.
 
 Nothing here caps lists, partners or groups.
 """
@@ -38,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, mix64, pieces, shingle_hashes, small_batches, word_hashes
+from .common import materialise, mix64, new_key, pieces, shingle_hashes, small_batches, word_hashes
 from .components import components
 
 SALTS = 16
@@ -56,10 +57,10 @@ def signature(shingles: np.ndarray) -> int:
         return int(mix64(np.array([x[0] * np.uint64(0x9E3779B97F4A7C15) ^ mix64(x[1:2])[0] + x[2]], np.uint64)).view(np.int64)[0])
 
 
-def shingle_sets(batches, width: int, rows: int = 512, size: int = 8 << 20):
+def shingle_sets(batches, width: int, key: bytes, rows: int = 512, size: int = 4 << 20):
     """(slice, list of its rows' sorted shingle sets) for batches whose column 1 is the text."""
     for b in pieces(batches, rows, size):
-        words, counts = word_hashes(b.column(1))
+        words, counts = word_hashes(b.column(1), key)
         ends = np.cumsum(counts)
         yield b, [np.unique(shingle_hashes(words[e - c : e], width)) for e, c in zip(ends, counts)]
 
@@ -77,14 +78,16 @@ def _undeltas(data: bytes) -> np.ndarray:
     return np.cumsum(np.concatenate([np.frombuffer(data, np.uint64, 1, 1), np.frombuffer(data, "<u4", offset=9).astype(np.uint64)]))
 
 
-def shared_counts(rows: DataFrame, width: int, parts: int) -> DataFrame:
+def shared_counts(rows: DataFrame, width: int, key: bytes, parts: int, tasks: int) -> DataFrame:
     """(sig, shared): shingles of each set that other documents, or copies of it, have too.
 
     ``rows`` are (doc_id, text). Counts of a set with copies are sums over its copies.
+    ``parts`` is the number of ranges that hashes are dealt over, ``tasks`` that of tasks,
+    each of which takes its ranges in turn.
     """
 
     def deal(batches):
-        for b, sets in shingle_sets(batches, width, 4096, 8 << 20):
+        for b, sets in shingle_sets(batches, width, key, 4096, 8 << 20):
             sets = [s for s, d in zip(sets, b.column(0).is_valid().to_pylist()) if d and len(s)]
             if sets:
                 yield _dealt(sets, np.array([signature(s) for s in sets], np.int64), parts, 16)
@@ -95,10 +98,10 @@ def shared_counts(rows: DataFrame, width: int, parts: int) -> DataFrame:
             n = np.bincount(back, np.concatenate([np.frombuffer(x, "<i8") for x in t["counts"].to_pylist()]), len(sigs)).astype(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(sigs), pa.array(n)], names=["sig", "shared"])
 
-    return _exchanged(rows.mapInArrow(deal, _RUN), parts, False).mapInArrow(total, "sig long, shared long").groupBy("sig").agg(F.sum("shared").alias("shared"))
+    return _exchanged(rows.mapInArrow(deal, _RUN), tasks, False).mapInArrow(total, "sig long, shared long").groupBy("sig").agg(F.sum("shared").alias("shared"))
 
 
-def shared_keys(sets: DataFrame, percent: int, parts: int) -> DataFrame:
+def shared_keys(sets: DataFrame, percent: int, parts: int, tasks: int) -> DataFrame:
     """(sig, n, keys): each set's shingles that another of ``sets`` (sig, n, shingles) has.
 
     Sets that have too few of them to link are left out.
@@ -120,14 +123,23 @@ def shared_keys(sets: DataFrame, percent: int, parts: int) -> DataFrame:
             raw, cuts = keys.tobytes(), np.append(at, len(sig)) * 8
             yield pa.RecordBatch.from_arrays([pa.array(sig[at]), pa.array([raw[lo:hi] for lo, hi in zip(cuts, cuts[1:])], pa.binary())], names=["sig", "keys"])
 
-    kept = _exchanged(sets.mapInArrow(deal, _RUN), parts, True).mapInArrow(gather, "sig long, keys binary")
+    kept = _exchanged(sets.mapInArrow(deal, _RUN), tasks, True).mapInArrow(gather, "sig long, keys binary")
     return kept.join(sets.select("sig", "n"), "sig").where(F.octet_length("keys") / 8 * 100 >= F.col("n") * percent).select("sig", "n", "keys")
 
 
-def _exchanged(runs: DataFrame, parts: int, with_keys: bool) -> DataFrame:
+#: Hashes in a range, on average: a task holds one range at a time, so this bounds its memory.
+RANGE = 1_500_000
+
+
+def ranges(shingles: int, tasks: int) -> int:
+    """The number of ranges that so many hashes are dealt over, at least one a task."""
+    return min(max(tasks, -(-shingles // RANGE)), (1 << 24) - 1)
+
+
+def _exchanged(runs: DataFrame, tasks: int, with_keys: bool) -> DataFrame:
     """Runs to their range of hashes, and what was found there back to the slices' homes."""
-    met = runs.repartition(parts, "part").mapInArrow(lambda batches: _meet(batches, with_keys), _FOUND)
-    return met.repartition(parts, "home").sortWithinPartitions("home")
+    met = runs.repartition(tasks, "part").sortWithinPartitions("part").mapInArrow(lambda batches: _meet(batches, with_keys), _FOUND)
+    return met.repartition(tasks, "home").sortWithinPartitions("home")
 
 
 _FOUND = "home long, sigs binary, counts binary, keys binary"
@@ -150,11 +162,12 @@ def _dealt(sets: list[np.ndarray], sigs: np.ndarray, parts: int, drop: int) -> p
     home = int(mix64(np.array([np.sum(mix64(sigs.view(np.uint64)))], np.uint64)).view(np.int64)[0])
     out = [(home % parts, home, sigs.tobytes(), again.astype("<i8").tobytes(), b"" if drop else flat[~lone][by].tobytes(), b"")]
     keys, owners = flat[new], np.where(lone[new], owner[new], len(sets))
-    cuts = np.searchsorted(keys, np.array([(k << 64 - drop) // parts for k in range(parts)], np.uint64))
-    for part, (lo, hi) in enumerate(zip(cuts, [*cuts[1:], len(keys)])):
+    part = (keys >> np.uint64(24 - drop)) * np.uint64(parts) >> np.uint64(40)  # by the 40 highest bits
+    cuts = np.flatnonzero(np.append(len(keys) > 0, part[1:] != part[:-1]))
+    for lo, hi in zip(cuts.tolist(), [*cuts[1:].tolist(), len(keys)]):
         if lo < hi:
             named, at = np.unique(owners[lo:hi], return_inverse=True)
-            out.append((part, home, np.append(sigs, 0)[named].tobytes(), (named < len(sets)).astype("<i8").tobytes(), _deltas(keys[lo:hi]), at.astype("<u2").tobytes()))
+            out.append((int(part[lo]), home, np.append(sigs, 0)[named].tobytes(), (named < len(sets)).astype("<i8").tobytes(), _deltas(keys[lo:hi]), at.astype("<u2").tobytes()))
     kinds = [pa.int32(), pa.int64(), *[pa.binary()] * 4]
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=[x.split()[0] for x in _RUN.split(", ")])
 
@@ -162,18 +175,19 @@ def _dealt(sets: list[np.ndarray], sigs: np.ndarray, parts: int, drop: int) -> p
 def _meet(batches, with_keys: bool):
     """Per part: which keys several slices hold, as counts or keys of their owners.
 
-    A part is a range of hashes, as large as its share of all; a key that is common holds
-    one entry for each slice of documents, not for each document.
+    Rows come in order of parts. A part is a range of hashes, as large as its share of all;
+    a key that is common holds one entry for each slice of documents, not for each document.
     """
     names = [x.split()[0] for x in _FOUND.split(", ")]
-    held: dict[int, list] = {}
-    for b in batches:
-        for part, home, sigs, counts, keys, owners in zip(*(c.to_pylist() for c in b.columns)):
+    for _, t in _by_key(batches, ["part"]):
+        runs = []
+        for home, sigs, counts, keys, owners in zip(*(t.column(i).to_pylist() for i in range(1, 6))):
             if owners:
-                held.setdefault(part, []).append((_undeltas(keys), np.frombuffer(owners, "<u2"), np.frombuffer(sigs, np.int64), np.frombuffer(counts, "<i8"), home))
+                runs.append((_undeltas(keys), np.frombuffer(owners, "<u2"), np.frombuffer(sigs, np.int64), np.frombuffer(counts, "<i8"), home))
             else:  # what the slice found by itself goes straight home
                 yield pa.RecordBatch.from_arrays([pa.array([home]), *[pa.array([x], pa.binary()) for x in (sigs, counts, keys)]], names=names)
-    for runs in held.values():
+        if not runs:
+            continue
         keys = np.concatenate([r[0] for r in runs])
         base = np.cumsum([0, *[len(r[2]) for r in runs]])
         owner = np.concatenate([r[1].astype(np.int64) + at for r, at in zip(runs, base)])
@@ -284,23 +298,18 @@ class DivideSkip:
         short, long = mine[: len(mine) - apart], mine[len(mine) - apart :]
         lists = [self.owners[s : s + n] for s, n in zip(self.starts[short], self.lengths[short])]
         lists = [x[alive[x]] for x in lists]
-        total = sum(map(len, lists))
         least = need - apart
         found: list[tuple[int, int]] = []
-        if total > 4096:  # so many that counting by number is the quicker merge
-            counts = np.bincount(np.concatenate(lists), minlength=len(self.sets))
-            found = [(int(c), int(counts[c])) for c in np.flatnonzero(counts >= least)]
-        else:
-            last, n = -1, 0
-            for c in heapq.merge(*[x.tolist() for x in lists if len(x)]):
-                if c == last:
-                    n += 1
-                    continue
-                if n >= least:
-                    found.append((last, n))
-                last, n = c, 1
-            if n >= least and last >= 0:
+        last, n = -1, 0
+        for c in heapq.merge(*[x.tolist() for x in lists if len(x)]):
+            if c == last:
+                n += 1
+                continue
+            if n >= least:
                 found.append((last, n))
+            last, n = c, 1
+        if n >= least and last >= 0:
+            found.append((last, n))
         who = np.array([c for c, _ in found], int)
         count = np.array([n for _, n in found], int)
         left = len(long)
@@ -408,29 +417,31 @@ def link_components(docs: DataFrame, width: int = 5, percent: int = 75, block: i
     words has one shingle, the whole sequence; null texts and texts without words have
     none and link with nothing. component_id is the smallest doc_id reachable by links.
     Rows with a null id link with nothing and have no component. Rows that repeat an id are
-    documents of their own. Extra columns are ignored. Sets are known by 64-bit hashes: two
-    different shingles, or sets, are taken for one with a chance of 2**-64 a pair.
+    documents of their own. Extra columns are ignored. Words, shingles and sets are known by
+    64-bit hashes under a key drawn for each call: any two different ones are taken for one
+    with a chance of about 2**-64, whatever the texts are.
     """
-    spark = docs.sparkSession
+    spark, key = docs.sparkSession, new_key()
     small_batches(docs)
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
     tasks = _tasks(spark)
 
     def describe(batches):
-        for b, sets in shingle_sets(batches, width):
+        for b, sets in shingle_sets(batches, width, key):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([signature(s) for s in sets], pa.int64())], names=["doc_id", "n_shingles", "sig"])
 
     described = materialise(rows.mapInArrow(describe, "doc_id long, n_shingles long, sig long"), "described")
+    parts = ranges(described.agg(F.sum("n_shingles")).first()[0] or 0, tasks)
     usable = described.where("doc_id is not null and n_shingles > 0")
 
     # one row for each set, of the document with the smallest id
     firsts = usable.groupBy("sig").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.count("*").alias("copies"))
     enough = F.col("shared") * 100 >= F.col("n") * F.col("copies") * percent
-    apt = materialise(firsts.join(shared_counts(rows, width, tasks), "sig").where(enough).select("sig", "doc_id"), "apt")
+    apt = materialise(firsts.join(shared_counts(rows, width, key, parts, tasks), "sig").where(enough).select("sig", "doc_id"), "apt")
     wanted = F.broadcast(apt) if apt.count() <= broadcast_rows else apt
 
     def sets_of(batches):
-        for b, sets in shingle_sets(batches, width):
+        for b, sets in shingle_sets(batches, width, key):
             right = [i for i, (s, g) in enumerate(zip(sets, b.column(0).to_pylist())) if signature(s) == g]
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(right, pa.int64())), pa.array([len(sets[i]) for i in right], pa.int64()), pa.array([sets[i].tobytes() for i in right], pa.binary())], names=["sig", "n", "shingles"])
 
@@ -440,7 +451,7 @@ def link_components(docs: DataFrame, width: int = 5, percent: int = 75, block: i
     if not twice.isEmpty():
         sets = sets.join(twice, "sig", "left_anti").union(sets.join(twice, "sig", "left_semi").dropDuplicates(["sig"]))
 
-    sets = materialise(shared_keys(sets, percent, tasks), "shared")
+    sets = materialise(shared_keys(sets, percent, parts, tasks), "shared")
     ranked = common_keys(sets)
     common = np.sort(ranked)
     place = np.empty(len(ranked), np.int64)
@@ -525,15 +536,29 @@ def link_components(docs: DataFrame, width: int = 5, percent: int = 75, block: i
         counted = now.groupBy("grp", "comp").agg(F.count("*").alias("n"))
         main = counted.groupBy("grp").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"))
         now = now.join(main, "grp")
-        outside = now.where("comp <> main").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).withColumn("asks", F.lit(True))
+
+        def keyed(batches):
+            for b in pieces(batches, 2048):
+                keys = [prefix_keys(np.frombuffer(raw, np.uint64), n, percent, *held_order.value).view(np.int64) for n, raw in zip(b.column(3).to_pylist(), b.column(4).to_pylist())]
+                each = np.repeat(np.arange(len(keys)), [len(k) for k in keys])
+                yield pa.RecordBatch.from_arrays([*[b.column(i).take(pa.array(each)) for i in range(3)], pa.array(np.concatenate(keys))], names=["grp", "block", "sig", "key"])
+
+        prefixes = now.select("grp", "block", "sig", "n", "keys", (F.col("comp") != F.col("main")).alias("asks"))
+        held_by = prefixes.drop("asks").mapInArrow(keyed, "grp long, block long, sig long, key long").select("grp", "key", "block").distinct()
+        asked_for = prefixes.where("asks").drop("asks").mapInArrow(keyed, "grp long, block long, sig long, key long").select("grp", "key", "sig")
+        meets = asked_for.join(held_by, ["grp", "key"]).select("sig", "block").distinct()
+        outside = now.where("comp <> main").drop("block").join(meets, "sig").withColumn("asks", F.lit(True))
         against = now.withColumn("asks", F.lit(False)).select(outside.columns)
         links = materialise(links.union(_search_blocks(outside.union(against), percent, tasks)), "links")
 
-    comps = components(links)
-    named = firsts.select("sig", "doc_id").join(comps, firsts["sig"] == comps["node"], "left").select("sig", F.coalesce("label", "sig").alias("label"), "doc_id")
-    least = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    # only sets whose component isn't simply its own document need a place in the join
-    by_sig = named.join(least, "label").select("sig", "component_id").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    done = usable.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(by_sig, ["sig", "salt"]).select("doc_id", "n_shingles", "component_id")
+    comps = materialise(components(links), "components")
+    # sets that link with others have the smallest id of their component, copies that of their set
+    linked = firsts.join(comps, firsts["sig"] == comps["node"]).select("sig", "label", "doc_id")
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    least = linked.groupBy("label").agg(F.min("doc_id").alias("component_id")).withColumn("salt", salts)
+    named = linked.withColumn("salt", F.pmod(F.xxhash64("sig"), F.lit(SALTS)).cast("int")).join(least, ["label", "salt"]).select("sig", "component_id")
+    copied = firsts.where("copies > 1").join(comps, firsts["sig"] == comps["node"], "left_anti").select("sig", F.col("doc_id").alias("component_id"))
+    by_sig = named.union(copied).withColumn("salt", salts)
+    done = usable.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(by_sig, ["sig", "salt"], "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
     rest = described.where("doc_id is null or n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return done.union(rest)

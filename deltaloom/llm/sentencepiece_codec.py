@@ -3,8 +3,9 @@
 Encoding keeps a score-ordered agenda (a heap) of adjacent symbol pairs: the pair whose
 joined piece has the highest score, leftmost on ties, is merged first. A text is first cut
 wherever no piece of the vocabulary can span the cut; the agenda's result on each chunk is
-then the same as on the whole text, so chunks can be kept in a bounded pool. Every chunk
-that enters the pool is checked against the sentencepiece library, batch by batch.
+then the same as on the whole text, so chunks can be kept in a bounded pool, where they are
+known by their bytes. In every Arrow batch the chunks that are new to the pool and one whole
+text (the longest) are checked against the sentencepiece library, and all decoded texts.
 """
 
 from __future__ import annotations
@@ -57,7 +58,7 @@ class PieceCodec:
     are refused with ValueError when loaded.
     """
 
-    def __init__(self, model_file: str, memo: int = 1_100_000, check: bool = True):
+    def __init__(self, model_file: str, memo: int = 64 << 20, check: bool = True):
         import sentencepiece
 
         self.library = sentencepiece.SentencePieceProcessor(model_file=model_file)
@@ -154,8 +155,8 @@ class PieceCodec:
             out = [x for k, x in enumerate(out) if x != self.unknown or not k or out[k - 1] != x]
         return out
 
-    def _learn(self, hashes: np.ndarray, words: list[str]) -> None:
-        """Encode chunks into the pool, and check them against the library in one batch."""
+    def _learn(self, words: list[str]):
+        """Encode chunks for the pool, and check them against the library in one batch."""
         if len(self.runs) > 60_000:
             self.runs.clear()
         words = [w.replace(" ", SPACE) for w in words]
@@ -166,7 +167,7 @@ class PieceCodec:
                 if said != new[i]:
                     raise AssertionError(f"agenda and library differ on {words[i]!r}: {new[i]} and {said}")
         sizes = np.fromiter(map(len, new), np.int32, len(new))
-        self.pool.add(hashes, np.fromiter((x for ids in new for x in ids), np.uint32, int(sizes.sum())), sizes)
+        yield np.arange(len(new)), np.fromiter((x for ids in new for x in ids), np.uint32, int(sizes.sum())), sizes
 
     def encode_batch(self, texts: list[str | None]) -> list[list[int]]:
         """Ids of each text; nulls count as empty."""
@@ -184,6 +185,10 @@ class PieceCodec:
         got = [ids.tolist() for ids in self.pool.fill(raw, begins, ends, counts, _AS_IS, self._learn, [])]
         if not self.fallback:  # the library shows a run of unknown symbols as one
             got = [[x for k, x in enumerate(ids) if x != self.unknown or not k or ids[k - 1] != x] for ids in got]
+        if self.check and texts:
+            k = max(range(len(texts)), key=lambda i: len(texts[i] or ""))
+            if got[k] != self.library.encode(texts[k] or ""):
+                raise AssertionError(f"agenda and library differ on a whole text of {len(texts[k] or '')} characters")
         return got
 
     def encode(self, text: str) -> list[int]:
@@ -269,7 +274,7 @@ def encode_documents(docs: DataFrame, model_file: str, id_col: str = "doc_id", t
     def run(batches):
         own = codec(model_file)
         with uncollected():
-            for b in pieces(batches):
+            for b in pieces(batches, 512, 2 << 20):
                 coded = own.encode_batch(b.column(1).to_pylist())
                 back = [own.decode(ids) for ids in coded]
                 if own.check and back != own.library.decode(coded):

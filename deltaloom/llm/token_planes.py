@@ -153,13 +153,13 @@ class ChunkTokenizer:
     and carriage return, which is right for a tokenizer whose pre-tokenizer drops white
     space and whose normaliser looks at no neighbours beyond it; that is verified on one
     text of every batch. Letters that end in marks are runs apart if no apostrophe or
-    special token can tie them. Runs are known by 64-bit hashes; their ids lie in one pool,
-    from which whole batches are put together.
+    special token can tie them. Runs are known by their bytes; their ids lie in one pool of at
+    most about ``memo`` bytes, from which whole batches are put together.
     """
 
     _ONE = re.compile(r"[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+|[!-&(-/:-@\[-`{-~]+")
 
-    def __init__(self, path: str, memo: int = 2_000_000, whole: bool = False):
+    def __init__(self, path: str, memo: int = 64 << 20, whole: bool = False):
         from tokenizers import Tokenizer
 
         self.library, self.whole = Tokenizer.from_file(path), whole
@@ -168,7 +168,7 @@ class ChunkTokenizer:
         self.last[[i for p, i in vocabulary.items() if p.endswith("</w>")]] = True
         self.runs = RunPool(memo)
 
-    def _learn(self, hashes: np.ndarray, words: list[str]) -> None:
+    def _learn(self, words: list[str]):
         """Ids of runs: those that are one word each in long lines, the rest one by one."""
         one = [bool(self._ONE.fullmatch(w)) and "<|" not in w for w in words]
         rest = [k for k, x in enumerate(one) if not x]
@@ -178,13 +178,14 @@ class ChunkTokenizer:
             ids = np.array(self.library.encode(" ".join([words[k] for k in lot]), add_special_tokens=False).ids, np.uint32)
             stops = np.flatnonzero(self.last[ids]) + 1
             if len(stops) == len(lot):
-                self.runs.add(hashes[lot], ids, np.diff(stops, prepend=0))
+                yield np.array(lot), ids, np.diff(stops, prepend=0)
             else:
                 rest += lot
+        rest.sort()
         for at in range(0, len(rest), 4000):
             lot = rest[at : at + 4000]
             got = [np.array(e.ids, np.uint32) for e in self.library.encode_batch([words[k] for k in lot], add_special_tokens=False)]
-            self.runs.add(hashes[lot], np.concatenate(got), np.array([len(x) for x in got], np.int64))
+            yield np.array(lot), np.concatenate(got), np.array([len(x) for x in got], np.int64)
 
     @staticmethod
     def _apart(raw: np.ndarray, begins: np.ndarray, ends: np.ndarray, counts: np.ndarray):

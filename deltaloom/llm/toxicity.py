@@ -218,9 +218,13 @@ def _token_counts(rows: DataFrame, only: frozenset | None) -> DataFrame:
     return rows.select("text").mapInArrow(count, "token string, n long").groupBy("token").agg(F.sum("n").alias("n"))
 
 
-def train(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, entries: int = 600) -> ToxicityModel:
+def train(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, entries: int = 600, candidates: int = 20_000) -> ToxicityModel:
     """Fit lexicon, trees and calibration on at most ``max_rows`` labelled documents.
 
+    The lexicon has at most ``entries`` words and beginnings, chosen among the ``candidates``
+    that most toxic documents of the sample have (three at least; ties to the smaller one).
+    An empty table, or one whose labels name no document, counts as one without labels.
+
     With no usable label the score is the even prior, 0.5 less a little; with one class
     only, near that class.
     """
@@ -231,7 +235,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, entries: i
     begins: dict[str, float] = {}
     if bad and good:
         first = sample.where("fold < 5")
-        seen = _token_counts(first.where("toxic = 1"), None).where("n >= 3").orderBy(F.desc("n"), "token").limit(20_000).collect()
+        seen = _token_counts(first.where("toxic = 1"), None).where("n >= 3").orderBy(F.desc("n"), "token").limit(candidates).collect()
         theirs = {r.token: r.n for r in seen}
         others = {r.token: r.n for r in _token_counts(first.where("toxic = 0"), frozenset(theirs)).collect()}
         odds = {t: math.log((n / bad) / ((others.get(t, 0) + 0.5) / good)) for t, n in theirs.items()}

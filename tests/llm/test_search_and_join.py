@@ -55,6 +55,10 @@ def corpus(seed):
         own = [f"o{k}_{i}" for i in range(rnd.randrange(0, 30))]
         texts.append(" ".join(own[: len(own) // 2] + passage + own[len(own) // 2 :]))
     texts += [texts[12]] * 5 + [texts[-1]] * 3
+    regular = "a"
+    for _ in range(11):  # words that polynomial hashes modulo powers of two take for one
+        regular += regular.translate({97: 98, 98: 97})
+    texts += [regular, regular.translate({97: 98, 98: 97})]
     rnd.shuffle(texts)
     return texts
 
