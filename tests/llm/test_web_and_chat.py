@@ -12,6 +12,7 @@ import zstandard
 import corpus_pipeline
 from deltaloom.llm import chat_tools, html_mincut, ngram_join, warc_bundles
 from deltaloom.llm.common import fresh_path
+from deltaloom.llm.queries import QUERIES
 
 PAGES = "page_id long, url string, html string, sha int, record_type string"
 
@@ -81,17 +82,56 @@ def test_page_text(html, want):
     assert html_mincut.main_text(html) == want
 
 
+@pytest.mark.parametrize("wrapper", ['div class="has-sidebar"', 'div class="layout with-sidebar"', 'div class="no-comments"', 'div class="site-content menu-open"', 'div class="toc-enabled"', 'div class="main share-enabled"', 'div class="legal-case"', 'main class="site-main has-sidebar"', 'div class="content-sidebar-wrap"', 'form id="aspnetForm"', 'div class="sidebar"', "div"])
+def test_wrappers_keep_the_article(wrapper):
+    story = "A long run of plain words that goes on, as stories do. "
+    rest = '<div class="sidebar"><p>Some side text that is rather long, with commas.</p></div><section id="comments"><article><p>A first comment, long enough to look real.</p></article></section>'
+    html = page(f"<nav><a href=x>Home</a></nav><{wrapper}><article class='post no-comments'><h1>Title</h1><p>{story * 5}</p><p>Short.</p></article></{wrapper.split()[0]}>{rest}<footer><article>Read also this other story of ours.</article></footer>")
+    assert html_mincut.main_text(html) == f"Title {(story * 5).strip()} Short."
+
+
+PLAIN = [
+    "<div><a href=a>One</a> <a href=b>Two</a></div><div><h2>Head</h2><p>{0}</p><p><a href=c>See this</a></p><p>{0}</p><p>{0}</p></div><div><a href=d>Imprint</a></div>",
+    "<div id=menu><p>{0}</p></div><div class=post-body><p>{0}</p><p>Yes</p><p>{0}</p><p>© me</p></div><div class='share-links'><p>Send it</p></div>",
+    "<table><tr><td><a href=x>A</a><td><p>{0}<p>No<p>{0}</table><p>{0}",
+]
+
+
+def test_pages_without_tags_equal_the_enumerated_cut():
+    """Whole pages: text is what the cheapest of all labellings keeps; the cut turns some blocks."""
+    turned = total = 0
+    for html in PLAIN:
+        found = html_mincut.blocks(html.format("A sentence of some plain words, long enough to be read. " * 3))
+        unary, keep = html_mincut.label(found)
+        edges = html_mincut.smoothness([b[1] for b in found])
+        cost = lambda k: sum(max(0, z) * (not x) + max(0, -z) * x for z, x in zip(unary, k)) + sum(c for i, j, c in edges if k[i] != k[j])  # noqa: B023, E731
+        best = min(itertools.product([False, True], repeat=len(found)), key=cost)
+        assert keep == list(best) and html_mincut.main_text(html.format("A sentence of some plain words, long enough to be read. " * 3)) == " ".join(b[0] for b, k in zip(found, best) if k)
+        turned, total = turned + sum((z > 0) != k for z, k in zip(unary, keep)), total + len(found)
+    print(f"the cut turned {turned} of {total} blocks")
+    assert 0 < turned < total
+
+
+def test_query_equals_articles(spark):
+    """The whole query on the tables, whose pages have one article each: its blocks, in order."""
+    sf = "/root/testdata/sf0.001"
+    got = {r.page_id: r for r in QUERIES["op8_html_mincut"](spark, sf).collect()}
+    for r in spark.read.parquet(f"{sf}/pages.parquet").collect():
+        want = " ".join(text for text, node, _ in html_mincut.blocks(r.html) if node.in_content)
+        assert (got[r.page_id].text, got[r.page_id].n_chars, got[r.page_id].url) == (want, len(want), r.url)
+
+
 def test_fitted_weights(spark):
     pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
     weights = html_mincut.fit_weights(pages, max_pages=60)
     assert len(weights) == len(html_mincut.UNFITTED) and weights != html_mincut.UNFITTED
     assert weights[2] < 0 < weights[1]  # links speak against content, length for it
-    for html in [r.html for r in pages.limit(40).collect()]:
-        text = html_mincut.main_text(html, weights)
-        assert text == html_mincut.main_text(html) and text
     bare = "<body><div><a href=a>One</a> <a href=b>Two</a></div><div>" + "A long run of plain words. " * 20 + "</div></body>"
     assert html_mincut.main_text(bare, weights) == ("A long run of plain words. " * 20).strip()
+    # weights decide where tags say nothing
+    assert html_mincut.main_text(bare, tuple(-w for w in weights)) != html_mincut.main_text(bare, weights)
     assert html_mincut.fit_weights(pages.limit(0)) == html_mincut.UNFITTED
+    assert html_mincut.extract(pages.limit(0)).count() == 0
 
 
 def test_minimum_cut_is_minimal():
