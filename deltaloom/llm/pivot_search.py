@@ -3,7 +3,8 @@
 Every vector's distances to many pivots are computed once. For a query q and a candidate x
 the triangle inequality gives |d(q,p) - d(x,p)| <= d(q,x) for each pivot p; the greatest of
 these lower bounds caps the score, since 2<q,x> = |q|^2 + |x|^2 - d(q,x)^2. Candidates are
-evaluated exactly in the order of that cap until the cap falls below the k-th best score.
+evaluated exactly in the order of that cap until the cap falls below the k-th best score,
+or below the k-th best of the query's scores with the pivots, with which every block begins.
 
 Vectors are packed into blocks; each block of queries meets each block of candidates in an
 equi-join on the block's number, so no task holds more than two blocks.
@@ -16,72 +17,97 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, small_batches
 
-#: Scaled components beyond this saturate, so that a score always fits in a long.
-LIMIT = 1 << 23
-BLOCK = "ids binary, vectors binary, table binary, dim long, n long"
+BLOCK = "b long, ids binary, vectors binary, table binary, dim long"
+_LONG = (1 << 63) - 1
 
 
 def quantise(vectors: np.ndarray, scale: float) -> np.ndarray:
-    """floor(scale * x) of each component, as double."""
-    return np.clip(np.floor(vectors.astype(np.float64) * scale), -LIMIT, LIMIT).astype(np.int64)
-
-
-def _rows(batches, dtype=np.float32):
-    """(ids, matrix) per Arrow batch and vector length, unusable vectors left out."""
-    for b in batches:
-        ids, column = b.column(0), b.column(1)
-        lists = column.cast(pa.list_(pa.float64()))
-        sizes = np.diff(np.asarray(lists.offsets))
-        usable = np.asarray(lists.is_valid()) & np.asarray(ids.is_valid()) & (sizes > 0)
-        flat = lists.values
-        starts = np.asarray(lists.offsets)[:-1]
-        values = np.asarray(flat.fill_null(np.nan))
-        for dim in np.unique(sizes[usable]):
-            at = np.flatnonzero(usable & (sizes == dim))
+    """floor(scale * x) of each component, as double; exact whole numbers of 64 bits."""
+    scaled = np.floor(vectors.astype(np.float64) * scale)
+    if scaled.size and not np.abs(scaled).max() < 2.0**63:
+        raise OverflowError("a scaled component doesn't fit in 64 bits")
+    return scaled.astype(np.int64)
+
+
+def dot(x: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Exact inner products of rows of x with q."""
+    most = max(abs(int(x.max(initial=0))), abs(int(x.min(initial=0)))) * max(abs(int(q.max(initial=0))), abs(int(q.min(initial=0))))
+    if most * max(len(q), 1) <= _LONG:
+        return x @ q
+    exact = x.astype(object) @ q.astype(object)
+    if len(exact) and max(map(abs, exact)) > _LONG:
+        raise OverflowError("a score doesn't fit in 64 bits")
+    return exact.astype(np.int64)
+
+
+def _rows(batch):
+    """(block number, ids, matrix) per block and vector length of a batch in order of blocks; unusable vectors left out."""
+    numbers, ids, lists = np.asarray(batch.column(0)), np.asarray(batch.column(1)), batch.column(2).cast(pa.list_(pa.float64()))
+    offsets = np.asarray(lists.offsets)
+    sizes, starts = np.diff(offsets), offsets[:-1]
+    values = np.asarray(lists.values.fill_null(np.nan))
+    cuts = np.flatnonzero(np.append(len(numbers) > 0, numbers[1:] != numbers[:-1]))
+    for lo, hi in zip(cuts, [*cuts[1:], len(numbers)]):
+        for dim in np.unique(sizes[lo:hi]):
+            at = lo + np.flatnonzero(sizes[lo:hi] == dim)
             m = values[starts[at][:, None] + np.arange(dim)]
             fine = np.isfinite(m).all(1)
-            yield np.asarray(ids.fill_null(0))[at[fine]].astype(np.int64), m[fine]
+            if fine.any():
+                yield int(numbers[lo]), ids[at[fine]], m[fine]
 
 
-def _pack(rows, pivots: dict[int, np.ndarray], scale: float, block: int):
-    held: dict[int, list] = {}
-
-    def out(dim, parts):
-        ids, m = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-        table = np.sqrt(np.maximum(0, (m.astype(np.float64) ** 2).sum(1)[:, None] + (pivots[dim].astype(np.float64) ** 2).sum(1) - 2 * m.astype(np.float64) @ pivots[dim].astype(np.float64).T))
-        return pa.RecordBatch.from_pylist([{"ids": ids.tobytes(), "vectors": m.astype(np.int32).tobytes(), "table": table.astype(np.float32).tobytes(), "dim": int(dim), "n": len(ids)}])
+def distances(m: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    """Distances of each row to each pivot, from their differences: no digits cancel."""
+    m, pivots = m.astype(np.float64), pivots.astype(np.float64)
+    return np.stack([np.sqrt(((m - p) ** 2).sum(1)) for p in pivots], 1).astype(np.float32)
 
-    for ids, vectors in rows:
-        m = quantise(vectors, scale)
-        dim = m.shape[1]
-        for at in range(0, len(ids), block):
-            held.setdefault(dim, []).append((ids[at : at + block], m[at : at + block]))
-            if sum(len(p[0]) for p in held[dim]) >= block:
-                yield out(dim, held.pop(dim))
-    for dim, parts in held.items():
-        yield out(dim, parts)
 
-
-def search_block(q_ids, q, q_table, x_ids, x, x_table, k: int):
+def _pack(batches, pivots: dict[int, tuple[np.ndarray, np.ndarray]], scale: float, block: int):
+    """Blocks of at most ``block`` vectors of one length; a number that has more gives several."""
+    held: dict[int, list] = {}
+    now = None
+
+    def out(dim):
+        ids, m = (np.concatenate(c) for c in zip(*held.pop(dim)))
+        return pa.RecordBatch.from_pylist([{"b": now, "ids": ids.astype(np.int64).tobytes(), "vectors": m.tobytes(), "table": distances(m, pivots[dim][1]).tobytes(), "dim": int(dim)}])
+
+    for batch in batches:
+        for number, ids, vectors in _rows(batch):
+            if number != now:
+                for dim in list(held):
+                    yield out(dim)
+                now = number
+            m = quantise(vectors, scale)
+            for at in range(0, len(ids), block):
+                held.setdefault(m.shape[1], []).append((ids[at : at + block], m[at : at + block]))
+                if sum(len(p[0]) for p in held[m.shape[1]]) >= block:
+                    yield out(m.shape[1])
+    for dim in list(held):
+        yield out(dim)
+
+
+def search_block(q_ids, q, q_table, x_ids, x, x_table, k: int, floors=None):
     """Each query's k best distinct ids of one block of candidates: (query, candidate, score) arrays.
 
-    Returns also how many candidates were evaluated exactly.
+    ``floors`` has a score that each query's k-th best is known to reach. Returns also how
+    many candidates each query evaluated exactly.
     """
-    qf, xf = q.astype(np.float64), x.astype(np.float64)
-    q2, x2 = (qf**2).sum(1), (xf**2).sum(1)
+    q2, x2 = (q.astype(np.float64) ** 2).sum(1), (x.astype(np.float64) ** 2).sum(1)
     bound = np.zeros((len(q), len(x)), np.float32)
     for p in range(q_table.shape[1]):
         np.maximum(bound, np.abs(q_table[:, p, None] - x_table[None, :, p]), out=bound)
-    # tables are rounded to single precision: give way by their rounding error
+    # tables are rounded to single precision, norms to double: give way by the rounding errors
     slack = 4e-7 * (float(q_table.max(initial=0)) + float(x_table.max(initial=0))) + 1e-6
-    cap = (q2[:, None] + x2[None, :] - np.maximum(bound.astype(np.float64) - slack, 0) ** 2) / 2 + 0.5
-    found, work = ([], [], []), 0
+    norms = q2[:, None] + x2[None, :]
+    cap = (norms * (1 + 1e-12) - np.maximum(bound.astype(np.float64) - slack, 0) ** 2) / 2 + 0.5
+    found, work = ([], [], []), np.zeros(len(q), np.int64)
     for i in range(len(q)):
         row = cap[i].copy()
         row[x_ids == q_ids[i]] = -np.inf
-        alive = int(np.count_nonzero(row > -np.inf))
+        least = -np.inf if floors is None else floors[i]
+        alive = int(np.count_nonzero((row > -np.inf) & (row >= least)))
         best_s, best_i = np.zeros(0, np.int64), np.zeros(0, np.int64)
         order, done, step = np.zeros(0, int), 0, 4 * k
         while done < alive:
@@ -92,9 +118,9 @@ def search_block(q_ids, q, q_table, x_ids, x, x_table, k: int):
             if len(best_s) == k and row[order[done]] < best_s[-1]:
                 break
             at = order[done : done + step]
-            done, work = done + len(at), work + len(at)
+            done, work[i] = done + len(at), work[i] + len(at)
             step = min(2 * step, 4096)
-            s, ids = np.concatenate([best_s, x[at] @ q[i]]), np.concatenate([best_i, x_ids[at]])
+            s, ids = np.concatenate([best_s, dot(x[at], q[i])]), np.concatenate([best_i, x_ids[at]])
             top = np.lexsort((ids, -s))
             top = top[np.sort(np.unique(ids[top], return_index=True)[1])[:k]]  # an id's best row only
             best_s, best_i = s[top], ids[top]
@@ -104,44 +130,83 @@ def search_block(q_ids, q, q_table, x_ids, x, x_table, k: int):
     return tuple(np.concatenate(f) if f else np.zeros(0, np.int64) for f in found), work
 
 
-def top_k(vectors: DataFrame, k: int = 5, query_modulus: int = 50, scale: float = 256.0, pivots: int = 48, block: int = 2048, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def floors_of(q_ids: np.ndarray, q: np.ndarray, pivot_ids: np.ndarray, pivots: np.ndarray, k: int) -> np.ndarray:
+    """The k-th best score of each query with pivots of other ids, an id counted once."""
+    out = np.full(len(q), -np.inf)
+    for i in range(len(q)):
+        s = dot(pivots, q[i])
+        best = {}
+        for j, v in zip(pivot_ids.tolist(), s.tolist()):
+            if j != q_ids[i]:
+                best[j] = max(best.get(j, v), v)
+        if len(best) >= k:
+            out[i] = sorted(best.values())[-k]
+    return out
+
+
+def far_apart(ids: np.ndarray, m: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """n rows, each the farthest from those taken before it."""
+    picked = [0]
+    near = ((m.astype(np.float64) - m[0]) ** 2).sum(1)
+    while len(picked) < min(n, len(m)) and near.max() > 0:
+        picked.append(int(near.argmax()))
+        near = np.minimum(near, ((m.astype(np.float64) - m[picked[-1]]) ** 2).sum(1))
+    return ids[picked], m[picked]
+
+
+def top_k(vectors: DataFrame, k: int = 5, query_modulus: int = 50, scale: float = 256.0, pivots: int = 48, block: int = 2048, id_col: str = "vec_id", vector_col: str = "embedding", with_work: bool = False) -> DataFrame:
     """Each query's k highest integer inner products: query_id, rank, vec_id, score.
 
     Queries are the rows whose id is divisible by ``query_modulus``; candidates all rows
-    with another id. Ties go to the smaller id; equal rows repeated under one id count
-    once; fewer candidates give fewer rows. Null vectors or ids, empty vectors, and
-    vectors with null or non-finite components take no part; vectors of different length
-    are not compared. Components beyond +-2**23 after scaling saturate. The pivots are the
-    ``pivots`` vectors of each length first by a hash of their ids.
+    with another id. Ties go to the smaller id; rows repeated under one id count once, with
+    the best of their scores; fewer candidates give fewer rows, an empty table none. Null
+    vectors or ids, empty vectors, and vectors with null or non-finite components take no
+    part; vectors of different length are not compared; other columns are ignored. Numbers
+    are exact whatever their size; a scaled component or a score that doesn't fit in 64 bits
+    raises OverflowError. The pivots are ``pivots`` vectors of each length far apart from
+    one another, picked among eight times as many that come first by a hash of their ids.
+    ``with_work`` adds ``evaluated``, how many candidates the query evaluated exactly.
     """
+    small_batches(vectors)
     rows = vectors.select(vectors[id_col].cast("long").alias("id"), vectors[vector_col].alias("v")).where("id is not null and v is not null and size(v) > 0")
-    rank = F.row_number().over(Window.partitionBy("dim").orderBy("h", "id"))
     few = rows.where(~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))))
     # the smallest hashes of each length: first within a task's share, then over the shares
-    share = few.select("id", "v", F.size("v").alias("dim"), F.xxhash64("id").alias("h"), F.spark_partition_id().alias("s"))
-    share = share.withColumn("r", F.row_number().over(Window.partitionBy("dim", "s").orderBy("h", "id"))).where(F.col("r") <= pivots)
-    picked = share.withColumn("r", rank).where(F.col("r") <= pivots).select("dim", "v").collect()
-    table: dict[int, np.ndarray] = {}
+    rank = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy("h", "id"))
+    share = few.select("id", "v", F.size("v").alias("dim"), F.xxhash64("id").alias("h"), F.spark_partition_id().alias("s")).withColumn("r", rank("dim", "s")).where(F.col("r") <= 8 * pivots)
+    picked = share.withColumn("r", rank("dim")).where(F.col("r") <= 8 * pivots).select("dim", "id", "v").collect()
+    table: dict[int, tuple[np.ndarray, np.ndarray]] = {}
     for dim in {r.dim for r in picked}:
-        table[dim] = quantise(np.array([r.v for r in picked if r.dim == dim]), scale)
+        own = sorted((r for r in picked if r.dim == dim), key=lambda r: r.id)
+        table[dim] = far_apart(np.array([r.id for r in own], np.int64), quantise(np.array([r.v for r in own]), scale), pivots)
+
+    once = materialise(few.dropDuplicates(["id", "v"]), "vectors")
+    asking = F.col("id") % query_modulus == 0
+    n, n_asking = once.agg(F.count("*"), F.coalesce(F.sum(asking.cast("long")), F.lit(0))).first()
+    blocks, q_blocks = max(1, -(-n // block)), max(1, -(-n_asking // max(1, block // 4)))
 
-    def blocks(frame: DataFrame, size: int) -> DataFrame:
-        return frame.mapInArrow(lambda batches: _pack(_rows(batches), table, scale, size), BLOCK)
+    def packed(frame: DataFrame, number: int, size: int) -> DataFrame:
+        """Vectors dealt over so many numbered blocks by a hash."""
+        dealt = frame.select(F.pmod(F.xxhash64("id", "v"), F.lit(number)).alias("b"), "id", "v").repartition("b").sortWithinPartitions("b")
+        return dealt.mapInArrow(lambda batches: _pack(batches, table, scale, size), BLOCK)
 
-    spread = rows.repartition("id")
-    x = materialise(blocks(spread, block).withColumn("b", F.monotonically_increasing_id()), "pivot-blocks")
-    q = blocks(spread.where(F.col("id") % query_modulus == 0).coalesce(4), block // 4)
-    q = q.withColumn("b", F.explode(F.array(*[F.lit(r.b) for r in x.select("b").collect()] or [F.lit(None).cast("long")])))
-    pairs = x.select("b", *[F.col(c).alias(f"x_{c}") for c in ("ids", "vectors", "table", "dim")]).join(q, "b").where("dim = x_dim")
+    x = packed(once, blocks, block).select("b", *[F.col(c).alias(f"x_{c}") for c in ("ids", "vectors", "table", "dim")])
+    q = packed(once.where(asking), q_blocks, max(1, block // 4)).drop("b").withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+    pairs = x.join(q, "b").where("dim = x_dim").select("x_ids", "x_vectors", "x_table", "ids", "vectors", "table", "dim")
 
     def search(batches):
         for b in batches:
-            for r in b.to_pylist():
-                take = lambda p, n, t: np.frombuffer(r[p + n], t)
-                dim, x_ids, q_ids = r["dim"], take("x_", "ids", np.int64), take("", "ids", np.int64)
-                (qs, xs, ss), _ = search_block(q_ids, take("", "vectors", np.int32).reshape(-1, dim).astype(np.int64), take("", "table", np.float32).reshape(len(q_ids), -1), x_ids, take("x_", "vectors", np.int32).reshape(-1, dim).astype(np.int64), take("x_", "table", np.float32).reshape(len(x_ids), -1), k)
-                yield pa.RecordBatch.from_arrays([pa.array(qs, pa.int64()), pa.array(xs, pa.int64()), pa.array(ss, pa.int64())], names=["query_id", "vec_id", "score"])
-
-    found = pairs.mapInArrow(search, "query_id long, vec_id long, score long").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+            for i in range(b.num_rows):
+                dim = b.column(6)[i].as_py()
+                x_ids, xs, xt, q_ids, qs, qt = (np.frombuffer(b.column(c)[i].as_buffer(), t) for c, t in enumerate((np.int64, np.int64, np.float32) * 2))
+                qs, qt = qs.reshape(-1, dim), qt.reshape(len(q_ids), -1)
+                (query, found, s), work = search_block(q_ids, qs, qt, x_ids, xs.reshape(-1, dim), xt.reshape(len(x_ids), -1), k, floors_of(q_ids, qs, *table[dim], k))
+                done = np.flatnonzero(work) if with_work else work[:0]
+                yield pa.RecordBatch.from_arrays([pa.array(np.append(query, q_ids[done])), pa.array(found.tolist() + [None] * len(done), pa.int64()), pa.array(s.tolist() + work[done].tolist(), pa.int64())], names=["query_id", "vec_id", "score"])
+
+    got = pairs.mapInArrow(search, "query_id long, vec_id long, score long")
+    if with_work:
+        got = materialise(got, "found")
+    found = got.where("vec_id is not null").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    best = found.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return best.join(got.where("vec_id is null").groupBy("query_id").agg(F.sum("score").alias("evaluated")), "query_id", "left") if with_work else best
