@@ -4,6 +4,7 @@ import base64
 import hashlib
 import io
 import itertools
+import json
 import random
 
 import pytest
@@ -186,6 +187,84 @@ def test_cycles_nulls_and_repeats(spark):
     assert chats(spark, []) == []
 
 
+def brute_settle(calls):
+    """{id: (at_turn, level)} of the calls of a conversation that can be put in order."""
+    known, done = {c[0]: c for c in calls}, {}
+    while True:
+        ready = [c for c in calls if c[0] not in done and all(n in done for n in c[3] if n in known)]
+        if not ready:
+            return done
+        for i, turn, idx, needs in ready:
+            last = max(((*done[n], known[n][1], known[n][2]) for n in needs if n in known), default=None)
+            done[i] = last[:2] if last and last >= (turn, 0, turn, idx) else (turn, 0)
+            if last and last >= (turn, 0, turn, idx):
+                done[i] = last[0], last[1] + 1
+
+
+def test_order_of_random_call_graphs(spark):
+    """Whole conversations against a plain ordering: positions, links, cycles, unknown needs."""
+    rnd = random.Random(12)
+    rows, graphs = [], {}
+    for conv in range(60):
+        calls, n = [], rnd.randrange(1, 8)
+        for k in range(n):
+            needs = sorted({f"c{rnd.randrange(n + 1)}" for _ in range(rnd.choice([0, 0, 1, 1, 2]))}) if rnd.random() < 0.8 else []
+            calls.append((f"c{k}", rnd.randrange(0, 6), needs))
+        turns = {}
+        for c in calls:
+            turns.setdefault(c[1], []).append(c)
+        listed = []
+        for turn, own in turns.items():
+            listed += [(i, turn, idx, needs) for idx, (i, _, needs) in enumerate(own)]
+            rows.append((conv, turn, "assistant", json.dumps({"tool_calls": [{"id": i, "name": "add", "arguments": {"x": 1}, "depends_on": needs} for i, _, needs in own]})))
+        answered = {i for i, *_ in listed if rnd.random() < 0.7}
+        rows += [(conv, rnd.randrange(0, 8), "tool", json.dumps({"tool_call_id": i, "content": "r"})) for i in sorted(answered)]
+        graphs[conv] = listed, answered
+    got = chats(spark, rows)
+    for conv, (listed, answered) in graphs.items():
+        mine = [r for r in got if r.conv_id == conv]
+        settled = brute_settle(listed)
+        known = {c[0] for c in listed}
+        assert [r.position for r in mine] == list(range(len(mine)))
+        at = {r.call_id: r.position for r in mine if r.kind == "call"}
+        for i, turn, idx, needs in listed:
+            row = next(r for r in mine if r.kind == "call" and r.call_id == i)
+            assert row.status == ("cyclic" if i not in settled else "linked" if i in answered else "no result")
+            assert row.errors == [f"unknown dependency {n}" for n in sorted(set(needs) - known)]
+            if i in settled:
+                assert all(at[n] < at[i] for n in needs if n in known)
+        order = sorted((i for i in at if i in settled), key=lambda i: (*settled[i], *next((c[1], c[2]) for c in listed if c[0] == i)))
+        assert sorted(order, key=at.get) == order
+        for r in mine:
+            if r.kind == "result":
+                assert r.status == "linked" and r.position > at[r.call_id]
+
+
+def test_one_cycle_among_many_lifted_conversations(spark):
+    """Rounds follow the longest chain of needs, not the number of conversations or cycles."""
+    rows = [(c, i, turn, 0, needs) for c in range(10_000) for i, turn, needs in (("a", 0, ["b"]), ("b", 1, ["d"]), ("d", 2, []))]
+    rows += [(10_000, "p", 0, 0, ["q"]), (10_000, "q", 0, 1, ["p"]), (10_001, "s", 0, 0, ["s"])]
+    df = spark.createDataFrame(rows, "conv_id long, call_id string, turn long, idx int, depends_on array<string>")
+    found, rounds = chat_tools.settle(df)
+    assert rounds <= 3 + 2
+    kinds = found.groupBy("call_id", "at_turn", "level", "cyclic").count().collect()
+    assert {(r.call_id, r.at_turn, r.level, r.cyclic): r["count"] for r in kinds} == {("d", 2, 0, False): 10_000, ("b", 2, 1, False): 10_000, ("a", 2, 2, False): 10_000, ("p", 0, 0, True): 1, ("q", 0, 0, True): 1, ("s", 0, 0, True): 1}
+
+
+def test_no_assistant_turn_is_lost(spark):
+    rows = [(1, 0, "assistant", '{"tool_calls": []}'), (1, 1, "assistant", '{"tool_calls": "x"}'), (1, 2, "assistant", '\n {"content":"I call.","tool_calls":[{"id":"a","name":"add","arguments":{"x":1}}]}'), (1, 3, "assistant", '{"tool_calls":[{"name":"add","arguments":{"x":1}}, null]}'), (1, 4, "assistant", '{"tool_calls":[null]}')]
+    got = [(r.turn, r.kind, r.status, r.call_id) for r in chats(spark, rows)]
+    assert got == [(0, "message", None, None), (1, "message", None, None), (2, "message", None, None), (2, "call", "no result", "a"), (3, "call", "no identifier", None), (4, "message", None, None)]
+
+
+def test_item_types_and_allowed_values(spark):
+    schemas = spark.createDataFrame([("f", "k", "array<integer>", True, None), ("f", "u", "string", False, ["c", "f"])], "name string, param string, type string, required boolean, allowed array<string>")
+    text = json.dumps({"tool_calls": [{"id": str(i), "name": "f", "arguments": a} for i, a in enumerate([{"k": [1, 2]}, {"k": []}, {"k": ["x"], "u": "c"}, {"k": [1], "u": "z"}])]})
+    df = spark.createDataFrame([(1, 0, "assistant", text)], "conv_id long, turn long, role string, text string")
+    got = {r.call_id: r.errors for r in chat_tools.format_chats(df, schemas, exchanges=False).collect()}
+    assert got == {"0": [], "1": [], "2": ["type k"], "3": ["value u"]}
+
+
 def test_exchanges_are_linked(spark):
     df = spark.read.parquet("/root/testdata/sf0.001/conversations.parquet")
     rows = {(r.conv_id, r.turn): r for r in df.collect()}
