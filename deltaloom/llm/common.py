@@ -58,10 +58,10 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 
 
 def small_batches(df: DataFrame) -> None:
-    """Lets Spark hand at most 16 MB of rows to Python at a time, unless less is set."""
+    """Lets Spark hand at most 4 MB of rows to Python at a time, unless less is set."""
     conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
-    if int(conf.get(name).rstrip("bB")) > 16 << 20:
-        conf.set(name, str(16 << 20))
+    if int(conf.get(name).rstrip("bB")) > 4 << 20:
+        conf.set(name, str(4 << 20))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

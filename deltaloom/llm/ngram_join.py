@@ -410,7 +410,7 @@ def _edges(rows: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(rows[:, i])) for i in range(5)], names=["key", "u", "v", "lo", "hi"])
 
 
-def link_components(docs: DataFrame, width: int = 5, percent: int = 75, block: int = 1024, block_keys: int = 1 << 20, broadcast_rows: int = 500_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def link_components(docs: DataFrame, width: int = 5, percent: int = 75, block: int = 256, block_keys: int = 1 << 18, broadcast_rows: int = 500_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles and component_id of every document.
 
     Words are runs of non-white-space with A-Z lower-cased. A text of fewer than ``width``

@@ -74,4 +74,31 @@ ORACLES = {
         SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (
             SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
         WHERE rank <= 5""",
+    "op5_ngram_join": r"""
+        WITH RECURSIVE w AS (
+            SELECT row_number() OVER () AS r, doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+        s AS (
+            SELECT r, doc_id, list_distinct(list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda i: array_to_string(w[i:i + 4], ' '))) AS s FROM w WHERE len(w) > 0),
+        n AS (SELECT r, doc_id, CAST(len(s) AS BIGINT) AS n FROM s),
+        sets AS (SELECT s, min(r) AS r, min(doc_id) AS doc_id, any_value(len(s)) AS n FROM (SELECT r, doc_id, list_sort(s) AS s FROM s WHERE doc_id IS NOT NULL) GROUP BY s),
+        e AS (SELECT r, n, unnest(s) AS g FROM sets),
+        pairs AS (
+            SELECT a.r AS u, b.r AS v FROM e a JOIN e b ON a.g = b.g AND a.r < b.r AND 100 * least(a.n, b.n) >= 75 * greatest(a.n, b.n)
+            GROUP BY a.r, b.r, a.n, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))),
+        links AS (SELECT u, v FROM pairs UNION SELECT v, u FROM pairs),
+        reach AS (SELECT r AS u, r AS v FROM sets UNION SELECT reach.u, links.v FROM reach JOIN links ON reach.v = links.u),
+        least AS (SELECT reach.u AS r, min(sets.doc_id) AS component_id FROM reach JOIN sets ON sets.r = reach.v GROUP BY reach.u),
+        named AS (SELECT s.r, least.component_id FROM s JOIN sets ON list_sort(s.s) = sets.s JOIN least ON least.r = sets.r WHERE s.doc_id IS NOT NULL)
+        SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(named.component_id, w.doc_id) AS component_id
+        FROM w LEFT JOIN n ON n.r = w.r LEFT JOIN named ON named.r = w.r""",
+    "op7_warc": """
+        WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS html FROM pages),
+        h AS (SELECT page_id, octet_length(html) AS size, sha1(html) AS sha FROM p),
+        f AS (SELECT *, min(page_id) OVER (PARTITION BY sha) AS least FROM h)
+        SELECT page_id, CAST(size AS BIGINT) AS payload_bytes,
+            array_to_string(list_transform(range(0, 32), lambda j: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                CAST((CAST('0x' || substr(sha, CAST(10 * (j // 8) + 1 AS BIGINT), 10) AS BIGINT) >> CAST(35 - 5 * (j % 8) AS INTEGER)) & 31 AS BIGINT) + 1, 1)), '') AS payload_digest,
+            CASE WHEN page_id > least THEN 'revisit' ELSE 'response' END AS record_type,
+            CASE WHEN page_id > least THEN least END AS refers_to
+        FROM f""",
 }

@@ -2,13 +2,14 @@
 
 File format (all integers little-endian):
 
-* header: 8 bytes ``DLTOKPL1``; u32 ids in a block; u8 planes kind (1 bit, 8 byte);
+* header: 8 bytes ``DLTOKPL2``; u32 ids in a block; u8 planes kind (1 bit, 8 byte);
   3 zero bytes; u64 position of the file's first id in the corpus, 0 where it isn't known
   yet (files are written at once; the manifest gives their order and sizes);
 * one chunk per block: for each of its planes a zstandard frame;
 * index: per block u64 offset, u32 number of ids, then u32 size of each plane's frame
   (32 sizes for bit planes, 4 for byte planes);
-* document table: a zstandard frame of two u64 arrays, document ids and their token counts;
+* document table: a zstandard frame of document ids (i64), their token counts (u64), and a
+  byte each: 1, or 0 for a document without an id;
 * footer: u64 index offset, u32 blocks, u64 table offset, u32 table size, u64 documents,
   8 bytes ``DLTOKEND``.
 
@@ -32,7 +33,7 @@ from pyspark.sql import types as T
 from .common import RunPool, fresh_path, materialise, pieces, small_batches, uncollected, word_spans
 from .storage import list_files, open_input, publish
 
-MAGIC, END = b"DLTOKPL1", b"DLTOKEND"
+MAGIC, END = b"DLTOKPL2", b"DLTOKEND"
 HEAD, FOOT = struct.Struct("<8sIB3xQ"), struct.Struct("<QIQIQ8s")
 BIT, BYTE = 1, 8
 
@@ -67,10 +68,12 @@ class Writer:
         self.n_held, self.at, self.index = 0, HEAD.size, []
         self.docs: list[int] = []
         self.counts: list[int] = []
+        self.known: list[bool] = []
         out.write(HEAD.pack(MAGIC, block, kind, first))
 
-    def add(self, doc_id: int, ids: np.ndarray) -> None:
-        self.docs.append(doc_id)
+    def add(self, doc_id: int | None, ids: np.ndarray) -> None:
+        self.docs.append(doc_id or 0)
+        self.known.append(doc_id is not None)
         self.counts.append(len(ids))
         self.held.append(ids)
         self.n_held += len(ids)
@@ -95,7 +98,7 @@ class Writer:
         for row in self.index:
             self.out.write(struct.pack(f"<QI{planes}I", *row))
         where = self.at + len(self.index) * (12 + 4 * planes)
-        tables = self.zip.compress(np.array(self.docs, "<i8").tobytes() + np.array(self.counts, "<u8").tobytes())
+        tables = self.zip.compress(np.array(self.docs, "<i8").tobytes() + np.array(self.counts, "<u8").tobytes() + bytes(self.known))
         self.out.write(tables)
         self.out.write(FOOT.pack(self.at, len(self.index), where, len(tables), len(self.docs), END))
 
@@ -117,8 +120,9 @@ class Reader:
         f.seek(at)
         self.index = list(row.iter_unpack(f.read(row.size * blocks)))
         f.seek(where)
-        raw = self.unzip.decompress(f.read(table), max_output_size=16 * n) if n else b""
-        self.docs, self.counts = np.frombuffer(raw[: 8 * n], "<i8"), np.frombuffer(raw[8 * n :], "<u8")
+        raw = self.unzip.decompress(f.read(table), max_output_size=17 * n) if n else b""
+        self.docs, self.counts = np.frombuffer(raw[: 8 * n], "<i8"), np.frombuffer(raw[8 * n : 16 * n], "<u8")
+        self.known = np.frombuffer(raw[16 * n :], np.uint8) > 0
         self.starts = np.concatenate([[0], np.cumsum(self.counts)]).astype(np.int64)
         self.kept: tuple[int, np.ndarray] = (-1, np.zeros(0, np.uint32))
 
@@ -226,14 +230,14 @@ def write_tokens(docs: DataFrame, tokenizer: str, out_dir: str, end_id: int | No
     """Encode every whole text and write the ids, ascending by document id; the manifest.
 
     Null texts count as empty (only the end id). Repeated ids are kept, ordered by their
-    texts; rows with a null id come first and are stored under the smallest 64-bit id. An
-    empty table gives no file. The rows are dealt by ranges of (id, text hash), so neither a
-    hot source nor long texts gather in one task. Files are published by rename, under a
-    name made from their content, so a task that runs again leaves the same file.
+    texts; rows with a null id come first and keep it. An empty table gives no file. The rows
+    are dealt by ranges of (id, text hash), so neither a hot source nor long texts gather in
+    one task. Files are published by rename under names of their own; only those of tasks
+    that finished are in the manifest, and only those are read.
     Manifest: path, part (order of files), n_docs, n_tokens.
     """
     small_batches(docs)
-    rows = docs.select(F.coalesce(docs[id_col].cast("long"), F.lit(-(1 << 63))).alias("doc_id"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
+    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
     dealt = rows.repartitionByRange(F.col("doc_id"), F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"))
     schema = "path string, part long, n_docs long, n_tokens long, first_id long"
 
@@ -290,7 +294,7 @@ def read_tokens(manifest: DataFrame, with_ids: bool = False) -> DataFrame:
                     for lo in range(0, len(r.docs), 2048):
                         hi = min(lo + 2048, len(r.docs))
                         ids = [r.document(i) for i in range(lo, hi)]
-                        cols = [pa.array(r.docs[lo:hi]), pa.array(r.starts[lo:hi] + start), pa.array([len(x) for x in ids], pa.int64()), pa.array([zlib.crc32(np.ascontiguousarray(x, "<u4")) for x in ids], pa.int64())]
+                        cols = [pa.array(r.docs[lo:hi], mask=~r.known[lo:hi]), pa.array(r.starts[lo:hi] + start), pa.array([len(x) for x in ids], pa.int64()), pa.array([zlib.crc32(np.ascontiguousarray(x, "<u4")) for x in ids], pa.int64())]
                         if with_ids:
                             cols.append(pa.array([x.astype(np.int64) for x in ids], pa.list_(pa.int64())))
                         yield pa.RecordBatch.from_arrays(cols, names=schema.names)

@@ -16,7 +16,7 @@ import struct
 import uuid
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import fresh_path, materialise, pieces
@@ -33,13 +33,14 @@ def base32_sha1(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record_id(page_id: int | None, digest: str) -> str:
-    return str(uuid.uuid5(uuid.NAMESPACE_URL, f"page:{page_id}:{digest}"))
+def record_id(page_id: int | None, digest: str, serial: int = 0) -> str:
+    """A record's identifier; ``serial`` tells records of one page and payload apart."""
+    return str(uuid.uuid5(uuid.NAMESPACE_URL, f"page:{page_id}:{digest}" + f":{serial}" * bool(serial)))
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, date: str) -> tuple[str, bytes]:
+def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, date: str, serial: int = 0) -> tuple[str, bytes]:
     """(identifier, bytes) of a response record, or of a revisit if ``refers_to`` is given."""
-    name = record_id(page_id, digest)
+    name = record_id(page_id, digest, serial)
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     block = http if refers_to is not None else http + payload
     head = [f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <urn:uuid:{name}>", f"WARC-Date: {date}"]
@@ -127,6 +128,7 @@ class BundleReader:
             raise ValueError("no record index after the frames")
         raw = zstandard.ZstdDecompressor().decompressobj().decompress(f.read(length))
         self.index = [(raw[i : i + 16], *struct.unpack_from("<II", raw, i + 16)) for i in range(0, len(raw), 24)]
+        self.places: dict[bytes, tuple[int, int]] | None = None
         self.kept: tuple[int, bytes] = (-1, b"")
 
     def frame(self, k: int) -> bytes:
@@ -138,11 +140,10 @@ class BundleReader:
 
     def fetch(self, name: str) -> tuple[dict[str, str], bytes]:
         """The record with an identifier: one frame is decompressed."""
-        key = uuid.UUID(name).bytes
-        for got, k, at in self.index:
-            if got == key:
-                return parse(self.frame(k), at)
-        raise KeyError(name)
+        if self.places is None:
+            self.places = {key: (k, at) for key, k, at in self.index}
+        k, at = self.places[uuid.UUID(name).bytes]
+        return parse(self.frame(k), at)
 
     def records(self):
         for _, k, at in self.index:
@@ -161,17 +162,38 @@ def _revisits(pages: DataFrame, least: int, salts: int = 16) -> DataFrame:
     return keys.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(salts)).cast("int")).join(salted, ["sha", "salt"]).where("page_id > refers_to").select("page_id", "sha", "refers_to").distinct()
 
 
+def _numbered(rows: DataFrame) -> DataFrame:
+    """Adds ``serial``: 0, but for all rows of one page and payload except one a number of their own.
+
+    Rows that repeat are numbered within the task that reads them and written, so no page
+    that is repeated very often gathers anywhere.
+    """
+    again = materialise(rows.groupBy("page_id", "sha").count().where("count > 1").select("page_id", "sha"), "repeated-pages")
+    if again.isEmpty():
+        return rows.withColumn("serial", F.lit(0).cast("long"))
+    same = lambda a, b: a["page_id"].eqNullSafe(b["page_id"]) & (a["sha"] == b["sha"])
+    part = Window.partitionBy("page_id", "sha", "part").orderBy("url")
+    repeated = rows.join(again, same(rows, again), "left_semi").withColumn("part", F.spark_partition_id()).withColumn("n", F.row_number().over(part).cast("long"))
+    repeated = materialise(repeated, "repeated-rows")
+    least = repeated.groupBy("page_id", "sha").agg(F.min("part").alias("least"))
+    least = least.select(F.col("page_id").alias("l_page"), F.col("sha").alias("l_sha"), "least")
+    serial = F.when((F.col("part") == F.col("least")) & (F.col("n") == 1), 0).otherwise(F.shiftleft(F.col("part").cast("long"), 40) + F.col("n"))
+    named = repeated.join(least, F.expr("page_id <=> l_page AND sha = l_sha")).withColumn("serial", serial).select(*rows.columns, "serial")
+    return rows.join(again, same(rows, again), "left_anti").withColumn("serial", F.lit(0).cast("long")).unionByName(named)
+
+
 def write_bundles(pages: DataFrame, out_dir: str, least: int = 0, date: str = "1970-01-01T00:00:00Z", frame_bytes: int = 256 << 10, bundle_bytes: int = 256 << 20) -> DataFrame:
     """Write a record for each row (page_id, url, html); returns the manifest of bundles.
 
     Null html counts as empty. Of rows with equal payloads of at least ``least`` bytes, the
     smallest page_id is a response and larger ones revisit it; rows that share that page_id,
-    or have none, are responses too. An empty table gives no bundle. Other columns are
-    ignored. Bundles are published by rename and only finished tasks' bundles are listed.
+    or have none, are responses too, each with an identifier of its own. An empty table gives
+    no bundle. Other columns are ignored. Bundles are published by rename and only finished tasks' bundles are listed.
     """
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("html"))
     again = _revisits(rows, least)
-    marked = rows.withColumn("sha", F.sha1(F.col("html").cast("binary"))).join(again.hint("SHUFFLE_HASH"), ["page_id", "sha"], "left").select("page_id", "url", "html", "refers_to")
+    numbered = _numbered(rows.withColumn("sha", F.sha1(F.col("html").cast("binary"))))
+    marked = numbered.join(again.hint("SHUFFLE_HASH"), ["page_id", "sha"], "left").select("page_id", "url", "html", "refers_to", "serial")
 
     def run(batches):
         bundle = out = file = None
@@ -182,13 +204,13 @@ def write_bundles(pages: DataFrame, out_dir: str, least: int = 0, date: str = "1
             return pa.RecordBatch.from_pylist([{"path": file.done(), "records": bundle.records, "first_frame_bytes": bundle.frames[0][0]}])
 
         for b in pieces(batches):
-            for page, url, html, refers in zip(*(c.to_pylist() for c in b.columns)):
+            for page, url, html, refers, serial in zip(*(c.to_pylist() for c in b.columns)):
                 if bundle is None:
                     file = publish(out_dir, f"bundle-{uuid.uuid4().hex}.warc.zst")
                     out = file.open()
                     bundle = Bundle(out, frame_bytes)
                 payload = html.encode("utf-8", "surrogatepass")
-                bundle.add(*record(page, url, payload, base32_sha1(payload), refers, date))
+                bundle.add(*record(page, url, payload, base32_sha1(payload), refers, date, serial))
                 if bundle.written >= bundle_bytes:
                     yield finish()
                     bundle = None

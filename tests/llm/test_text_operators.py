@@ -79,7 +79,8 @@ def test_token_files_equal_the_library(spark, kind, block):
         at += len(ids)
     assert token_planes.store_and_read(docs_of(spark, []), path).count() == 0
     twice = token_planes.store_and_read(docs_of(spark, ["a", "b"]).union(docs_of(spark, ["c"])).union(spark.createDataFrame([(None, "d", None, None, None)], DOCS)), path).collect()
-    assert sorted(r.start for r in twice) == [0, 2, 4, 6]
+    assert sorted(r.start for r in twice) == [0, 2, 4, 6] and sorted((r.doc_id for r in twice), key=repr) == [0, 0, 1, None]
+    assert next(r.start for r in twice if r.doc_id is None) == 0
 
 
 def brute_profile_distance(text, profiles, top):

@@ -6,6 +6,7 @@ import io
 import itertools
 import json
 import random
+import uuid
 
 import pytest
 import zstandard
@@ -22,6 +23,10 @@ def test_bundles_round_trip(spark):
     pages = [(3, "http://a/", "same"), (1, "http://b/ x", "same"), (7, None, "same"), (2, "u", ""), (4, "u", None), (5, "u", "é" * 50_000), (None, "u", "same"), (6, "u", "other"), (6, "u", "other"), (8, "u", "other"), (1, "http://b/ x", "same")]
     df = spark.createDataFrame([(*p, 1, "x") for p in pages], PAGES).repartition(3)
     manifest = warc_bundles.write_bundles(df, fresh_path(spark, "w"), frame_bytes=60_000)
+    names = [n for r in manifest.collect() for n, _, _ in warc_bundles.BundleReader(open(r.path.removeprefix("file:"), "rb")).index]
+    assert len(set(names)) == len(pages)
+    responses = {str(uuid.UUID(bytes=n)) for n in names}
+    assert {warc_bundles.record_id(p, warc_bundles.base32_sha1((h or "").encode())) for p, _, h in pages} <= responses
     got = sorted(warc_bundles.read_bundles(manifest, with_payload=True).collect(), key=repr)
     assert len(got) == len(pages)
     first = {"same": 1, "": 2, "other": 6, "é" * 50_000: 5}
