@@ -269,15 +269,14 @@ class RunPool:
             have = self.columns[name] = grown
         have[used : used + len(values)] = values
 
-    def _add(self, hashes: np.ndarray, text: np.ndarray, text_sizes: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> None:
-        """Keep runs, one after the other; hashes ascend."""
+    def _add(self, text: np.ndarray, text_sizes: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> None:
+        """Keep runs, one after the other."""
         n = len(sizes)
         for name, used, values in (
             ("ids", self.n_ids, ids), ("text", self.n_text, text), ("at", self.n, self.n_ids + np.cumsum(sizes) - sizes), ("size", self.n, sizes),
             ("text_at", self.n, self.n_text + np.cumsum(text_sizes) - text_sizes), ("text_size", self.n, text_sizes),
         ):
             self._append(name, used, values)
-        self.places.add(hashes, np.arange(self.n, self.n + n, dtype=np.int32))
         self.n, self.n_ids, self.n_text = self.n + n, self.n_ids + len(ids), self.n_text + len(text)
 
     def _find(self, raw, begins, ends, fold, learn) -> np.ndarray:
@@ -289,13 +288,14 @@ class RunPool:
             place = self.places.find(hashes)
             new = np.flatnonzero(place < 0)
             if len(new):
-                at, text = first[new], raw.tobytes()
-                words = [text[lo:hi].decode() for lo, hi in zip(begins[at].tolist(), ends[at].tolist())]
-                del text
-                for own, ids, sizes in learn(words):
-                    some = at[own]
-                    self._add(hashes[new[own]], span_bytes(raw, begins[some], ends[some] - begins[some]), ends[some] - begins[some], ids, sizes)
-                place[new] = self.places.find(hashes[new])
+                at = first[new]
+                long = ends[at] - begins[at]
+                text = span_bytes(raw, begins[at], long)
+                starts = np.cumsum(long) - long
+                for own, ids, sizes in learn(text, long):
+                    place[new[own]] = np.arange(self.n, self.n + len(own), dtype=np.int32)
+                    self._add(span_bytes(text, starts[own], long[own]), long[own], ids, sizes)
+                self.places.add(hashes[new], place[new])
             place = place[back]
             sizes = ends - begins
             if np.array_equal(self.columns["text_size"][place], sizes):
@@ -316,8 +316,8 @@ class RunPool:
     def fill(self, raw, begins, ends, counts, fold, learn, tail: list[int]) -> list[np.ndarray]:
         """Each text's ids, run after run, then ``tail``.
 
-        ``learn`` gets runs not yet known as strings and yields (their numbers, ascending;
-        their ids one after the other; how many each has).
+        ``learn`` gets the bytes of runs not yet known, one after the other, and their sizes,
+        and yields (their numbers, ascending; their ids one after the other; how many each has).
         """
         place = self._find(raw, begins, ends, fold, learn)
         start, size = self.columns["at"][place], self.columns["size"][place]
@@ -333,6 +333,12 @@ class RunPool:
         return [out[lo:hi] for lo, hi in zip(stops, stops[1:])]
 
 
+def cut(text: np.ndarray, sizes: np.ndarray) -> list[str]:
+    """The strings whose bytes stand one after the other."""
+    raw, ends = text.tobytes(), np.cumsum(sizes).tolist()
+    return [raw[lo:hi].decode() for lo, hi in zip([0, *ends], ends)]
+
+
 def shingle_hashes(words: np.ndarray, width: int) -> np.ndarray:
     """Hashes of all runs of ``width`` words; of the whole sequence if it is shorter."""
     if not len(words):

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import RunPool, pieces, small_batches, uncollected, word_spans
+from .common import RunPool, cut, pieces, small_batches, uncollected, word_spans
 
 SPACE = "▁"
 _NOTHING, _AS_IS = np.zeros(256, bool), np.arange(256, dtype=np.uint8)
@@ -155,11 +155,11 @@ class PieceCodec:
             out = [x for k, x in enumerate(out) if x != self.unknown or not k or out[k - 1] != x]
         return out
 
-    def _learn(self, words: list[str]):
+    def _learn(self, text: np.ndarray, sizes: np.ndarray):
         """Encode chunks for the pool, and check them against the library in one batch."""
         if len(self.runs) > 60_000:
             self.runs.clear()
-        words = [w.replace(" ", SPACE) for w in words]
+        words = [w.replace(" ", SPACE) for w in cut(text, sizes)]
         new = [self.chunk(w) for w in words]
         if self.check and self.prefix:
             at = [i for i, w in enumerate(words) if w[0] == SPACE and w != SPACE]

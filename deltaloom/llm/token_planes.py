@@ -19,7 +19,6 @@ so a reader needs one file for a document and, by the index, only the blocks it
 
 from __future__ import annotations
 
-import re
 import struct
 import uuid
 import zlib
@@ -30,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import RunPool, fresh_path, materialise, pieces, small_batches, uncollected, word_spans
+from .common import RunPool, cut, fresh_path, materialise, pieces, small_batches, span_bytes, uncollected, word_spans
 from .storage import list_files, open_input, publish
 
 MAGIC, END = b"DLTOKPL2", b"DLTOKEND"
@@ -150,6 +149,13 @@ _KINDS[[*range(65, 91), *range(97, 123), *range(0x80, 0xC0), 0xC3]] = 0
 _KINDS[[c for c in range(33, 127) if not chr(c).isalnum() and c != 39]] = 1
 
 
+def _odd(text: np.ndarray) -> np.ndarray:
+    """Bytes that are neither plain letter nor mark, or end a sign of times or division or ``<|``."""
+    odd = _KINDS[text] == 2
+    odd[1:] |= (text[:-1] == 0xC3) & ((text[1:] == 0x97) | (text[1:] == 0xB7)) | (text[:-1] == 0x3C) & (text[1:] == 0x7C)
+    return odd
+
+
 class ChunkTokenizer:
     """The tokenizers library over texts, asked once per distinct run without white space.
 
@@ -161,9 +167,7 @@ class ChunkTokenizer:
     most about ``memo`` bytes, from which whole batches are put together.
     """
 
-    _ONE = re.compile(r"[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+|[!-&(-/:-@\[-`{-~]+")
-
-    def __init__(self, path: str, memo: int = 64 << 20, whole: bool = False):
+    def __init__(self, path: str, memo: int = 112 << 20, whole: bool = False):
         from tokenizers import Tokenizer
 
         self.library, self.whole = Tokenizer.from_file(path), whole
@@ -172,42 +176,49 @@ class ChunkTokenizer:
         self.last[[i for p, i in vocabulary.items() if p.endswith("</w>")]] = True
         self.runs = RunPool(memo)
 
-    def _learn(self, words: list[str]):
+    def _learn(self, text: np.ndarray, sizes: np.ndarray):
         """Ids of runs: those that are one word each in long lines, the rest one by one."""
-        one = [bool(self._ONE.fullmatch(w)) and "<|" not in w for w in words]
-        rest = [k for k, x in enumerate(one) if not x]
-        whole = [k for k, x in enumerate(one) if x]
+        begins = np.cumsum(sizes) - sizes
+        kind, odd = _KINDS[text], _odd(text)
+        odd[begins] = kind[begins] == 2  # what stands before is another run
+        one = (np.maximum.reduceat(kind, begins) == np.minimum.reduceat(kind, begins)) & ~np.maximum.reduceat(odd, begins)
+        rest, whole = np.flatnonzero(~one), np.flatnonzero(one)
         for at in range(0, len(whole), 4000):
             lot = whole[at : at + 4000]
-            ids = np.array(self.library.encode(" ".join([words[k] for k in lot]), add_special_tokens=False).ids, np.uint32)
+            long = sizes[lot]
+            line = np.full(int(long.sum()) + len(lot), 32, np.uint8)
+            line[np.arange(int(long.sum())) + np.repeat(np.arange(len(lot)), long)] = span_bytes(text, begins[lot], long)
+            ids = np.array(self.library.encode(line.tobytes().decode(), add_special_tokens=False).ids, np.uint32)
             stops = np.flatnonzero(self.last[ids]) + 1
             if len(stops) == len(lot):
-                yield np.array(lot), ids, np.diff(stops, prepend=0)
+                yield lot, ids, np.diff(stops, prepend=0)
             else:
-                rest += lot
-        rest.sort()
+                rest = np.append(rest, lot)
+        rest = np.sort(rest)
         for at in range(0, len(rest), 4000):
             lot = rest[at : at + 4000]
-            got = [np.array(e.ids, np.uint32) for e in self.library.encode_batch([words[k] for k in lot], add_special_tokens=False)]
-            yield np.array(lot), np.concatenate(got), np.array([len(x) for x in got], np.int64)
+            got = [np.array(e.ids, np.uint32) for e in self.library.encode_batch(cut(span_bytes(text, begins[lot], sizes[lot]), sizes[lot]), add_special_tokens=False)]
+            yield lot, np.concatenate(got), np.array([len(x) for x in got], np.int64)
 
     @staticmethod
     def _apart(raw: np.ndarray, begins: np.ndarray, ends: np.ndarray, counts: np.ndarray):
         """Runs of letters that end in marks as two runs: (begins, ends, counts)."""
-        if not len(begins):
+        some = np.flatnonzero((_KINDS[raw[ends - 1]] == 1) & (_KINDS[raw[begins]] == 0)) if len(begins) else begins
+        if not len(some):
             return begins, ends, counts
-        kind = _KINDS[raw]
-        odd = kind == 2
-        odd[1:] |= (raw[:-1] == 0xC3) & ((raw[1:] == 0x97) | (raw[1:] == 0xB7)) | (raw[:-1] == 0x3C) & (raw[1:] == 0x7C)
-        mark = kind == 1
-        turn = np.zeros(len(raw), bool)  # a mark after a letter, or a letter after a mark
-        turn[1:] = mark[1:] != mark[:-1]
-        inside = begins + 1
-        total = np.append(0, np.cumsum(odd, dtype=np.int32)), np.append(0, np.cumsum(turn, dtype=np.int32))
-        fit = (total[0][ends] == total[0][begins]) & (total[1][ends] - total[1][inside] == 1) & mark[ends - 1]
-        at = np.flatnonzero(turn)[total[1][inside[fit]]]
-        doc = np.repeat(np.arange(len(counts)), counts)
-        return np.sort(np.append(begins, at)), np.sort(np.append(ends, at)), counts + np.bincount(doc[fit], minlength=len(counts))
+        sizes = ends[some] - begins[some]
+        text = span_bytes(raw, begins[some], sizes)
+        first = np.cumsum(sizes) - sizes
+        kind, odd = _KINDS[text], _odd(text)
+        odd[first] = kind[first] == 2  # what stands before is another run
+        turn = np.append(False, kind[1:] != kind[:-1])  # a mark after a letter, or a letter after a mark
+        turn[first] = False
+        fit = np.flatnonzero(~np.maximum.reduceat(odd, first) & (np.add.reduceat(turn, first, dtype=np.int32) == 1))
+        where = np.flatnonzero(turn)
+        where = where[np.searchsorted(where, first[fit])]
+        at = begins[some[fit]] + where - first[fit]
+        doc = np.searchsorted(np.cumsum(counts), some[fit], "right")
+        return np.sort(np.append(begins, at)), np.sort(np.append(ends, at)), counts + np.bincount(doc, minlength=len(counts))
 
     def encode_batch(self, column: pa.Array, end: int | None) -> list[np.ndarray]:
         """Ids of every text of a column, each followed by ``end``; nulls count as empty."""
