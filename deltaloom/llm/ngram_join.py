@@ -15,7 +15,9 @@ link when 100 * intersection >= percent * union.
    last; it is only an order, so whatever it is, no link is lost.
 3. Groups. Documents that share a prefix key at fitting sizes are in one group (connected
    components), so all links lie inside groups. Equal sets are one member.
-4. Blocks. Groups are dealt into blocks of bounded numbers of sets and shingles. In a block an inverted index is
+4. Blocks. Groups are cut into blocks of bounded numbers of sets and shingles, in the order
+   of each set's first prefix key, so that sets which share rare shingles are mostly in one
+   block. In a block an inverted index is
    built, and each member is searched in it: of its lists the longest are set apart, the
    short ones are merged through a heap, and only what occurs often enough in those is
    looked up in the long ones by binary search. What reaches the required overlap is
@@ -24,13 +26,17 @@ link when 100 * intersection >= percent * union.
    are searched among themselves, and at last all members outside a group's largest
    component are searched against every block of the group. Pairs inside one component
    need no comparison, so this is exact and stays linear for groups of near copies.
-   Such a member meets only those blocks in which another set has one of its prefix keys.
+   Such a member of a group of more than ``FEW`` blocks meets only those in which another
+   set has one of its prefix keys; and two sets of which less than 2p / (100 + p) is shared
+   with anything can't link with one another (p is the percentage), so that if it is one
+   of these, only those in which a set that isn't has one of its keys.
 
 Nothing here caps lists, partners or groups.
 """
 
 from __future__ import annotations
 
+import hashlib
 import heapq
 import math
 
@@ -43,6 +49,8 @@ from .common import materialise, mix64, new_key, pieces, shingle_hashes, small_b
 from .components import components
 
 SALTS = 16
+#: In a group of so few blocks a member is sent to all of them, which takes fewer rows than its keys.
+FEW = 64
 
 
 def required(size: int, percent: int) -> int:
@@ -93,10 +101,9 @@ def shared_counts(rows: DataFrame, width: int, key: bytes, parts: int, tasks: in
                 yield _dealt(sets, np.array([signature(s) for s in sets], np.int64), parts, 16)
 
     def total(batches):
-        for _, t in _by_key(batches, ["home"]):
-            sigs, back = np.unique(np.concatenate([np.frombuffer(x, np.int64) for x in t["sigs"].to_pylist()]), return_inverse=True)
-            n = np.bincount(back, np.concatenate([np.frombuffer(x, "<i8") for x in t["counts"].to_pylist()]), len(sigs)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(sigs), pa.array(n)], names=["sig", "shared"])
+        for _, sig, n, _ in _at_home(batches):
+            sigs, back = np.unique(sig, return_inverse=True)
+            yield pa.RecordBatch.from_arrays([pa.array(sigs), pa.array(np.bincount(back, n, len(sigs)).astype(np.int64))], names=["sig", "shared"])
 
     return _exchanged(rows.mapInArrow(deal, _RUN), tasks, False).mapInArrow(total, "sig long, shared long").groupBy("sig").agg(F.sum("shared").alias("shared"))
 
@@ -113,13 +120,11 @@ def shared_keys(sets: DataFrame, percent: int, parts: int, tasks: int) -> DataFr
             yield _dealt(held, np.asarray(b.column(0)), parts, 0)
 
     def gather(batches):
-        for _, t in _by_key(batches, ["home"]):
-            runs = [(np.frombuffer(x, np.int64), np.frombuffer(n, "<i8")) for x, n in zip(t["sigs"].to_pylist(), t["counts"].to_pylist())]
-            sig = np.concatenate([np.repeat(x, n) for x, n in runs])
-            keys = np.concatenate([np.frombuffer(x, np.uint64) for x in t["keys"].to_pylist()])
+        for _, sig, n, keys in _at_home(batches):
+            sig, keys = np.repeat(sig, n), np.frombuffer(keys, np.uint64)
             order = np.lexsort((keys, sig))
             sig, keys = sig[order], keys[order]
-            at = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]])) if len(sig) else np.zeros(0, int)
+            at = np.flatnonzero(np.append(len(sig) > 0, sig[1:] != sig[:-1]))
             raw, cuts = keys.tobytes(), np.append(at, len(sig)) * 8
             yield pa.RecordBatch.from_arrays([pa.array(sig[at]), pa.array([raw[lo:hi] for lo, hi in zip(cuts, cuts[1:])], pa.binary())], names=["sig", "keys"])
 
@@ -142,14 +147,23 @@ def _exchanged(runs: DataFrame, tasks: int, with_keys: bool) -> DataFrame:
     return met.repartition(tasks, "home").sortWithinPartitions("home")
 
 
-_FOUND = "home long, sigs binary, counts binary, keys binary"
+_FOUND = "home long, sigs binary, named binary, counts binary, keys binary"
 _RUN = "part int, home long, sigs binary, counts binary, keys binary, owners binary"
+#: Stands for the owner of a key that a slice holds more than once; slices have fewer sets.
+_MANY = (1 << 16) - 1
+
+
+def _record(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
+    fields = [x.split() for x in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(zip(*rows), fields)], names=[n for n, _ in fields])
 
 
 def _dealt(sets: list[np.ndarray], sigs: np.ndarray, parts: int, drop: int) -> pa.RecordBatch:
     """A slice's runs by part, and one row of what the slice itself holds more than once.
 
-    A slice's home is a number made from all its sets.
+    A slice's home is a number made from its sets in their order; in its runs a set is known
+    by its place among them.
     """
     flat = np.concatenate(sets) >> np.uint64(drop)
     owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
@@ -159,17 +173,13 @@ def _dealt(sets: list[np.ndarray], sigs: np.ndarray, parts: int, drop: int) -> p
     lone = new & np.append(new[1:], True)
     by = np.argsort(owner[~lone], kind="stable")
     again = np.bincount(owner[~lone], minlength=len(sets))
-    home = int(mix64(np.array([np.sum(mix64(sigs.view(np.uint64)))], np.uint64)).view(np.int64)[0])
+    home = int.from_bytes(hashlib.blake2b(sigs.tobytes(), digest_size=8).digest(), "little", signed=True)
     out = [(home % parts, home, sigs.tobytes(), again.astype("<i8").tobytes(), b"" if drop else flat[~lone][by].tobytes(), b"")]
-    keys, owners = flat[new], np.where(lone[new], owner[new], len(sets))
+    keys, owners = flat[new], np.where(lone[new], owner[new], _MANY).astype("<u2")
     part = (keys >> np.uint64(24 - drop)) * np.uint64(parts) >> np.uint64(40)  # by the 40 highest bits
     cuts = np.flatnonzero(np.append(len(keys) > 0, part[1:] != part[:-1]))
-    for lo, hi in zip(cuts.tolist(), [*cuts[1:].tolist(), len(keys)]):
-        if lo < hi:
-            named, at = np.unique(owners[lo:hi], return_inverse=True)
-            out.append((int(part[lo]), home, np.append(sigs, 0)[named].tobytes(), (named < len(sets)).astype("<i8").tobytes(), _deltas(keys[lo:hi]), at.astype("<u2").tobytes()))
-    kinds = [pa.int32(), pa.int64(), *[pa.binary()] * 4]
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=[x.split()[0] for x in _RUN.split(", ")])
+    out += [(int(part[lo]), home, b"", b"", _deltas(keys[lo:hi]), owners[lo:hi].tobytes()) for lo, hi in zip(cuts.tolist(), [*cuts[1:].tolist(), len(keys)])]
+    return _record(out, _RUN)
 
 
 def _meet(batches, with_keys: bool):
@@ -178,32 +188,45 @@ def _meet(batches, with_keys: bool):
     Rows come in order of parts. A part is a range of hashes, as large as its share of all;
     a key that is common holds one entry for each slice of documents, not for each document.
     """
-    names = [x.split()[0] for x in _FOUND.split(", ")]
     for _, t in _by_key(batches, ["part"]):
-        runs = []
+        runs, straight = [], []
         for home, sigs, counts, keys, owners in zip(*(t.column(i).to_pylist() for i in range(1, 6))):
             if owners:
-                runs.append((_undeltas(keys), np.frombuffer(owners, "<u2"), np.frombuffer(sigs, np.int64), np.frombuffer(counts, "<i8"), home))
+                runs.append((_undeltas(keys), np.frombuffer(owners, "<u2"), home))
             else:  # what the slice found by itself goes straight home
-                yield pa.RecordBatch.from_arrays([pa.array([home]), *[pa.array([x], pa.binary()) for x in (sigs, counts, keys)]], names=names)
+                straight.append((home, sigs, b"", counts, keys))
+        if straight:
+            yield _record(straight, _FOUND)
         if not runs:
             continue
         keys = np.concatenate([r[0] for r in runs])
-        base = np.cumsum([0, *[len(r[2]) for r in runs]])
-        owner = np.concatenate([r[1].astype(np.int64) + at for r, at in zip(runs, base)])
-        real = np.concatenate([r[3] for r in runs])
+        owner = np.concatenate([r[1].astype(np.int64) + (i << 16) for i, r in enumerate(runs)])
+        homes = [r[2] for r in runs]
+        del runs, t
         order = np.argsort(keys, kind="stable")
         keys, owner = keys[order], owner[order]
         new = np.concatenate([[True], keys[1:] != keys[:-1]])
-        many = ~(new & np.append(new[1:], True)) & (real[owner] > 0)
+        many = ~(new & np.append(new[1:], True)) & (owner & _MANY != _MANY)
         keys, owner = keys[many], owner[many]
-        n = np.bincount(owner, minlength=base[-1])
-        raw, cuts = (keys[np.argsort(owner, kind="stable")] if with_keys else keys[:0]).tobytes(), np.append(0, np.cumsum(n)) * 8
-        for (_, _, sigs, _, home), lo, hi in zip(runs, base, base[1:]):
-            some = np.flatnonzero(n[lo:hi])
-            if len(some):
-                found = sigs[some].tobytes(), n[lo:hi][some].astype("<i8").tobytes(), raw[cuts[lo] : cuts[hi]] if with_keys else b""
-                yield pa.RecordBatch.from_arrays([pa.array([home]), *[pa.array([x], pa.binary()) for x in found]], names=names)
+        order = np.argsort(owner, kind="stable")
+        keys, owner = keys[order] if with_keys else keys[:0], owner[order]
+        at = np.flatnonzero(np.append(len(owner) > 0, owner[1:] != owner[:-1]))
+        n, named = np.diff(np.append(at, len(owner))), (owner[at] & _MANY).astype("<u2")
+        run = owner[at] >> 16
+        cuts = np.flatnonzero(np.append(len(run) > 0, run[1:] != run[:-1])).tolist()
+        raw, ends = keys.tobytes(), np.append(at, len(owner)) * 8
+        found = [(homes[run[lo]], b"", named[lo:hi].tobytes(), n[lo:hi].astype("<i8").tobytes(), raw[ends[lo] : ends[hi]]) for lo, hi in zip(cuts, [*cuts[1:], len(run)])]
+        if found:
+            yield _record(found, _FOUND)
+
+
+def _at_home(batches):
+    """(home, signatures, their counts, their keys in the same order) of every slice."""
+    for (home,), t in _by_key(batches, ["home"]):
+        rows = list(zip(*(t.column(i).to_pylist() for i in range(1, 5))))
+        own = np.frombuffer(next(sigs for sigs, *_ in rows if sigs), np.int64)
+        sig = np.concatenate([own[np.frombuffer(named, "<u2")] if named else own for _, named, _, _ in rows])
+        yield home, sig, np.concatenate([np.frombuffer(n, "<i8") for _, _, n, _ in rows]), b"".join([k for *_, k in rows])
 
 
 def common_keys(shared: DataFrame, most: int = 100_000) -> np.ndarray:
@@ -410,7 +433,7 @@ def _edges(rows: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(rows[:, i])) for i in range(5)], names=["key", "u", "v", "lo", "hi"])
 
 
-def link_components(docs: DataFrame, width: int = 5, percent: int = 75, block: int = 256, block_keys: int = 1 << 18, broadcast_rows: int = 500_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def link_components(docs: DataFrame, width: int = 5, percent: int = 75, block: int = 128, block_keys: int = 1 << 17, broadcast_rows: int = 500_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles and component_id of every document.
 
     Words are runs of non-white-space with A-Z lower-cased. A text of fewer than ``width``
@@ -513,25 +536,51 @@ def link_components(docs: DataFrame, width: int = 5, percent: int = 75, block: i
     groups = components(starred.where("u <> v").select("u", "v").union(leaders))
     groups = materialise(groups, "groups")
 
-    lots = F.greatest(F.ceil(F.count("*") / F.lit(block)), F.ceil(F.sum(F.octet_length("keys") / 8) / F.lit(block_keys))).cast("long")
-    sized = sets.join(groups, F.col("sig") == F.col("node"))
-    members = groups.join(sized.groupBy("label").agg(lots.alias("blocks")), "label").select(F.col("node").alias("sig"), F.col("label").alias("grp"), "blocks")
-    sets = materialise(sets.join(members, "sig").withColumn("block", F.pmod(F.xxhash64("sig"), F.col("blocks"))), "members")
-    links = materialise(_search_blocks(sets.withColumns({"comp": F.col("sig"), "asks": F.lit(True)}), percent, tasks), "links")
+    def cut(frame: DataFrame) -> DataFrame:
+        """``frame`` (grp, sig, n, keys, comp, asks) with the number of its ``block``, for the first time or anew."""
+        order = ["grp", "lead", "sig"]
+        kinds = {"grp": "long", "sig": "long", "n": "long", "keys": "binary", "comp": "long", "asks": "boolean"}
+        base = ", ".join(f"{c} {t}" for c, t in kinds.items())
+
+        def lead(batches):
+            for b in pieces(batches, 2048):
+                first = [prefix_keys(np.frombuffer(raw, np.uint64), n, percent, *held_order.value)[:1] for n, raw in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array([int(f.view(np.int64)[0]) if len(f) else 0 for f in first], pa.int64())], names=[*kinds, "lead"])
+
+        def number(batches):
+            from pyspark import TaskContext
+
+            grp, block_no, held, size = None, TaskContext.get().partitionId() << 32, 0, 0
+            for b in pieces(batches, 2048):
+                out = []
+                for g, raw in zip(b.column(0).to_pylist(), b.column(3).to_pylist()):
+                    if g != grp or held >= block or size + len(raw) // 8 > block_keys:
+                        grp, block_no, held, size = g, block_no + 1, 0, 0
+                    held, size = held + 1, size + len(raw) // 8
+                    out.append(block_no)
+                yield pa.RecordBatch.from_arrays([*b.columns[:6], pa.array(out, pa.int64())], names=[*kinds, "block"])
+
+        led = frame.select(*kinds).mapInArrow(lead, base + ", lead long")
+        return led.repartitionByRange(tasks, *order).sortWithinPartitions(*order).mapInArrow(number, base + ", block long")
+
+    members = sets.join(groups, F.col("sig") == F.col("node")).withColumnRenamed("label", "grp").withColumns({"comp": F.col("sig"), "asks": F.lit(True)})
+    sets = materialise(cut(members), "members")
+    links = materialise(_search_blocks(sets, percent, tasks), "links")
+
+    several = sets.groupBy("grp").agg(F.min("block").alias("lo"), F.max("block").alias("hi")).where("lo <> hi").select("grp")
+    several = materialise(several, "large-groups")
+    if not several.isEmpty():
+        large = materialise(sets.drop("comp", "asks").join(several, "grp", "left_semi"), "large")
 
-    large = sets.where("blocks > 1")
-    if not large.isEmpty():
         def labelled(found: DataFrame) -> DataFrame:
             comps = components(found.join(large.select(F.col("sig").alias("u")), "u", "left_semi"))
             return materialise(large.join(comps, large["sig"] == comps["node"], "left").select(large["*"], F.coalesce("label", "sig").alias("comp")), "labelled")
 
         # representatives among themselves, in blocks of their own
         now = labelled(links)
-        leads = now.where("comp = sig")
-        counts = leads.groupBy("grp").agg(lots.alias("lots"))
-        leads = leads.join(counts, "grp").withColumn("block", F.pmod(F.xxhash64("sig", F.lit(1)), F.col("lots"))).withColumn("asks", F.lit(True))
+        leads = materialise(cut(now.where("comp = sig").withColumn("asks", F.lit(True))), "leads")
         links = materialise(links.union(_search_blocks(leads, percent, tasks)), "links")
-        # all outside the largest component of a group, against every block of the group
+        # all outside the largest component of a group, against the blocks of the group that they can meet
         now = labelled(links)
         counted = now.groupBy("grp", "comp").agg(F.count("*").alias("n"))
         main = counted.groupBy("grp").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"))
@@ -543,12 +592,26 @@ def link_components(docs: DataFrame, width: int = 5, percent: int = 75, block: i
                 each = np.repeat(np.arange(len(keys)), [len(k) for k in keys])
                 yield pa.RecordBatch.from_arrays([*[b.column(i).take(pa.array(each)) for i in range(3)], pa.array(np.concatenate(keys))], names=["grp", "block", "sig", "key"])
 
-        prefixes = now.select("grp", "block", "sig", "n", "keys", (F.col("comp") != F.col("main")).alias("asks"))
-        held_by = prefixes.drop("asks").mapInArrow(keyed, "grp long, block long, sig long, key long").select("grp", "key", "block").distinct()
-        asked_for = prefixes.where("asks").drop("asks").mapInArrow(keyed, "grp long, block long, sig long, key long").select("grp", "key", "sig")
-        meets = asked_for.join(held_by, ["grp", "key"]).select("sig", "block").distinct()
-        outside = now.where("comp <> main").drop("block").join(meets, "sig").withColumn("asks", F.lit(True))
-        against = now.withColumn("asks", F.lit(False)).select(outside.columns)
+        blocks_of = materialise(large.select("grp", "block").distinct(), "blocks")
+        many = materialise(blocks_of.groupBy("grp").count().where(F.col("count") > FEW).select("grp"), "many-blocks")
+        asking = now.where("comp <> main")
+        every = asking.join(many, "grp", "left_anti").select("sig", "grp").join(blocks_of, "grp").select("sig", "grp", "block")
+
+        far = now.join(many, "grp", "left_semi").withColumn("strong", F.octet_length("keys") / 8 * (100 + percent) >= F.col("n") * 2 * percent)
+        spread = "grp long, block long, sig long, key long"
+        keys_of = lambda rows: rows.select("grp", "block", "sig", "n", "keys").mapInArrow(keyed, spread)
+        held_by = keys_of(far).select("grp", "key", "block").distinct()
+        held_strong = keys_of(far.where("strong")).select("grp", "key", "block").distinct()
+        asked = far.where("comp <> main")
+        by_key = keys_of(asked.where("strong")).drop("block").join(held_by, ["grp", "key"]).select("sig", "grp", "block")
+        by_key = by_key.union(keys_of(asked.where("NOT strong")).drop("block").join(held_strong, ["grp", "key"]).select("sig", "grp", "block"))
+        meets = materialise(every.union(by_key.distinct()), "meets")
+        # a block that very many ask meets them in lots of bounded size
+        sizes = meets.groupBy("grp", "block").agg(F.ceil(F.count("*") / F.lit(block)).cast("long").alias("lots"))
+        meets = meets.join(sizes, ["grp", "block"]).select("sig", F.xxhash64("block", F.pmod(F.xxhash64("sig"), F.col("lots"))).alias("block"))
+        outside = asking.drop("block").join(meets, "sig").withColumn("asks", F.lit(True))
+        against = now.join(sizes, ["grp", "block"]).withColumn("lot", F.explode(F.sequence(F.lit(0).cast("long"), F.col("lots") - 1)))
+        against = against.withColumn("block", F.xxhash64("block", "lot")).withColumn("asks", F.lit(False)).select(outside.columns)
         links = materialise(links.union(_search_blocks(outside.union(against), percent, tasks)), "links")
 
     comps = materialise(components(links), "components")

@@ -63,8 +63,9 @@ def corpus(seed):
     return texts
 
 
-@pytest.mark.parametrize("seed,block", [(1, 1024), (2, 4)])
-def test_join_equals_brute_force(spark, seed, block):
+@pytest.mark.parametrize("seed,block,few", [(1, 1024, 64), (2, 4, 64), (3, 3, 1)])
+def test_join_equals_brute_force(spark, seed, block, few, monkeypatch):
+    monkeypatch.setattr(ngram_join, "FEW", few)
     texts = corpus(seed)
     sizes, roots = brute_links(texts)
     df = spark.createDataFrame([(i, t, "x", 1) for i, t in enumerate(texts)], "doc_id long, text string, sig string, key int").repartition(3)
