@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -18,14 +19,18 @@ class Engine:
     candidates are looked for in ``probe_from`` or more known tuples by a scan that probes
     the candidates, if these are at most ``probe_most``; else both are shuffled. Derived
     batches are written under ``spark.checkpoint.dir``, which all executors share, so an
-    executor can be lost at any time; a local folder is made only where that is unset.
+    executor can be lost at any time; a local folder is made only where that is unset and
+    the master is local, and a cluster without the setting is refused. ``fold_at`` batches of
+    one size class of a variable are folded into one.
     """
 
-    def __init__(self, spark: SparkSession, max_iterations: int | None = None, workers: int = 4, probe_from: int = 5_000_000, probe_most: int = 500_000):
+    def __init__(self, spark: SparkSession, max_iterations: int | None = None, workers: int = 4, probe_from: int = 5_000_000, probe_most: int = 500_000, fold_at: int = 16):
         self.spark, self.max_iterations, self.workers = spark, max_iterations, workers
-        self.probe_from, self.probe_most = probe_from, probe_most
+        self.probe_from, self.probe_most, self.fold_at = probe_from, probe_most, fold_at
         folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
         if not folder:
+            if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             folder = tempfile.mkdtemp(prefix="deltaloom-")
             spark.sparkContext.setCheckpointDir(folder)
         self.root = f"{folder.rstrip('/')}/deltaloom-{uuid.uuid4().hex}"

@@ -17,8 +17,10 @@ class Variable:
     """A growing relation split into ``stable``, ``recent`` and pending tuples.
 
     Each round's new tuples are written once, as a batch of the shared workspace; stable
-    tuples are one scan over all earlier batches, which never overlap. So plans stay small
-    in any number of rounds, nothing is written twice, and lost executors lose nothing.
+    tuples are one scan over all earlier batches, which never overlap. As soon as
+    ``engine.fold_at`` batches have been folded equally often they are folded into one, so
+    that a scan has few batches and a tuple is written few times (both follow the logarithm
+    of the rounds). Plans stay small in any number of rounds and lost executors lose nothing.
     """
 
     def __init__(self, engine: Engine, schema: T.StructType | str):
@@ -26,6 +28,8 @@ class Variable:
         self._stable: list[tuple[str, int]] = []
         self._recent: tuple[str, int] | None = None
         self._pending: list[Relation] = []
+        self._folds: list[int] = []  # how often each stable batch has been folded
+        self._folded: list[str] = []  # batches that others hold now; frames may still read them
 
     def insert(self, rows: Relation | DataFrame) -> None:
         """Add tuples; they are seen only from the next changed() on."""
@@ -64,7 +68,9 @@ class Variable:
         """Make recent tuples stable and pending ones, less those known, recent."""
         if self._recent:
             self._stable.append(self._recent)
+            self._folds.append(0)
             self._recent = None
+            self._fold()
         if not self._pending:
             return False
         new = reduce(DataFrame.union, [r.df for r in self._pending])
@@ -74,6 +80,14 @@ class Variable:
             self._recent = path, n
         return bool(n)
 
+    def _fold(self) -> None:
+        """Fold the last batches into one while so many of them have been folded equally often."""
+        most = self.engine.fold_at
+        while len(self._folds) >= most and self._folds[-most] == self._folds[-1]:
+            path, n = self.engine.write(self._read(self._stable[-most:]).coalesce(self.engine.spark.sparkContext.defaultParallelism))
+            self._folded += [p for p, _ in self._stable[-most:]]
+            self._stable[-most:], self._folds[-most:] = [(path, n)], [self._folds[-1] + 1]
+
     def _unknown(self, new: DataFrame) -> DataFrame:
         """Candidates that no stable tuple equals, each once; nulls equal each other.
 
@@ -99,7 +113,7 @@ class Variable:
         """All tuples as one relation; the variable is empty afterwards."""
         done = self.known
         pending, batches = self._pending, self._stable + ([self._recent] if self._recent else [])
-        self._stable, self._recent, self._pending = [], None, []
+        self._stable, self._recent, self._pending, self._folds = [], None, [], []
         if not pending:
             out = Relation(self.engine, done, distinct=True)
             out._count = sum(n for _, n in batches)
@@ -108,5 +122,5 @@ class Variable:
 
     def release(self) -> None:
         """Delete the batches; frames made from them can't be read any more."""
-        self.engine.remove([p for p, _ in self._stable + ([self._recent] if self._recent else [])])
-        self._stable, self._recent, self._pending = [], None, []
+        self.engine.remove([p for p, _ in self._stable + ([self._recent] if self._recent else [])] + self._folded)
+        self._stable, self._recent, self._pending, self._folds, self._folded = [], None, [], [], []

@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..engine import Engine
-from ..errors import MaxIterationsExceeded
-from ..operators import ExtendAnti, ExtendWith, FilterAnti, Iteration, Relation, SecondaryIndex, Variable, aggregate, extend_into, fold, join_anti, join_helper, join_into, semi_join
+from ..errors import InvalidFormat, MaxIterationsExceeded, TooLarge
+from ..operators import ExtendAnti, ExtendWith, FilterAnti, Iteration, Leaper, Relation, SecondaryIndex, Variable, aggregate, extend_into, fold, join_anti, join_helper, join_into, semi_join
 from . import programs
 from .closure import reachable_from, same_generation, transitive_closure
 
@@ -126,7 +126,7 @@ def q_semi_join(spark, d):
 def theta_join(spark, d):
     e = Engine(spark)
     left = Relation(e, _table(spark, d, "supplier").selectExpr("s_nationkey AS n", "s_suppkey AS a"))
-    right = Relation(e, _table(spark, d, "customer").where("c_acctbal > 9000").selectExpr("c_nationkey AS n", "c_custkey AS b"))
+    right = Relation(e, _table(spark, d, "customer").selectExpr("c_nationkey AS n", "c_custkey AS b"))
     return join_helper(left, right, F.expr("l.n = r.n AND l.a < r.b"), ["l.a AS a", "r.b AS b"]).df
 
 
@@ -203,37 +203,23 @@ def tc_tree_linear(spark, d):
     return transitive_closure(Engine(spark), _tree(spark, d), linear=True).df
 
 
-def tc_cyclic(spark, d):
-    return transitive_closure(Engine(spark), _table(spark, d, "part").where("p_partkey < 50").selectExpr("p_partkey AS a", "(p_partkey * 7 + 3) % 50 AS b")).df
-
-
-def tc_nulls(spark, d):
-    edges = "CASE WHEN p_partkey % 10 = 0 THEN NULL ELSE p_partkey END AS a", "CASE WHEN p_partkey % 7 = 0 THEN NULL ELSE (p_partkey * 3 + 1) % 40 END AS b"
-    return transitive_closure(Engine(spark), _table(spark, d, "part").where("p_partkey < 40").selectExpr(*edges)).df
-
-
 def reach_bound(spark, d):
     seeds = spark.createDataFrame([(1234,)], "v bigint")
     return reachable_from(Engine(spark), _tree(spark, d), seeds).df
 
 
-def q_same_generation(spark, d):
-    part = _table(spark, d, "part")
-    return same_generation(Engine(spark), part.where("p_partkey BETWEEN 2 AND 127").selectExpr("p_partkey div 2 AS p", "p_partkey AS c"), part.where("p_partkey BETWEEN 1 AND 127").selectExpr("p_partkey AS x", "p_partkey AS y")).df
-
-
-def tc_cyclic_whole(spark, d):
-    """Every part: a cyclic graph like that of tc_cyclic on each 50 keys."""
+def tc_cyclic(spark, d):
+    """Every part: a cyclic graph on each 50 keys."""
     return transitive_closure(Engine(spark), _table(spark, d, "part").selectExpr("p_partkey AS a", "p_partkey div 50 * 50 + (p_partkey * 7 + 3) % 50 AS b")).df
 
 
-def tc_nulls_whole(spark, d):
-    """Every part: a graph with nulls like that of tc_nulls on each 40 keys."""
+def tc_nulls(spark, d):
+    """Every part: a graph with nulls on each 40 keys."""
     edges = "CASE WHEN p_partkey % 10 = 0 THEN NULL ELSE p_partkey END AS a", "CASE WHEN p_partkey % 7 = 0 THEN NULL ELSE p_partkey div 40 * 40 + (p_partkey * 3 + 1) % 40 END AS b"
     return transitive_closure(Engine(spark), _table(spark, d, "part").selectExpr(*edges)).df
 
 
-def same_generation_whole(spark, d):
+def q_same_generation(spark, d):
     """The whole part tree; the result has about a third of the square of the table's rows."""
     return same_generation(Engine(spark), _tree(spark, d).selectExpr("b AS p", "a AS c"), _table(spark, d, "part").selectExpr("p_partkey AS x", "p_partkey AS y")).df
 
@@ -245,15 +231,6 @@ def taint_blocked_reach(spark, d):
 
 
 def rbac(spark, d):
-    e = Engine(spark)
-    roles = _table(spark, d, "orders").where("o_orderkey % 100 > 0").selectExpr("o_custkey AS u", "o_orderkey % 100 AS r")
-    above = _table(spark, d, "part").where("p_partkey BETWEEN 2 AND 99").selectExpr("p_partkey AS c", "p_partkey div 2 AS p")
-    perms = _table(spark, d, "lineitem").where("l_suppkey > 0 AND l_quantity > 49").selectExpr("l_suppkey AS r", "l_linenumber AS p")
-    denied = _table(spark, d, "customer").selectExpr("c_custkey AS u", "c_nationkey % 7 AS p")
-    return programs.access_control(e, *[Relation(e, x) for x in (roles, above, perms, denied)])["effective"].df
-
-
-def rbac_whole(spark, d):
     """Every order a role of its customer, every part in the hierarchy, every line a permission."""
     e = Engine(spark)
     roles = _table(spark, d, "orders").selectExpr("o_custkey AS u", "o_orderkey AS r")
@@ -271,12 +248,6 @@ def q_lineage(spark, d):
 
 
 def q_ontology(spark, d):
-    e, part = Engine(spark), _table(spark, d, "part")
-    rel = lambda df: Relation(e, df)
-    return programs.ontology(e, rel(part.where("p_partkey BETWEEN 2 AND 200").selectExpr("p_partkey AS a", "p_partkey div 2 AS b")), rel(part.where("p_partkey BETWEEN 1 AND 200").selectExpr("p_partkey AS a", "CAST(p_size AS BIGINT) AS s")), rel(_table(spark, d, "supplier").selectExpr("s_suppkey AS d", "CAST(s_nationkey AS BIGINT) AS p")), rel(part.where("p_partkey BETWEEN 1 AND 200").selectExpr("p_partkey % 25 AS p", "p_partkey AS a")))["effect"].df
-
-
-def ontology_whole(spark, d):
     """Every part has a trait and is associated."""
     e, part = Engine(spark), _table(spark, d, "part")
     rel = lambda df: Relation(e, df)
@@ -343,6 +314,80 @@ def saved_relation(spark, d):
     return Relation.load(e, path).df
 
 
+class _Below(Leaper):
+    """Proposes all numbers from 0 to a tuple's own."""
+
+    proposes = True
+
+    def propose(self, tuples):
+        return tuples.select("t", F.explode(F.sequence(F.lit(0).cast("long"), F.col("t.n"))).alias("v"))
+
+
+class _Even(Leaper):
+    def intersect(self, pairs):
+        return pairs.where("v % 2 = 0")
+
+
+def custom_leaper(spark, d):
+    e = Engine(spark)
+    out = Variable(e, "n bigint, v bigint")
+    extend_into(_recent(e, _table(spark, d, "nation").selectExpr("CAST(n_nationkey AS BIGINT) AS n")), [_Below(), _Even()], ["t.n AS n", "v AS v"], out)
+    return out.complete().df
+
+
+def extend_by_tuple(spark, d):
+    """Each supplier's parts are proposed by whichever relation has the fewest for that supplier."""
+    e = Engine(spark)
+    leapers = [ExtendWith(Relation(e, _supplied(spark, d, c)), {"k": "t.k"}, "v") for c in ("l_returnflag = 'R'", "l_linestatus = 'O'", "l_quantity > 10")]
+    out = Variable(e, "k bigint, v bigint")
+    extend_into(_recent(e, _table(spark, d, "supplier").selectExpr("s_suppkey AS k")), leapers, ["t.k AS k", "v AS v"], out, by_tuple=True)
+    return out.complete().df
+
+
+def total_len(spark, d):
+    """Tuples of a variable while some are stable, some recent and some pending."""
+    v = _recent(Engine(spark), _supplied(spark, d, "l_returnflag = 'R'"))
+    v.insert(_supplied(spark, d, "l_linestatus = 'O'"))
+    v.changed()
+    v.insert(_supplied(spark, d, "l_quantity > 45"))
+    return spark.createDataFrame([(v.stable_count, v.recent_count, v.total_len())], "stable bigint, recent bigint, total bigint")
+
+
+def load_checks(spark, d):
+    """What loading says of good and bad folders; rows within the limit are counted."""
+    e = Engine(spark)
+    path, rows = f"{e.root}/saved-{uuid.uuid4().hex}", []
+    saved = Relation(e, _supplied(spark, d))
+    saved.save(path)
+    n = saved.save(path)  # over itself
+    kinds = {"missing": (f"{path}-none", None, None), "over the limit": (path, n - 1, None), "within the limit": (path, n, None), "other columns": (path, None, "k bigint, w bigint"), "no limit": (path, None, "k bigint, v bigint")}
+    for name, (at, limit, schema) in kinds.items():
+        try:
+            rows.append((name, "rows", len(Relation.load(e, at, limit, schema))))
+        except (InvalidFormat, TooLarge) as error:
+            rows.append((name, type(error).__name__, 0))
+    return spark.createDataFrame(rows, "name string, outcome string, n bigint")
+
+
+def index_insert(spark, d):
+    """Nations put into an index one tuple at a time, and those of one region."""
+    ix = SecondaryIndex(Engine(spark), "r bigint, n bigint", "r")
+    for r in _table(spark, d, "nation").selectExpr("CAST(n_regionkey AS BIGINT) AS r", "CAST(n_nationkey AS BIGINT) AS n").collect():
+        ix.insert_rows([tuple(r)])
+    return ix.get(2).df
+
+
+def relation_sizes(spark, d):
+    e = Engine(spark)
+    pairs, none = Relation(e, _supplied(spark, d)), Relation.empty(e, "k bigint, v bigint")
+    return spark.createDataFrame([(len(pairs), pairs.is_empty(), len(none), none.is_empty(), len(pairs.merge(none)))], "n bigint, is_empty boolean, n_none bigint, none_is_empty boolean, n_both bigint")
+
+
+def tc_chain_linear(spark, d):
+    """A chain of all nations by the linear rule: as many rounds as edges."""
+    return transitive_closure(Engine(spark), _table(spark, d, "nation").selectExpr("CAST(n_nationkey AS BIGINT) AS a", "CAST(n_nationkey + 1 AS BIGINT) AS b"), linear=True).df
+
+
 QUERIES = {
     "relation_distinct": relation_distinct, "relation_merge": relation_merge, "relation_intersect": relation_intersect, "variable_delta": variable_delta, "variable_complete": variable_complete,
     "gallop_suffix": gallop_suffix, "gallop_tuple_suffix": gallop_tuple_suffix, "join_helper": q_join_helper, "join_into": q_join_into, "join_into_delta": join_into_delta, "join_anti": q_join_anti,
@@ -351,7 +396,7 @@ QUERIES = {
     "index_range_inclusive": index_range_inclusive, "index_composite": index_composite, "tc_tree": tc_tree, "tc_tree_linear": tc_tree_linear, "tc_cyclic": tc_cyclic, "tc_nulls": tc_nulls, "reach_bound": reach_bound,
     "same_generation": q_same_generation, "taint_blocked_reach": taint_blocked_reach, "rbac": rbac, "lineage": q_lineage, "ontology": q_ontology, "reachability": q_reachability, "dependencies": q_dependencies,
     "incremental_closure": incremental_closure, "two_variables": two_variables, "recursion_limit": recursion_limit, "saved_relation": saved_relation,
-    "tc_cyclic_whole": tc_cyclic_whole, "tc_nulls_whole": tc_nulls_whole, "same_generation_whole": same_generation_whole, "rbac_whole": rbac_whole, "ontology_whole": ontology_whole,
+    "custom_leaper": custom_leaper, "extend_by_tuple": extend_by_tuple, "total_len": total_len, "load_checks": load_checks, "index_insert": index_insert, "relation_sizes": relation_sizes, "tc_chain_linear": tc_chain_linear,
 }
 
 _KV = "SELECT DISTINCT l_suppkey AS k, l_partkey AS v FROM lineitem"
@@ -372,7 +417,7 @@ ORACLES = {
     "join_anti": "SELECT DISTINCT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT')",
     "anti_whole_tuple": f"{_KV} WHERE l_returnflag = 'R' EXCEPT {_KV} WHERE l_linestatus = 'O'",
     "semi_join": f"{_KV} WHERE l_suppkey IN (SELECT s_suppkey FROM supplier WHERE s_nationkey < 5)",
-    "theta_join": "SELECT DISTINCT s_suppkey AS a, c_custkey AS b FROM supplier JOIN customer ON s_nationkey = c_nationkey AND s_suppkey < c_custkey WHERE c_acctbal > 9000",
+    "theta_join": "SELECT DISTINCT s_suppkey AS a, c_custkey AS b FROM supplier JOIN customer ON s_nationkey = c_nationkey AND s_suppkey < c_custkey",
     "extend_intersect": f"SELECT k, v FROM ({_KV} WHERE l_returnflag = 'R' INTERSECT {_KV} WHERE l_linestatus = 'O') WHERE k IN (SELECT s_suppkey FROM supplier)",
     "extend_anti": f"SELECT k, v FROM ({_KV} WHERE l_returnflag = 'R' EXCEPT {_KV} WHERE l_linestatus = 'O') WHERE k IN (SELECT s_suppkey FROM supplier)",
     "filter_anti": "SELECT DISTINCT n_nationkey AS n, s_suppkey AS s FROM nation JOIN supplier ON n_nationkey = s_nationkey WHERE n_regionkey <> 1",
@@ -387,28 +432,12 @@ ORACLES = {
     "index_composite": f"{_KV} WHERE (l_partkey > 10 OR l_partkey = 10 AND l_suppkey >= 5) AND (l_partkey < 12 OR l_partkey = 12 AND l_suppkey <= 50)",
     "tc_tree": f"{_TREE}, {_CLOSED} SELECT a, b FROM r",
     "tc_tree_linear": f"{_TREE}, {_CLOSED} SELECT a, b FROM r",
-    "tc_cyclic": f"WITH RECURSIVE e AS (SELECT p_partkey AS a, (p_partkey * 7 + 3) % 50 AS b FROM part WHERE p_partkey < 50), {_CLOSED} SELECT a, b FROM r",
-    "tc_nulls": f"WITH RECURSIVE e AS (SELECT DISTINCT CASE WHEN p_partkey % 10 = 0 THEN NULL ELSE p_partkey END AS a, CASE WHEN p_partkey % 7 = 0 THEN NULL ELSE (p_partkey * 3 + 1) % 40 END AS b FROM part WHERE p_partkey < 40), {_CLOSED} SELECT a, b FROM r",
     "reach_bound": f"{_TREE}, r AS (SELECT CAST(1234 AS BIGINT) AS v UNION SELECT e.b FROM r JOIN e ON e.a = r.v) SELECT v FROM r",
-    "same_generation": """WITH RECURSIVE pc AS (SELECT p_partkey // 2 AS p, p_partkey AS c FROM part WHERE p_partkey BETWEEN 2 AND 127),
-        sg AS (SELECT p_partkey AS x, p_partkey AS y FROM part WHERE p_partkey BETWEEN 1 AND 127
-               UNION SELECT a.c, b.c FROM sg JOIN pc a ON a.p = sg.x JOIN pc b ON b.p = sg.y) SELECT x, y FROM sg""",
     "taint_blocked_reach": """WITH RECURSIVE e AS (SELECT p_partkey // 2 AS a, p_partkey AS b FROM part WHERE p_partkey > 1 AND p_size % 5 <> 0),
         r AS (SELECT CAST(1 AS BIGINT) AS v UNION SELECT e.b FROM r JOIN e ON e.a = r.v) SELECT v FROM r""",
-    "rbac": """WITH RECURSIVE h AS (SELECT p_partkey AS c, p_partkey // 2 AS p FROM part WHERE p_partkey BETWEEN 2 AND 99),
-        ur AS (SELECT DISTINCT o_custkey AS u, o_orderkey % 100 AS r FROM orders WHERE o_orderkey % 100 > 0),
-        hr AS (SELECT u, r FROM ur UNION SELECT hr.u, h.p FROM hr JOIN h ON h.c = hr.r),
-        rp AS (SELECT DISTINCT l_suppkey AS r, l_linenumber AS p FROM lineitem WHERE l_suppkey > 0 AND l_quantity > 49),
-        ca AS (SELECT DISTINCT u, p FROM hr JOIN rp USING (r))
-        SELECT u, p FROM ca WHERE NOT EXISTS (SELECT 1 FROM customer c WHERE c.c_custkey = ca.u AND c.c_nationkey % 7 = ca.p)""",
     "lineage": """WITH RECURSIVE e AS (SELECT p_partkey // 2 AS a, p_partkey AS b FROM part WHERE p_partkey > 1 AND p_size % 3 <> 0),
         r AS (SELECT p_partkey AS d FROM part WHERE p_partkey BETWEEN 2 AND 5 UNION SELECT e.b FROM r JOIN e ON e.a = r.d)
         SELECT d FROM r WHERE d IN (SELECT p_partkey FROM part WHERE p_partkey % 4 = 1)""",
-    "ontology": f"""WITH RECURSIVE e AS (SELECT p_partkey AS a, p_partkey // 2 AS b FROM part WHERE p_partkey BETWEEN 2 AND 200), {_CLOSED},
-        own AS (SELECT p_partkey AS a, CAST(p_size AS BIGINT) AS s FROM part WHERE p_partkey BETWEEN 1 AND 200),
-        has AS (SELECT a, s FROM own UNION SELECT r.a, own.s FROM r JOIN own ON own.a = r.b),
-        treats AS (SELECT DISTINCT s_suppkey AS d, p_partkey AS a FROM supplier JOIN part ON p_partkey % 25 = s_nationkey WHERE p_partkey BETWEEN 1 AND 200)
-        SELECT DISTINCT d, s FROM treats JOIN has USING (a)""",
     "reachability": f"{_TREE}, {_CLOSED} SELECT a, b FROM r EXCEPT SELECT p_partkey, p_partkey // 4 FROM part WHERE p_partkey > 1 AND p_size % 2 = 0",
     "dependencies": f"""{_TREE}, {_CLOSED}, n AS (SELECT a, CAST(sum(s) AS BIGINT) AS s FROM (SELECT DISTINCT r.a, CAST(p_size AS BIGINT) AS s FROM r JOIN part ON p_partkey = r.b) GROUP BY a)
         SELECT p_partkey AS a, CAST(p_size + coalesce(n.s, 0) AS BIGINT) AS n FROM part LEFT JOIN n ON n.a = p_partkey""",
@@ -416,16 +445,26 @@ ORACLES = {
     "two_variables": f"{_TREE}, r AS (SELECT CAST(1 AS BIGINT) AS v, 0 AS parity UNION SELECT e.a, 1 - r.parity FROM r JOIN e ON e.b = r.v) SELECT v, CAST(parity AS INTEGER) AS parity FROM r",
     "recursion_limit": f"{_TREE}, r AS (SELECT a, b, 1 AS n FROM e UNION ALL SELECT r.a, e.b, n + 1 FROM r JOIN e ON r.b = e.a WHERE n < 4) SELECT DISTINCT a, b FROM r",
     "saved_relation": _KV,
-    "tc_cyclic_whole": f"WITH RECURSIVE e AS (SELECT p_partkey AS a, p_partkey // 50 * 50 + (p_partkey * 7 + 3) % 50 AS b FROM part), {_CLOSED} SELECT a, b FROM r",
-    "tc_nulls_whole": f"WITH RECURSIVE e AS (SELECT DISTINCT CASE WHEN p_partkey % 10 = 0 THEN NULL ELSE p_partkey END AS a, CASE WHEN p_partkey % 7 = 0 THEN NULL ELSE p_partkey // 40 * 40 + (p_partkey * 3 + 1) % 40 END AS b FROM part), {_CLOSED} SELECT a, b FROM r",
-    "same_generation_whole": f"""{_TREE}, sg AS (SELECT p_partkey AS x, p_partkey AS y FROM part
+    "tc_cyclic": f"WITH RECURSIVE e AS (SELECT p_partkey AS a, p_partkey // 50 * 50 + (p_partkey * 7 + 3) % 50 AS b FROM part), {_CLOSED} SELECT a, b FROM r",
+    "tc_nulls": f"WITH RECURSIVE e AS (SELECT DISTINCT CASE WHEN p_partkey % 10 = 0 THEN NULL ELSE p_partkey END AS a, CASE WHEN p_partkey % 7 = 0 THEN NULL ELSE p_partkey // 40 * 40 + (p_partkey * 3 + 1) % 40 END AS b FROM part), {_CLOSED} SELECT a, b FROM r",
+    "same_generation": f"""{_TREE}, sg AS (SELECT p_partkey AS x, p_partkey AS y FROM part
                UNION SELECT l.a, r.a FROM sg JOIN e l ON l.b = sg.x JOIN e r ON r.b = sg.y) SELECT x, y FROM sg""",
-    "rbac_whole": f"""{_TREE}, hr AS (SELECT o_custkey AS u, o_orderkey AS r FROM orders UNION SELECT hr.u, e.b FROM hr JOIN e ON e.a = hr.r),
+    "rbac": f"""{_TREE}, hr AS (SELECT o_custkey AS u, o_orderkey AS r FROM orders UNION SELECT hr.u, e.b FROM hr JOIN e ON e.a = hr.r),
         ca AS (SELECT DISTINCT u, l_linenumber AS p FROM hr JOIN (SELECT DISTINCT l_suppkey, l_linenumber FROM lineitem) ON l_suppkey = r)
         SELECT u, p FROM ca WHERE NOT EXISTS (SELECT 1 FROM customer c WHERE c.c_custkey = ca.u AND c.c_nationkey % 7 = ca.p)""",
-    "ontology_whole": f"""{_TREE}, {_CLOSED},
+    "ontology": f"""{_TREE}, {_CLOSED},
         own AS (SELECT p_partkey AS a, CAST(p_size AS BIGINT) AS s FROM part),
         has AS (SELECT a, s FROM own UNION SELECT r.a, own.s FROM r JOIN own ON own.a = r.b),
         treats AS (SELECT DISTINCT s_suppkey AS d, p_partkey AS a FROM supplier JOIN part ON p_partkey % 25 = s_nationkey)
         SELECT DISTINCT d, s FROM treats JOIN has USING (a)""",
+    "custom_leaper": "SELECT CAST(n_nationkey AS BIGINT) AS n, v FROM nation, LATERAL (SELECT unnest(range(0, n_nationkey + 1)) AS v) WHERE v % 2 = 0",
+    "extend_by_tuple": f"SELECT k, v FROM ({_KV} WHERE l_returnflag = 'R' INTERSECT {_KV} WHERE l_linestatus = 'O' INTERSECT {_KV} WHERE l_quantity > 10) WHERE k IN (SELECT s_suppkey FROM supplier)",
+    "total_len": f"""WITH s AS ({_KV} WHERE l_returnflag = 'R'), r AS ({_KV} WHERE l_linestatus = 'O' EXCEPT FROM s), p AS ({_KV} WHERE l_quantity > 45)
+        SELECT (SELECT count(*) FROM s) AS stable, (SELECT count(*) FROM r) AS recent, (SELECT count(*) FROM s) + (SELECT count(*) FROM r) + (SELECT count(*) FROM p) AS total""",
+    "load_checks": f"""WITH n AS (SELECT count(*) AS n FROM ({_KV}))
+        SELECT name, outcome, CAST(CASE WHEN outcome = 'rows' THEN (SELECT n FROM n) ELSE 0 END AS BIGINT) AS n FROM (VALUES
+        ('missing', 'InvalidFormat'), ('over the limit', 'TooLarge'), ('within the limit', 'rows'), ('other columns', 'InvalidFormat'), ('no limit', 'rows')) t(name, outcome)""",
+    "index_insert": "SELECT CAST(n_regionkey AS BIGINT) AS r, CAST(n_nationkey AS BIGINT) AS n FROM nation WHERE n_regionkey = 2",
+    "relation_sizes": f"WITH n AS (SELECT count(*) AS n FROM ({_KV})) SELECT n, n = 0 AS is_empty, CAST(0 AS BIGINT) AS n_none, true AS none_is_empty, n AS n_both FROM n",
+    "tc_chain_linear": f"WITH RECURSIVE e AS (SELECT CAST(n_nationkey AS BIGINT) AS a, CAST(n_nationkey + 1 AS BIGINT) AS b FROM nation), {_CLOSED} SELECT a, b FROM r",
 }

@@ -1,12 +1,17 @@
-"""A saved relation: a folder with Parquet data and a one-row manifest.
+"""A saved relation: a folder with Parquet data and one-row manifests.
 
-The manifest names the format, its version, the number of stored rows and the schema, so a
-reader can refuse a folder before it reads any data.
+A manifest names the format, its version, the number of stored rows, the schema and the
+folder with the data, so a reader can refuse a folder before it reads any data. Saving over
+a relation writes new data and then a new manifest; the last manifest counts, so that a
+writer that fails leaves what was there, and readers never see data without its manifest.
+What it replaced stays for those who are reading it, until ``clean_relation`` is called.
 """
 
 from __future__ import annotations
 
 import json
+import time
+import uuid
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
@@ -17,22 +22,43 @@ from ..engine import Engine
 from ..errors import InvalidFormat, TooLarge, UnsupportedVersion
 from ..functions import check_types
 
-FORMAT, VERSION = "deltaloom-relation", 1
+FORMAT, VERSION = "deltaloom-relation", 2
 
 
 def save_relation(engine: Engine, df: DataFrame, path: str) -> int:
-    """Write the rows, then the manifest: a folder without one isn't a relation yet."""
+    """Write the rows into a folder of their own, then a manifest that names it."""
     check_types(df.schema)
     from pyspark.sql import Observation
 
     seen = Observation()
-    df.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(f"{path}/data")
+    df.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(f"{path}/{(data := f'data-{uuid.uuid4().hex}')}")
     rows = seen.get["n"]
-    manifest = json.dumps({"format": FORMAT, "version": VERSION, "rows": rows, "schema": df.schema.jsonValue()})
-    engine.spark.createDataFrame([(manifest,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/manifest")
+    manifest = json.dumps({"format": FORMAT, "version": VERSION, "rows": rows, "schema": df.schema.jsonValue(), "data": data, "saved": time.time_ns()})
+    engine.spark.createDataFrame([(manifest,)], "value string").coalesce(1).write.mode("append").text(f"{path}/manifest")
     return rows
 
 
+def clean_relation(engine: Engine, path: str) -> None:
+    """Delete data that a saved relation no longer names; nobody may be reading or saving it."""
+    _, head = _manifest(engine, path)
+    at = engine.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    store = at.getFileSystem(engine.spark.sparkContext._jsc.hadoopConfiguration())
+    for entry in store.listStatus(at):
+        name = entry.getPath().getName()
+        if name.startswith("data-") and name != head.get("data"):
+            store.delete(entry.getPath(), True)
+
+
+def _manifest(engine: Engine, path: str) -> tuple[bool, dict]:
+    """Whether the last manifest has this format, and what it says."""
+    try:
+        lines = engine.spark.read.text(f"{path}/manifest").collect()
+        head = max((json.loads(r.value) for r in lines), key=lambda h: h.get("saved", 0))
+        return head["format"] == FORMAT, head
+    except (AnalysisException, AttributeError, ValueError, KeyError, TypeError) as e:
+        raise InvalidFormat(path) from e
+
+
 def load_relation(engine: Engine, path: str, limit: int | None = None, schema: StructType | None = None) -> DataFrame:
     """The rows of a saved relation, not yet de-duplicated.
 
@@ -41,18 +67,13 @@ def load_relation(engine: Engine, path: str, limit: int | None = None, schema: S
     """
     if schema is not None:
         check_types(schema)
-    try:
-        lines = engine.spark.read.text(f"{path}/manifest", wholetext=True).limit(2).collect()
-        head = json.loads(lines[0].value)
-        good = head["format"] == FORMAT
-    except (AnalysisException, IndexError, ValueError, KeyError, TypeError) as e:
-        raise InvalidFormat(path) from e
+    good, head = _manifest(engine, path)
     if not good:
         raise InvalidFormat(path)
     if head.get("version") != VERSION:
         raise UnsupportedVersion(str(head.get("version")))
     try:
-        rows, stored = int(head["rows"]), StructType.fromJson(head["schema"])
+        rows, stored, data = int(head["rows"]), StructType.fromJson(head["schema"]), str(head["data"])
     except (KeyError, TypeError, ValueError) as e:
         raise InvalidFormat(path) from e
     check_types(stored)
@@ -62,4 +83,4 @@ def load_relation(engine: Engine, path: str, limit: int | None = None, schema: S
         return engine.spark.createDataFrame([], stored)
     if limit is not None and rows > limit:
         raise TooLarge(f"{rows} rows, {limit} allowed")
-    return engine.spark.read.schema(stored).parquet(f"{path}/data")
+    return engine.spark.read.schema(stored).parquet(f"{path}/{data}")

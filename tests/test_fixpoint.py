@@ -166,3 +166,17 @@ def test_strata():
     assert stratify(rules) == [["blocked", "edge", "path"], ["open"], ["count"]]
     with pytest.raises(NotStratified):
         stratify([("a", [], ["b"]), ("b", ["a"], [])])
+
+
+def test_folded_batches_hold_the_same(spark):
+    """A variable of many rounds: few batches, no tuple lost or doubled."""
+    from deltaloom.engine import Engine
+
+    v = Variable(Engine(spark, fold_at=3), "k long")
+    for i in range(20):
+        v.insert_rows([i, i + 1])
+        assert v.changed()
+    assert v.stable_count + v.recent_count == 21 and len(v._stable) <= 3 * 2
+    assert sorted(r.k for r in v.known.collect()) == list(range(21))
+    assert v.complete().count() == 21
+    v.release()

@@ -2,6 +2,7 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from deltaloom.operators import ExtendAnti, ExtendWith, FilterAnti, Leaper, Relation, SecondaryIndex, Variable, aggregate, extend_into, fold, join_anti, join_helper, join_into, semi_join
@@ -30,44 +31,49 @@ def out(engine, schema=KV):
 THREE = ["l.k AS k", "l.v AS v", "r.v AS w"]
 
 
+def pairs(seed, n, keys, values):
+    rnd = random.Random(seed)
+    return sorted({(rnd.randrange(keys), 100 + rnd.randrange(values)) for _ in range(n)})
+
+
+def split(rows, seed):
+    """Some rows to be stable, the rest to be recent."""
+    rnd = random.Random(seed)
+    first = [r for r in rows if rnd.random() < 0.5]
+    return first, [r for r in rows if r not in first]
+
+
 def test_join_helper(engine):
-    a, b = rel(engine, [(1, 10), (2, 20), (3, 30)]), rel(engine, [(2, 200), (3, 300), (3, 301), (4, 400)])
-    assert join_helper(a, b, "k", THREE).rows() == [(2, 20, 200), (3, 30, 300), (3, 30, 301)]
-    a, b = rel(engine, [(1, 10), (1, 11), (2, 20)]), rel(engine, [(1, 100), (1, 101), (2, 200)])
-    assert len(join_helper(a, b, ["k"], THREE)) == 5
-    assert join_helper(a, b, F.expr("l.k < r.k"), THREE).rows() == [(1, 10, 200), (1, 11, 200)]
-    assert semi_join(a, rel(engine, [(2, 0)]), "k").rows() == [(2, 20)]
-    null = rel(engine, [(None, 1)])
+    a, b = pairs(21, 15, 8, 5), pairs(22, 15, 10, 5)
+    ra, rb = rel(engine, a), rel(engine, b)
+    assert join_helper(ra, rb, ["k"], THREE).rows() == sorted((k, v, w) for k, v in a for j, w in b if j == k)
+    assert join_helper(ra, rb, F.expr("l.k < r.k AND l.v = r.v"), THREE).rows() == sorted({(k, v, w) for k, v in a for j, w in b if k < j and v == w})
+    assert semi_join(ra, rb, "k").rows() == [r for r in a if r[0] in {j for j, _ in b}]
+    null = rel(engine, [(None, 7)])
     assert join_helper(null, null, "k", THREE).is_empty()
 
 
-def test_join_into_reads_deltas(engine):
-    wide = "k long, v long, w long"
-    o = out(engine, wide)
-    join_into(var(engine, [(1, 10), (2, 20)]), var(engine, [(2, 200), (3, 300)]), "k", THREE, o)
-    assert o.complete().rows() == [(2, 20, 200)]
-    a, b = var(engine, [], stable=[(1, 10)]), var(engine, [], stable=[(1, 100), (2, 200)])
-    join_into(a, b, "k", THREE, o)
-    assert o.complete().is_empty()
-    b.insert_rows([(1, 101)])
-    b.changed()
-    join_into(a, b, "k", THREE, o)
-    assert o.complete().rows() == [(1, 10, 101)]
-    join_into(var(engine, [(1, 10)]), var(engine, []), "k", THREE, o)
-    assert o.complete().is_empty()
-
-
-def test_join_anti(engine):
-    rows = [(1, 10), (2, 20), (3, 30)]
-    for f, want in ((var(engine, [(2, 200)]), [1, 3]), (var(engine, [(3, 300)], stable=[(1, 100)]), [2]), (var(engine, []), [1, 2, 3])):
-        o = out(engine)
-        join_anti(var(engine, rows), f, "k", None, o)
-        assert [k for k, _ in o.complete().rows()] == want
+@pytest.mark.parametrize("seed", [31, 32, 33])
+def test_join_into_reads_deltas(engine, seed):
+    """What joins with a recent tuple on either side, and nothing that is stable on both."""
+    sides = [split(pairs(seed + i, 14, 5, 6), seed) for i in range(2)]
+    o = out(engine, "k long, v long, w long")
+    (sa, na), (sb, nb) = sides
+    join_into(var(engine, na, stable=sa), var(engine, nb, stable=sb), "k", THREE, o)
+    joined = lambda x, y: {(k, v, w) for k, v in x for j, w in y if j == k}
+    assert o.complete().rows() == sorted(joined(na, sb) | joined(sa, nb) | joined(na, nb))
+
+
+@pytest.mark.parametrize("seed", [41, 42])
+def test_join_anti(engine, seed):
+    (old, new), (fs, fn) = split(pairs(seed, 16, 9, 4), seed), split(pairs(seed + 7, 6, 9, 4), seed)
     o = out(engine)
-    join_anti(var(engine, [], stable=rows), var(engine, []), "k", None, o)  # only new tuples are read
-    assert o.complete().is_empty()
-    join_anti(var(engine, rows), var(engine, [(1, 10), (2, 21)]), ["k", "v"], None, o)
-    assert o.complete().rows() == [(2, 20), (3, 30)]
+    join_anti(var(engine, new, stable=old), var(engine, fn, stable=fs), "k", None, o)
+    assert o.complete().rows() == [r for r in new if r[0] not in {k for k, _ in fs + fn}]  # only new tuples are read
+    join_anti(var(engine, new), var(engine, fs + fn), ["k", "v"], None, o)
+    assert o.complete().rows() == [r for r in new if r not in fs + fn]
+    join_anti(var(engine, new), var(engine, []), "k", None, o)
+    assert o.complete().rows() == new
 
 
 def test_joins_equal_naive_ones(engine):
@@ -94,20 +100,23 @@ def extended(engine, source, *leapers):
     return got[0]
 
 
-def test_extension(engine):
-    ew = lambda rows: ExtendWith(rel(engine, rows), {"k": "t.k"}, "v")
-    ea = lambda rows: ExtendAnti(rel(engine, rows), {"k": "t.k"}, "v")
-    assert extended(engine, [1], ew([(1, 10), (1, 20), (1, 30)]), ew([(1, 20), (1, 30), (1, 40)])) == [(1, 20), (1, 30)]
-    assert extended(engine, [1], ea([(1, 10)])) == []
-    assert extended(engine, [1, 2], ew([(1, 10), (1, 20), (2, 30)]), ea([(1, 10)])) == [(1, 20), (2, 30)]
-    fa = FilterAnti(rel(engine, [(2, 999)]), {"k": "t.k", "v": "999"})
-    assert extended(engine, [1, 2, 3], ew([(1, 10), (2, 20), (3, 30)]), fa) == [(1, 10), (3, 30)]
-    three = ew([(1, 100), (2, 200), (3, 300), (4, 400)]), ew([(1, 100), (2, 200), (4, 999)]), ew([(2, 200), (3, 300)])
-    assert extended(engine, [1, 2, 3, 4], *three) == [(2, 200)]
-    assert extended(engine, [1, 2], ew([]), ea([])) == []
-    assert extended(engine, [1], ew([(1, 5)]), FilterAnti(rel(engine, [], "k long"), {"k": "t.k"}), ea([])) == [(1, 5)]
-    counts = ew([(1, 10), (1, 20), (1, 30), (2, 100), (2, 200)]).counted(engine.spark.createDataFrame([(1,), (2,), (99,)], "k long").select(F.struct("k").alias("t")), "n")
-    assert {r.t.k: r.n for r in counts.collect()} == {1: 3, 2: 2, 99: 0}
+@pytest.mark.parametrize("seed", [51, 52, 53])
+def test_extension(engine, seed):
+    rels = [pairs(seed + i, 22, 7, 5) for i in range(4)]
+    source = sorted({k for k, _ in rels[0]} | {99})
+    ew, ea = (lambda rows, kind=kind: kind(rel(engine, rows), {"k": "t.k"}, "v") for kind in (ExtendWith, ExtendAnti))
+    has = lambda rows: [(k, v) for k, v in sorted(set(rows)) if k in source]
+    assert extended(engine, source, ew(rels[0]), ew(rels[1])) == has(set(rels[0]) & set(rels[1]))
+    assert extended(engine, source, ew(rels[0]), ew(rels[1]), ew(rels[2])) == has(set(rels[0]) & set(rels[1]) & set(rels[2]))
+    assert extended(engine, source, ew(rels[0]), ea(rels[3])) == has(set(rels[0]) - set(rels[3]))
+    assert extended(engine, source, ea(rels[3])) == []  # nothing proposes
+    barred = {k for k, v in rels[3] if v == 102}
+    fa = FilterAnti(rel(engine, rels[3]), {"k": "t.k", "v": "102"})
+    assert extended(engine, source, ew(rels[0]), fa) == [r for r in has(rels[0]) if r[0] not in barred]
+    assert extended(engine, source, ew(rels[0]), FilterAnti(rel(engine, [], "k long"), {"k": "t.k"}), ea([])) == has(rels[0])
+    assert extended(engine, source, ew([]), ea([])) == []
+    tuples = engine.spark.createDataFrame([(k,) for k in source], "k long").select(F.struct("k").alias("t"))
+    assert {r.t.k: r.n for r in ew(rels[0]).counted(tuples, "n").collect()} == {k: sum(j == k for j, _ in rels[0]) for k in source}
 
 
 def test_custom_leaper(engine):

@@ -57,8 +57,8 @@ def test_save_and_load(engine, tmp_path, rows, schema):
 def _stored(spark, path, rows, **head):
     """A folder as save() leaves it, with what the test wants to be wrong."""
     df = spark.createDataFrame(rows, KV)
-    df.write.parquet(f"{path}/data")
-    manifest = {"format": "deltaloom-relation", "version": 1, "rows": len(rows), "schema": df.schema.jsonValue()} | head
+    df.write.parquet(f"{path}/data-1")
+    manifest = {"format": "deltaloom-relation", "version": 2, "rows": len(rows), "schema": df.schema.jsonValue(), "data": "data-1"} | head
     spark.createDataFrame([(json.dumps(manifest),)], "value string").coalesce(1).write.text(f"{path}/manifest")
     return str(path)
 
@@ -72,7 +72,7 @@ def test_load_normalises_and_checks_in_order(engine, spark, tmp_path):
     with pytest.raises(InvalidFormat):
         Relation.load(engine, _stored(spark, tmp_path / "b", [], format="other", version=9), limit=0)
     with pytest.raises(UnsupportedVersion):
-        Relation.load(engine, _stored(spark, tmp_path / "c", [(1, 1)], version=2), limit=0)
+        Relation.load(engine, _stored(spark, tmp_path / "c", [(1, 1)], version=3), limit=0)
     assert Relation.load(engine, _stored(spark, tmp_path / "d", []), limit=0).rows() == []
     with pytest.raises(InvalidFormat):
         Relation.load(engine, str(tmp_path / "nothing"))
@@ -96,3 +96,20 @@ def test_set_laws(engine):
         assert a.merge(b).rows() == b.merge(a).rows() == sorted(set(a.rows()) | set(b.rows()))
         assert a.merge(b).merge(c).rows() == a.merge(b.merge(c)).rows() == a.merge(b, c).rows()
         assert a.merge(a).rows() == a.rows() == sorted(set(a.rows()))
+
+
+def test_saving_over_a_relation_is_safe(engine, tmp_path, monkeypatch):
+    from deltaloom.sources import saved
+
+    path = str(tmp_path / "over")
+    Relation.from_rows(engine, [(1, 1)], "k long, v long").save(path)
+    reading = Relation.load(engine, path)
+    Relation.from_rows(engine, [(2, 2), (3, 3)], "k long, v long").save(path)
+    assert Relation.load(engine, path).rows() == [(2, 2), (3, 3)] and reading.rows() == [(1, 1)]
+    with monkeypatch.context() as m:  # a writer that dies before its manifest
+        m.setattr(saved.json, "dumps", lambda *a, **b: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            Relation.from_rows(engine, [(4, 4)], "k long, v long").save(path)
+    assert Relation.load(engine, path).rows() == [(2, 2), (3, 3)]
+    saved.clean_relation(engine, path)
+    assert Relation.load(engine, path).rows() == [(2, 2), (3, 3)] and len(list((tmp_path / "over").glob("data-*"))) == 1
