@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes every stage's
 result into the shared folder and reads it back as the next one's documents.
+
+All stages but the last return the columns of documents and ignore others, whatever their
+names; an empty table gives an empty one. Ids may be null or repeat: stages decide by row
+(id and text together), and rows that repeat both share one decision.
 """
 
 from __future__ import annotations
@@ -31,14 +35,22 @@ def _without(keyed: DataFrame, rows: DataFrame, name: str) -> DataFrame:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents whose language can't be told: no text, or no letter in it."""
+    """Drops documents whose language can't be told: null or empty texts, or no letter in it.
+
+    Where no row has both a text and a language nothing is learned, and all go. Rows that
+    repeat stay as often as they are; of languages at one distance the first by name counts.
+    """
     profiles = language_rank.train_profiles(docs.where(~language_rank.held_out(F.col("doc_id"))))
     found = language_rank.identify(docs, profiles, carry=COLUMNS)
     return found.where(F.col("lang_pred") != language_rank.UNDETERMINED).select(*COLUMNS)
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that the toxicity model marks."""
+    """Drops documents that the toxicity model marks.
+
+    Null and empty texts are scored as texts without words; without usable labels nothing is
+    marked. Rows that repeat stay as often as they are.
+    """
     labels = table(spark, sf_dir, "labels").where(~language_rank.held_out(F.col("doc_id")))
     model = toxicity.train(docs, labels)
     return toxicity.score(docs, model, carry=COLUMNS).where("predicted = 0").select(*COLUMNS)
@@ -48,7 +60,8 @@ def unique(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps, of each group of linked documents, the one with the smallest id.
 
     Rows of one id with different texts are documents of their own; of rows that repeat an
-    id and a text one stays. Documents without an id link with nothing and stay.
+    id and a text one stays. Documents without an id link with nothing and stay, as do
+    those without words (but rows that repeat an id and a null or empty text stay once).
     """
     keyed = _keyed(docs)
     ids = materialise(keyed.where("doc_id is not null").select("row", "doc_id"), "ids")
@@ -65,14 +78,18 @@ def unique(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold a benchmark item."""
+    """Drops documents that hold a benchmark item.
+
+    Null and empty texts and items hold nothing. Rows that share an id with a document that
+    goes stay if their text is another.
+    """
     keyed = _keyed(docs)
     found = decontaminate.contaminated(keyed, table(spark, sf_dir, "benchmark"), id_col="row")
     return _without(keyed, found.select(F.col("doc_id").alias("row")), "contaminated").select(*COLUMNS)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of the documents that are left."""
+    """Token counts and digests of the documents that are left; null texts count as empty, null ids stay null."""
     return sentencepiece_codec.encode_documents(docs, public_tokenizers.path("piece_bpe_32k.model"))
 
 
