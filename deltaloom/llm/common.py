@@ -258,7 +258,10 @@ class RunPool:
 
     def _forget(self) -> None:
         self.key, self.places = new_key(), Places()
-        self.columns = {"ids": np.zeros(1 << 16, np.uint32), "text": np.zeros(1 << 16, np.uint8)} | {n: np.zeros(1 << 14, np.int32) for n in ("at", "size", "text_at", "text_size")}
+        # as large as the limit lets them get and a quarter more: pages that nothing is written to
+        # take no memory, and arrays that don't grow are never held twice
+        most = self.limit + self.limit // 4
+        self.columns = {"ids": np.zeros(most // 4 + 1, np.uint32), "text": np.zeros(most + 1, np.uint8)} | {n: np.zeros(most // 32 + 1, np.int32) for n in ("at", "size", "text_at", "text_size")}
         self.n = self.n_ids = self.n_text = 0
 
     def _append(self, name: str, used: int, values: np.ndarray) -> None:
