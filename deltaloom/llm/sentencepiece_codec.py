@@ -58,7 +58,7 @@ class PieceCodec:
     are refused with ValueError when loaded.
     """
 
-    def __init__(self, model_file: str, memo: int = 52 << 20, check: bool = True):
+    def __init__(self, model_file: str, memo: int = 40 << 20, check: bool = True):
         import sentencepiece
 
         self.library = sentencepiece.SentencePieceProcessor(model_file=model_file)
