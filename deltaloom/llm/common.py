@@ -213,35 +213,47 @@ def span_bytes(raw: np.ndarray, begins: np.ndarray, sizes: np.ndarray) -> np.nda
     return raw[np.arange(int(ahead[-1]) if len(ahead) else 0, dtype=kind) + np.repeat(begins.astype(kind) - ahead + sizes.astype(kind), sizes)]
 
 
-class Places:
-    """Sorted hashes and the place of each; new ones gather in a small second table."""
+#: What to keep of an 8-byte word that holds so many bytes of a run.
+_KEEP = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+
+def _words_at(text: np.ndarray) -> np.ndarray:
+    """The 8-byte words that begin at each byte of ``text``, as a view; the last 7 bytes begin none."""
+    return np.ndarray((len(text) - 7,), "<u8", text, strides=(1,))
+
 
-    def __init__(self):
-        self.levels = [(np.zeros(0, np.uint64), np.zeros(0, np.int32))] * 2
+class Places:
+    """Numbers of distinct hashes: a table with open addressing that a whole batch probes at once."""
 
-    def __len__(self) -> int:
-        return sum(len(k) for k, _ in self.levels)
+    def __init__(self, most: int):
+        self.keys, self.slots, self.n = np.zeros(most, np.uint64), np.full(1 << 16, -1, np.int32), 0
 
     def find(self, hashes: np.ndarray) -> np.ndarray:
-        """The places of sorted hashes; -1 for those that aren't known."""
-        out = np.full(len(hashes), -1, np.int32)
-        for keys, places in self.levels:
-            if len(keys):
-                at = np.minimum(np.searchsorted(keys, hashes), len(keys) - 1)
-                hit = keys[at] == hashes
-                out[hit] = places[at[hit]]
+        """The numbers of hashes; -1 for those that aren't known."""
+        mask, step = _U(len(self.slots) - 1), 0
+        out = self.slots[hashes & mask]
+        rest = np.flatnonzero((self.keys[out] != hashes) & (out >= 0))
+        while len(rest):
+            step += 1
+            out[rest] = got = self.slots[(hashes[rest] + _U(step)) & mask]
+            rest = rest[(self.keys[got] != hashes[rest]) & (got >= 0)]
         return out
 
-    def add(self, hashes: np.ndarray, places: np.ndarray) -> None:
-        self.levels[1] = self._merged(self.levels[1], (hashes, places))
-        if len(self.levels[1][0]) > max(50_000, len(self.levels[0][0]) // 4):
-            self.levels = [self._merged(*self.levels), (hashes[:0], places[:0])]
-
-    @staticmethod
-    def _merged(a, b):
-        keys = np.concatenate([a[0], b[0]])
-        order = np.argsort(keys, kind="stable")
-        return keys[order], np.concatenate([a[1], b[1]])[order]
+    def add(self, hashes: np.ndarray, numbers: np.ndarray) -> None:
+        """Enter hashes that aren't known; their numbers follow those there are, in any order."""
+        self.n += len(hashes)
+        if self.n > len(self.keys):
+            self.keys = np.append(self.keys, np.zeros(self.n, np.uint64))
+        self.keys[numbers] = hashes
+        if 2 * self.n > len(self.slots):
+            self.slots = np.full(1 << (4 * self.n).bit_length(), -1, np.int32)
+            numbers = np.arange(self.n, dtype=np.int32)
+        mask, step = _U(len(self.slots) - 1), 0
+        while len(numbers):
+            slot = (self.keys[numbers] + _U(step)) & mask
+            free = self.slots[slot] < 0
+            self.slots[slot[free]] = numbers[free]
+            numbers, step = numbers[self.slots[slot] != numbers], step + 1
 
 
 class RunPool:
@@ -257,17 +269,19 @@ class RunPool:
         self._forget()
 
     def _forget(self) -> None:
-        self.key, self.places = new_key(), Places()
+        self.key = new_key()
+        self.size_keys = np.frombuffer(hashlib.shake_128(self.key).digest(8 * (_SPAN + 1)), np.uint64)
         # as large as the limit lets them get and a quarter more: pages that nothing is written to
         # take no memory, and arrays that don't grow are never held twice
         most = self.limit + self.limit // 4
-        self.columns = {"ids": np.zeros(most // 4 + 1, np.uint32), "text": np.zeros(most + 1, np.uint8)} | {n: np.zeros(most // 32 + 1, np.int32) for n in ("at", "size", "text_at", "text_size")}
+        self.columns = {"ids": np.zeros(most // 4 + 8, np.uint32), "text": np.zeros(most + 8, np.uint8)} | {n: np.zeros(most // 32 + 8, np.int32) for n in ("at", "size", "text_at", "text_size")}
+        self.places = Places(most // 32 + 8)
         self.n = self.n_ids = self.n_text = 0
 
     def _append(self, name: str, used: int, values: np.ndarray) -> None:
         have = self.columns[name]
-        if used + len(values) > len(have):
-            grown = np.zeros(max(used + len(values), len(have) + (len(have) >> 1)), have.dtype)
+        if used + len(values) + 8 > len(have):  # the last run's words reach beyond it
+            grown = np.zeros(max(used + len(values) + 8, len(have) + (len(have) >> 1)), have.dtype)
             grown[:used] = have[:used]
             have = self.columns[name] = grown
         have[used : used + len(values)] = values
@@ -282,47 +296,63 @@ class RunPool:
             self._append(name, used, values)
         self.n, self.n_ids, self.n_text = self.n + n, self.n_ids + len(ids), self.n_text + len(text)
 
-    def _find(self, raw, begins, ends, fold, learn) -> np.ndarray:
+    def _hashes(self, raw: np.ndarray, begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Keyed hashes of runs, a word of 8 bytes at a time; long ones have a BLAKE2b hash."""
+        words = _words_at(raw)
+        out = mix64((words[begins] & _KEEP[np.minimum(sizes, 8)]) ^ self.size_keys[np.minimum(sizes, _SPAN)])
+        some = np.flatnonzero((sizes > 8) & (sizes <= _SPAN))
+        for i in range(8, _SPAN, 8):
+            out[some] = mix64(out[some] ^ (words[begins[some] + i] & _KEEP[np.minimum(sizes[some] - i, 8)]))
+            some = some[sizes[some] > i + 8]
+        for k in np.flatnonzero(sizes > _SPAN):
+            out[k] = int.from_bytes(hashlib.blake2b(raw[begins[k] : begins[k] + sizes[k]].tobytes(), digest_size=8, key=self.key).digest(), "little")
+        return out
+
+    def _confirmed(self, raw: np.ndarray, begins: np.ndarray, sizes: np.ndarray, place: np.ndarray) -> bool:
+        """Whether each run's bytes are those kept at its place."""
+        if not np.array_equal(self.columns["text_size"][place], sizes):
+            return False
+        text, at = self.columns["text"], self.columns["text_at"][place]
+        words, kept = _words_at(raw), _words_at(text)
+        if ((words[begins] ^ kept[at]) & _KEEP[np.minimum(sizes, 8)]).any():
+            return False
+        some = np.flatnonzero((sizes > 8) & (sizes <= _SPAN))
+        for i in range(8, _SPAN, 8):
+            if ((words[begins[some] + i] ^ kept[at[some] + i]) & _KEEP[np.minimum(sizes[some] - i, 8)]).any():
+                return False
+            some = some[sizes[some] > i + 8]
+        return all(np.array_equal(raw[begins[k] : begins[k] + sizes[k]], text[at[k] : at[k] + sizes[k]]) for k in np.flatnonzero(sizes > _SPAN))
+
+    def _find(self, raw, begins, ends, learn) -> np.ndarray:
         """Each run's number in the pool, once those not yet known are learned."""
-        if 32 * self.n + 4 * self.n_ids + self.n_text > self.limit:
+        if 40 * self.n + 4 * self.n_ids + self.n_text > self.limit:
             self._forget()
+        raw, sizes = np.append(raw, np.zeros(8, np.uint8)), ends - begins
         while True:
-            hashes, first, back = np.unique(hash_spans(raw, begins, ends, fold, self.key), return_index=True, return_inverse=True)
+            hashes = self._hashes(raw, begins, sizes)
             place = self.places.find(hashes)
             new = np.flatnonzero(place < 0)
             if len(new):
-                at = first[new]
-                long = ends[at] - begins[at]
-                text = span_bytes(raw, begins[at], long)
-                starts = np.cumsum(long) - long
-                for own, ids, sizes in learn(text, long):
-                    place[new[own]] = np.arange(self.n, self.n + len(own), dtype=np.int32)
-                    self._add(span_bytes(text, starts[own], long[own]), long[own], ids, sizes)
-                self.places.add(hashes[new], place[new])
-            place = place[back]
-            sizes = ends - begins
-            if np.array_equal(self.columns["text_size"][place], sizes):
-                mark = np.zeros(len(raw) + 1, np.int8)
-                mark[begins] = 1
-                mark[ends] -= 1
-                own, at = raw[np.cumsum(mark[:-1], dtype=np.int8).view(bool)], 0
-                for i in range(0, len(place), 1 << 15):
-                    some = slice(i, i + (1 << 15))
-                    kept = span_bytes(self.columns["text"], self.columns["text_at"][place[some]], sizes[some])
-                    if not np.array_equal(own[at : at + len(kept)], kept):
-                        break
-                    at += len(kept)
-                else:
-                    return place
+                hashes, first, back = np.unique(hashes[new], return_index=True, return_inverse=True)
+                at, fresh = new[first], np.empty(len(hashes), np.int32)
+                text = span_bytes(raw, begins[at], sizes[at])
+                starts = np.cumsum(sizes[at]) - sizes[at]
+                for own, ids, counts in learn(text, sizes[at]):
+                    fresh[own] = np.arange(self.n, self.n + len(own), dtype=np.int32)
+                    self._add(span_bytes(text, starts[own], sizes[at[own]]), sizes[at[own]], ids, counts)
+                self.places.add(hashes, fresh)
+                place[new] = fresh[back]
+            if self._confirmed(raw, begins, sizes, place):
+                return place
             self._forget()
 
-    def fill(self, raw, begins, ends, counts, fold, learn, tail: list[int]) -> list[np.ndarray]:
+    def fill(self, raw, begins, ends, counts, learn, tail: list[int]) -> list[np.ndarray]:
         """Each text's ids, run after run, then ``tail``.
 
         ``learn`` gets the bytes of runs not yet known, one after the other, and their sizes,
         and yields (their numbers, ascending; their ids one after the other; how many each has).
         """
-        place = self._find(raw, begins, ends, fold, learn)
+        place = self._find(raw, begins, ends, learn)
         start, size = self.columns["at"][place], self.columns["size"][place]
         ahead = np.cumsum(size, dtype=np.int32)  # a batch has fewer ids than bytes
         total, more = int(ahead[-1]) if len(ahead) else 0, len(tail)

@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 from .common import RunPool, cut, pieces, small_batches, uncollected, word_spans
 
 SPACE = "▁"
-_NOTHING, _AS_IS = np.zeros(256, bool), np.arange(256, dtype=np.uint8)
+_NOTHING = np.zeros(256, bool)
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
 
@@ -182,7 +182,7 @@ class PieceCodec:
             owner = np.searchsorted(begins, at, "right") - 1  # the text of each cut, among those not empty
             counts[np.flatnonzero(counts)] += np.bincount(owner, minlength=len(begins))
             begins, ends = np.sort(np.append(begins, at)), np.sort(np.append(ends, at))
-        got = [ids.tolist() for ids in self.pool.fill(raw, begins, ends, counts, _AS_IS, self._learn, [])]
+        got = [ids.tolist() for ids in self.pool.fill(raw, begins, ends, counts, self._learn, [])]
         if not self.fallback:  # the library shows a run of unknown symbols as one
             got = [[x for k, x in enumerate(ids) if x != self.unknown or not k or ids[k - 1] != x] for ids in got]
         if self.check and texts:

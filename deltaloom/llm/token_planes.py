@@ -142,7 +142,6 @@ class Reader:
 #: White space at which every text may be cut: space, tab, newline, carriage return.
 _CUTS = np.zeros(256, bool)
 _CUTS[[9, 10, 13, 32]] = True
-_AS_IS = np.arange(256, dtype=np.uint8)
 #: Bytes of plain letters (0: ASCII, or Latin-1 in UTF-8), of ASCII marks (1), others (2).
 _KINDS = np.full(256, 2, np.uint8)
 _KINDS[[*range(65, 91), *range(97, 123), *range(0x80, 0xC0), 0xC3]] = 0
@@ -231,7 +230,7 @@ class ChunkTokenizer:
             return [np.array(e.ids + tail, np.uint32) for e in self.library.encode_batch([t or "" for t in column.to_pylist()], add_special_tokens=False)]
         raw, *spans = word_spans(column, _CUTS)
         begins, ends, counts = self._apart(raw, *spans)
-        got = self.runs.fill(raw, begins, ends, counts, _AS_IS, self._learn, tail)
+        got = self.runs.fill(raw, begins, ends, counts, self._learn, tail)
         k = len(counts) // 2
         if len(counts) and got[k].tolist() != self.library.encode(column[k].as_py() or "", add_special_tokens=False).ids + tail:
             raise AssertionError("this tokenizer doesn't treat runs between white space alone; use whole=True")

@@ -244,14 +244,14 @@ def test_pool_survives_equal_hashes(monkeypatch):
     """Hashes of few bits under the first keys: the pool finds out and goes on under others."""
     from deltaloom.llm import common
 
-    whole, keys = common.hash_spans, []
+    whole, keys = common.RunPool._hashes, []
 
-    def narrow(raw, begins, ends, fold, key):
-        if key not in keys:
-            keys.append(key)
-        return whole(raw, begins, ends, fold, key) & np.uint64(7 if keys.index(key) < 3 else 2**64 - 1)
+    def narrow(self, raw, begins, sizes):
+        if self.key not in keys:
+            keys.append(self.key)
+        return whole(self, raw, begins, sizes) & np.uint64(7 if keys.index(self.key) < 3 else 2**64 - 1)
 
-    monkeypatch.setattr(common, "hash_spans", narrow)
+    monkeypatch.setattr(common.RunPool, "_hashes", narrow)
     path = public_tokenizers.path("word_bpe_49k.json")
     lib, own = Tokenizer.from_file(path), token_planes.ChunkTokenizer(path)
     texts = [" ".join(f"w{i * j}" for j in range(9)) for i in range(40)]
@@ -261,6 +261,29 @@ def test_pool_survives_equal_hashes(monkeypatch):
     assert len(keys) >= 4
 
 
+def test_pool_confirms_every_byte():
+    """Runs of every size about the words that they are compared by, with zero bytes at their ends; tables that grow."""
+    from deltaloom.llm import common
+
+    rnd = random.Random(8)
+    runs = [b"".join(rnd.choice([b"a", b"b", b"\x00"]) for _ in range(n)) for n in [*range(1, 60)] * 40]
+    runs += [r + b"\x00" for r in runs[:200]] + [b"%d" % i for i in range(60_000)] + [b"z" * 5000, b"z" * 4999 + b"y"]
+    pool, seen = common.RunPool(1 << 20), {}
+
+    def learn(text, sizes):
+        raw, ends = text.tobytes(), np.cumsum(sizes)
+        got = [seen.setdefault(raw[e - n : e], len(seen)) for e, n in zip(ends, sizes)]
+        yield np.arange(len(sizes)), np.array(got, np.uint32), np.ones(len(sizes), np.int64)
+
+    for _ in range(3):
+        rnd.shuffle(runs)
+        for lot in (runs[:999], runs[999:]):
+            sizes = np.array([len(r) for r in lot])
+            ends = np.cumsum(sizes)
+            (got,) = pool.fill(np.frombuffer(b"".join(lot), np.uint8), ends - sizes, ends, np.array([len(lot)]), learn, [])
+            assert got.tolist() == [seen[r] for r in lot]
+
+
 def test_index_grows_with_the_benchmark():
     rnd = random.Random(3)
     words = [f"w{i}" for i in range(30_000)]
