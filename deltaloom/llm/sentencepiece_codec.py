@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import hashlib
 import heapq
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -99,7 +100,14 @@ class PieceCodec:
         self.apart = not any(p[1] == SPACE != p[0] for p in self.inside)
         self.pool, self.runs, self.check = RunPool(memo), {}, check
         self.names = list(map(str, range(len(self.pieces))))
+        #: What decoding shows of each id; a byte piece stands as a lone surrogate, which no piece
+        #: holds, and a control piece as another, since it ends a run of bytes.
         self.shown = [p.replace(SPACE, " ") for p in self.pieces]
+        for i, b in self.byte_of.items():
+            self.shown[i] = chr(0xDC00 + b)
+        for i in self.silent:
+            self.shown[i] = _MUTE
+        self.shown[self.unknown] = " ⁇ "
 
     def agenda(self, text: str) -> list[int]:
         """Ids of a run of symbols that no cut divides."""
@@ -196,29 +204,12 @@ class PieceCodec:
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids: pieces joined, byte pieces as UTF-8, the prefix space dropped."""
-        byte_of, shown = self.byte_of, self.shown
-        if byte_of.keys().isdisjoint(ids) and self.silent.isdisjoint(ids) and self.unknown not in ids:
-            text = "".join([shown[i] for i in ids])
-            return text[1:] if self.prefix and text[:1] == " " else text
-        out, run = [], bytearray()
-        first = True
-        for i in ids:
-            if i in byte_of:
-                run.append(byte_of[i])
-                continue
-            if run:
-                out.append(_from_bytes(run))
-                run, first = bytearray(), False
-            if i in self.silent:
-                continue
-            piece = " ⁇ " if i == self.unknown else shown[i]
-            if first and self.prefix and piece[:1] == " " and i != self.unknown:
-                piece = piece[1:]
-            first = False
-            out.append(piece)
-        if run:
-            out.append(_from_bytes(run))
-        return "".join(out)
+        shown = self.shown
+        text = "".join([shown[i] for i in ids])
+        mute = len(text) - len(text.lstrip(_MUTE))  # control pieces at its start
+        if self.prefix and text[mute : mute + 1] == " " and ids[mute] != self.unknown:
+            text = text[mute + 1 :]
+        return text if text.isascii() else _HIDDEN.sub(_from_hidden, text)
 
 
 def _model_pieces(model_file: str):
@@ -229,7 +220,17 @@ def _model_pieces(model_file: str):
                 yield got.get(3, NORMAL), got.get(1)
 
 
-def _from_bytes(run: bytearray) -> str:
+_MUTE = "\ud800"
+_HIDDEN = re.compile("[\udc00-\udcff]+|\ud800+")
+
+
+def _from_hidden(found: re.Match) -> str:
+    """The text of byte pieces that stand side by side; none for control pieces."""
+    run = found[0]
+    return "" if run[0] == _MUTE else _from_bytes(run.encode("utf-16-le", "surrogatepass")[::2])
+
+
+def _from_bytes(run: bytes) -> str:
     """Well-formed UTF-8 as text; each byte that isn't part of it as U+FFFD."""
     try:
         return run.decode()

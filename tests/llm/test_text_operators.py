@@ -284,6 +284,16 @@ def test_pool_confirms_every_byte():
             assert got.tolist() == [seen[r] for r in lot]
 
 
+def test_decoding_equals_the_library_on_any_ids():
+    """Byte pieces in any order, control and unknown pieces among them, spaces at the start."""
+    own = sentencepiece_codec.PieceCodec(public_tokenizers.path("piece_bpe_32k.model"))
+    rnd, n = random.Random(1), len(own.pieces)
+    kinds = [list(own.byte_ids.values()), [*own.silent, own.unknown], [own.ids["▁"]], range(n)]
+    for _ in range(5000):
+        ids = [rnd.choice(rnd.choice(kinds)) for _ in range(rnd.randrange(9))]
+        assert own.decode(ids) == own.library.decode(ids)
+
+
 def test_index_grows_with_the_benchmark():
     rnd = random.Random(3)
     words = [f"w{i}" for i in range(30_000)]
