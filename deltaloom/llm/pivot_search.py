@@ -6,20 +6,27 @@ these lower bounds caps the score, since 2<q,x> = |q|^2 + |x|^2 - d(q,x)^2. Cand
 evaluated exactly in the order of that cap until the cap falls below the k-th best score,
 or below the k-th best of the query's scores with the pivots, with which every block begins.
 
-Vectors are packed into blocks; each block of queries meets each block of candidates in an
-equi-join on the block's number, so no task holds more than two blocks.
+Blocks of queries are written once to files in the shared folder. A task holds as many
+candidates as ``HOLD`` allows, in blocks, and streams the queries' files past them; it carries
+each query's threshold from block to block and keeps only its best of all of them. No row of
+queries is copied for a block of candidates, so no exchange grows with their product.
 """
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, small_batches
+from .common import fresh_path, materialise, small_batches
+from .storage import open_input, publish
 
-BLOCK = "b long, ids binary, vectors binary, table binary, dim long"
+#: Bytes of 64-bit components that a task holds at a time.
+HOLD = 32 << 20
+_QUERIES = pa.schema([(c, pa.binary()) for c in ("ids", "vectors", "table", "floors")] + [("dim", pa.int64())])
 _LONG = (1 << 63) - 1
 
 
@@ -43,19 +50,17 @@ def dot(x: np.ndarray, q: np.ndarray) -> np.ndarray:
 
 
 def _rows(batch):
-    """(block number, ids, matrix) per block and vector length of a batch in order of blocks; unusable vectors left out."""
-    numbers, ids, lists = np.asarray(batch.column(0)), np.asarray(batch.column(1)), batch.column(2).cast(pa.list_(pa.float64()))
+    """(ids, matrix) per vector length of a batch; unusable vectors left out."""
+    ids, lists = np.asarray(batch.column(0)), batch.column(1).cast(pa.list_(pa.float64()))
     offsets = np.asarray(lists.offsets)
     sizes, starts = np.diff(offsets), offsets[:-1]
     values = np.asarray(lists.values.fill_null(np.nan))
-    cuts = np.flatnonzero(np.append(len(numbers) > 0, numbers[1:] != numbers[:-1]))
-    for lo, hi in zip(cuts, [*cuts[1:], len(numbers)]):
-        for dim in np.unique(sizes[lo:hi]):
-            at = lo + np.flatnonzero(sizes[lo:hi] == dim)
-            m = values[starts[at][:, None] + np.arange(dim)]
-            fine = np.isfinite(m).all(1)
-            if fine.any():
-                yield int(numbers[lo]), ids[at[fine]], m[fine]
+    for dim in np.unique(sizes):
+        at = np.flatnonzero(sizes == dim)
+        m = values[starts[at][:, None] + np.arange(dim)]
+        fine = np.isfinite(m).all(1)
+        if fine.any():
+            yield ids[at[fine]], m[fine]
 
 
 def distances(m: np.ndarray, pivots: np.ndarray) -> np.ndarray:
@@ -64,28 +69,22 @@ def distances(m: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     return np.stack([np.sqrt(((m - p) ** 2).sum(1)) for p in pivots], 1).astype(np.float32)
 
 
-def _pack(batches, pivots: dict[int, tuple[np.ndarray, np.ndarray]], scale: float, block: int):
-    """Blocks of at most ``block`` vectors of one length; a number that has more gives several."""
+def _holds(batches, scale: float):
+    """{length: (ids, scaled vectors)} of rows in turn, each of about ``HOLD`` bytes in all."""
     held: dict[int, list] = {}
-    now = None
-
-    def out(dim):
-        ids, m = (np.concatenate(c) for c in zip(*held.pop(dim)))
-        return pa.RecordBatch.from_pylist([{"b": now, "ids": ids.astype(np.int64).tobytes(), "vectors": m.tobytes(), "table": distances(m, pivots[dim][1]).tobytes(), "dim": int(dim)}])
-
+    size = 0
+    together = lambda: {dim: tuple(np.concatenate(c) for c in zip(*own)) for dim, own in held.items()}
     for batch in batches:
-        for number, ids, vectors in _rows(batch):
-            if number != now:
-                for dim in list(held):
-                    yield out(dim)
-                now = number
+        for ids, vectors in _rows(batch):
             m = quantise(vectors, scale)
-            for at in range(0, len(ids), block):
-                held.setdefault(m.shape[1], []).append((ids[at : at + block], m[at : at + block]))
-                if sum(len(p[0]) for p in held[m.shape[1]]) >= block:
-                    yield out(m.shape[1])
-    for dim in list(held):
-        yield out(dim)
+            held.setdefault(m.shape[1], []).append((ids.astype(np.int64), m))
+            size += m.nbytes
+        if size >= HOLD:
+            yield together()
+            held.clear()
+            size = 0
+    if held:
+        yield together()
 
 
 def search_block(q_ids, q, q_table, x_ids, x, x_table, k: int, floors=None):
@@ -144,6 +143,18 @@ def floors_of(q_ids: np.ndarray, q: np.ndarray, pivot_ids: np.ndarray, pivots: n
     return out
 
 
+def best_of(query: np.ndarray, ids: np.ndarray, s: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
+    """Each query's k best distinct ids, an id with its best score: (query, id, score, rank from 0), in order."""
+    order = np.lexsort((ids, -s, query))
+    query, ids, s = query[order], ids[order], s[order]
+    by = np.lexsort((ids, query))  # stable: an id's best score stays first
+    first = np.ones(len(ids), bool)
+    first[by[1:]] = (query[by[1:]] != query[by[:-1]]) | (ids[by[1:]] != ids[by[:-1]])
+    query, ids, s = query[first], ids[first], s[first]
+    rank = np.arange(len(query)) - np.searchsorted(query, query)
+    return tuple(c[rank < k] for c in (query, ids, s, rank))
+
+
 def far_apart(ids: np.ndarray, m: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """n rows, each the farthest from those taken before it."""
     picked = [0]
@@ -174,36 +185,60 @@ def top_k(vectors: DataFrame, k: int = 5, query_modulus: int = 50, scale: float
     rank = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy("h", "id"))
     share = few.select("id", "v", F.size("v").alias("dim"), F.xxhash64("id").alias("h"), F.spark_partition_id().alias("s")).withColumn("r", rank("dim", "s")).where(F.col("r") <= 8 * pivots)
     picked = share.withColumn("r", rank("dim")).where(F.col("r") <= 8 * pivots).select("dim", "id", "v").collect()
-    table: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    table: dict[int, tuple[np.ndarray, ...]] = {}  # ids and vectors of the pivots, then of all picked
     for dim in {r.dim for r in picked}:
         own = sorted((r for r in picked if r.dim == dim), key=lambda r: r.id)
-        table[dim] = far_apart(np.array([r.id for r in own], np.int64), quantise(np.array([r.v for r in own]), scale), pivots)
+        ids, m = np.array([r.id for r in own], np.int64), quantise(np.array([r.v for r in own]), scale)
+        table[dim] = (*far_apart(ids, m, pivots), ids, m)
 
     once = materialise(few.dropDuplicates(["id", "v"]), "vectors")
-    asking = F.col("id") % query_modulus == 0
-    n, n_asking = once.agg(F.count("*"), F.coalesce(F.sum(asking.cast("long")), F.lit(0))).first()
-    blocks, q_blocks = max(1, -(-n // block)), max(1, -(-n_asking // max(1, block // 4)))
-
-    def packed(frame: DataFrame, number: int, size: int) -> DataFrame:
-        """Vectors dealt over so many numbered blocks by a hash."""
-        dealt = frame.select(F.pmod(F.xxhash64("id", "v"), F.lit(number)).alias("b"), "id", "v").repartition("b").sortWithinPartitions("b")
-        return dealt.mapInArrow(lambda batches: _pack(batches, table, scale, size), BLOCK)
-
-    x = packed(once, blocks, block).select("b", *[F.col(c).alias(f"x_{c}") for c in ("ids", "vectors", "table", "dim")])
-    q = packed(once.where(asking), q_blocks, max(1, block // 4)).drop("b").withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-    pairs = x.join(q, "b").where("dim = x_dim").select("x_ids", "x_vectors", "x_table", "ids", "vectors", "table", "dim")
+    asking = once.where(F.col("id") % query_modulus == 0)
+    some, folder = max(1, block // 4), fresh_path(once.sparkSession, "queries")
+
+    def store(batches):
+        """Writes blocks of queries, with their distances and the scores that they reach, to one file."""
+        file = None
+        for held in _holds(batches, scale):
+            for dim, (ids, m) in held.items():
+                for at in range(0, len(ids), some):
+                    if file is None:
+                        file = publish(folder, f"part-{uuid.uuid4().hex}.arrow")
+                        out = file.open()
+                        writer = pa.ipc.new_stream(out, _QUERIES)
+                    q_ids, q = ids[at : at + some], m[at : at + some]
+                    row = (q_ids, q, distances(q, table[dim][1]), floors_of(q_ids, q, *table[dim][2:], k))
+                    writer.write_batch(pa.RecordBatch.from_arrays([*[pa.array([c.tobytes()], pa.binary()) for c in row], pa.array([dim], pa.int64())], schema=_QUERIES))
+        if file:
+            writer.close()
+            out.close()
+            yield pa.RecordBatch.from_pylist([{"path": file.done()}])
+
+    paths = [r.path for r in asking.repartition(max(1, -(-asking.count() // (8 * some)))).mapInArrow(store, "path string").collect()]
 
     def search(batches):
-        for b in batches:
-            for i in range(b.num_rows):
-                dim = b.column(6)[i].as_py()
-                x_ids, xs, xt, q_ids, qs, qt = (np.frombuffer(b.column(c)[i].as_buffer(), t) for c, t in enumerate((np.int64, np.int64, np.float32) * 2))
-                qs, qt = qs.reshape(-1, dim), qt.reshape(len(q_ids), -1)
-                (query, found, s), work = search_block(q_ids, qs, qt, x_ids, xs.reshape(-1, dim), xt.reshape(len(x_ids), -1), k, floors_of(q_ids, qs, *table[dim], k))
-                done = np.flatnonzero(work) if with_work else work[:0]
-                yield pa.RecordBatch.from_arrays([pa.array(np.append(query, q_ids[done])), pa.array(found.tolist() + [None] * len(done), pa.int64()), pa.array(s.tolist() + work[done].tolist(), pa.int64())], names=["query_id", "vec_id", "score"])
-
-    got = pairs.mapInArrow(search, "query_id long, vec_id long, score long")
+        for held in _holds(batches, scale):
+            blocks = {dim: [(ids[at : at + block], m[at : at + block], distances(m[at : at + block], table[dim][1])) for at in range(0, len(ids), block)] for dim, (ids, m) in held.items()}
+            for path in paths:
+                with open_input(path) as f, pa.ipc.open_stream(f) as stream:
+                    for b in stream:
+                        dim = b.column(4)[0].as_py()
+                        if dim not in blocks:
+                            continue
+                        q_ids, qs, qt, floors = (np.frombuffer(b.column(c)[0].as_buffer(), t) for c, t in enumerate((np.int64, np.int64, np.float32, np.float64)))
+                        qs, qt, floors = qs.reshape(-1, dim), qt.reshape(len(q_ids), -1), floors.copy()
+                        best, work = [np.zeros(0, np.int64)] * 3, np.zeros(len(q_ids), np.int64)
+                        for x_ids, x, xt in blocks[dim]:
+                            found, did = search_block(q_ids, qs, qt, x_ids, x, xt, k, floors)
+                            *best, rank = best_of(*[np.concatenate(c) for c in zip(best, found)], k)
+                            work += did
+                            full, kth = best[0][rank == k - 1], best[2][rank == k - 1]
+                            if len(full):
+                                at = np.minimum(np.searchsorted(full, q_ids), len(full) - 1)
+                                floors = np.where(full[at] == q_ids, np.maximum(floors, kth[at]), floors)
+                        done = np.flatnonzero(work) if with_work else work[:0]
+                        yield pa.RecordBatch.from_arrays([pa.array(np.append(best[0], q_ids[done])), pa.array(best[1].tolist() + [None] * len(done), pa.int64()), pa.array(best[2].tolist() + work[done].tolist(), pa.int64())], names=["query_id", "vec_id", "score"])
+
+    got = once.mapInArrow(search, "query_id long, vec_id long, score long")
     if with_work:
         got = materialise(got, "found")
     found = got.where("vec_id is not null").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))

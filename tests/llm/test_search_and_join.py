@@ -5,6 +5,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from oracle import compare
 
@@ -193,6 +194,24 @@ def test_top_k_says_what_it_evaluated(spark):
     assert 0 < share < 1
 
 
+def test_top_k_copies_no_queries(spark):
+    """Blocks of queries aren't rows of an exchange, copied for each block of candidates."""
+    rnd = np.random.default_rng(6)
+    rows = [(i, v.tolist()) for i, v in enumerate(rnd.normal(size=(600, 4)))]
+    got = pivot_search.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), query_modulus=3, block=8, pivots=4)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "Join" not in plan
+    assert {(r.query_id, r.rank, r.vec_id, r.score) for r in got.collect()} == brute_top(rows, modulus=3)
+
+
+def test_holds_are_bounded(monkeypatch):
+    monkeypatch.setattr(pivot_search, "HOLD", 8 * 40)
+    batches = [pa.RecordBatch.from_arrays([pa.array([j, j + 100]), pa.array([[0.5, 1.0], [1.0] * (1 + j % 2)])], names=["id", "v"]) for j in range(30)]
+    holds = list(pivot_search._holds(batches, 256.0))
+    assert max(sum(m.size for _, m in h.values()) for h in holds) < 44 and len(holds) > 2
+    assert sorted(i for h in holds for ids, _ in h.values() for i in ids.tolist()) == sorted([*range(30), *range(100, 130)])
+
+
 def test_bounds_spare_most_evaluations():
     rnd = np.random.default_rng(5)
     centres = rnd.normal(size=(12, 16)) * 900
