@@ -1,6 +1,7 @@
 """Top-k search and the n-gram join against brute force; components."""
 
 import math
+import os
 import random
 import re
 
@@ -144,6 +145,22 @@ def brute_top(rows, k=5, modulus=50, scale=256):
     return out
 
 
+@pytest.mark.parametrize("repeat", [1, 2])
+def test_join_leaves_no_spent_steps(spark, repeat):
+    """Steps that hold shingles are deleted once spent; rows that repeat an id change nothing but their number."""
+    rnd = random.Random(12)
+    words = [f"w{i}" for i in range(400)]
+    texts = [" ".join(t) for _ in range(20) for t in [[rnd.choice(words) for _ in range(80)]] for t in (t, [*t[:40], "other", *t[40:]], [*t[:78], "x", "y"])]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] * repeat, "doc_id long, text string")
+    folder = spark.conf.get("spark.checkpoint.dir")
+    before = set(os.listdir(folder))
+    got = ngram_join.link_components(df, block=2).collect()
+    sizes, least = brute_links(texts)
+    assert sorted(tuple(r) for r in got) == sorted((i, sizes[i], least[i]) for i in range(len(texts)) for _ in range(repeat))
+    left = {name.rsplit("-", 1)[0] for name in set(os.listdir(folder)) - before}
+    assert "described" in left and not left & {"sets", "shared", "members", "large", "labelled", "leads", "stars"}
+
+
 @pytest.mark.parametrize("block", [2048, 8])
 def test_top_k_equals_brute_force(spark, block):
     rnd = random.Random(8)
@@ -229,3 +246,18 @@ def test_bounds_spare_most_evaluations():
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_query_equals_sql(spark, name):
     compare(spark, name, queries.QUERIES[name], queries.ORACLES[name], "/root/testdata/sf0.01")
+
+
+def test_members_are_sent_in_turns(spark):
+    """Chains of near copies in blocks of two: nearly all members go to several blocks, in many exchanges."""
+    rnd = random.Random(13)
+    words = [rnd.choice([f"w{i}" for i in range(300)]) for _ in range(60)]
+    texts = []
+    for i in range(40):
+        texts.append(" ".join(words))
+        words = [*words[2 + i % 3 :], *[f"n{i}-{j}" for j in range(2 + i % 3)]]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sizes, least = brute_links(texts)
+    for turn in (1, 64 << 20):
+        got = ngram_join.link_components(df, block=2, turn_bytes=turn).collect()
+        assert sorted(tuple(r) for r in got) == [(i, sizes[i], least[i]) for i in range(len(texts))]
