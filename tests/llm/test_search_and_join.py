@@ -261,3 +261,27 @@ def test_members_are_sent_in_turns(spark):
     for turn in (1, 64 << 20):
         got = ngram_join.link_components(df, block=2, turn_bytes=turn).collect()
         assert sorted(tuple(r) for r in got) == [(i, sizes[i], least[i]) for i in range(len(texts))]
+
+
+def test_members_that_cannot_link_meet_no_blocks(spark, monkeypatch):
+    """Near copies, half of which share enough with others to go on but too little to link with any."""
+    rnd = random.Random(14)
+    base, texts = [f"w{i}" for i in range(104)], []
+    for i in range(80):
+        words = base.copy()
+        for at in rnd.sample(range(8, 96, 8), 1 if i % 2 else 4):
+            words[at] = f"other{i}-{at}"
+        texts.append(" ".join(words))
+    met, write = [], ngram_join.materialise
+
+    def counted(df, name):
+        out = write(df, name)
+        if name == "meets":
+            met.append(out.count())
+        return out
+
+    monkeypatch.setattr(ngram_join, "materialise", counted)
+    got = ngram_join.link_components(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), block=4).collect()
+    sizes, least = brute_links(texts)
+    assert sorted(tuple(r) for r in got) == [(i, sizes[i], least[i]) for i in range(len(texts))]
+    assert len(set(least)) > 40 and met and met[0] < len(texts)
