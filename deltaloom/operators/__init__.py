@@ -4,8 +4,8 @@ from .aggregate import aggregate, fold
 from .extend import ExtendAnti, ExtendWith, FilterAnti, Leaper, extend_into
 from .index import SecondaryIndex
 from .iteration import Iteration
-from .joins import join_anti, join_helper, join_into, semi_join
+from .joins import anti_join, join_anti, join_helper, join_into, semi_join
 from .relation import Relation
 from .variable import Variable
 
-__all__ = ["ExtendAnti", "ExtendWith", "FilterAnti", "Iteration", "Leaper", "Relation", "SecondaryIndex", "Variable", "aggregate", "extend_into", "fold", "join_anti", "join_helper", "join_into", "semi_join"]
+__all__ = ["ExtendAnti", "ExtendWith", "FilterAnti", "Iteration", "Leaper", "Relation", "SecondaryIndex", "Variable", "aggregate", "anti_join", "extend_into", "fold", "join_anti", "join_helper", "join_into", "semi_join"]
