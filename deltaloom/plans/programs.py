@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..engine import Engine
-from ..operators import ExtendAnti, ExtendWith, Iteration, Relation, Variable, aggregate, extend_into, join_anti, join_helper, join_into, semi_join
+from ..operators import ExtendAnti, ExtendWith, Iteration, Relation, Variable, aggregate, anti_join, extend_into, join_anti, join_helper, join_into, semi_join
 from .closure import reachable_from, transitive_closure
 
 
@@ -75,12 +75,16 @@ def taint(engine: Engine, source: Relation, flow: Relation, sanitised: Relation,
 
 def ontology(engine: Engine, is_a: Relation, has: Relation, targets: Relation, associated: Relation) -> dict[str, Relation]:
     """Closure of is_a (a, b); traits has (a, s) inherited from b; treats (d, a) by targets
-    (d, p) and associated (p, a); effects (d, s) of what a drug treats."""
-    closure = transitive_closure(engine, is_a).stored()
+    (d, p) and associated (p, a); effects (d, s) of what a drug treats.
+
+    Effects are found by way of (p, s): what a drug treats is only made if it is asked for.
+    """
+    closure = transitive_closure(engine, is_a)
     inherited = join_helper(closure, has, {"b": "a"}, ["l.a AS a", "r.s AS s"])
-    traits = has.merge(inherited).stored()
-    treats = join_helper(targets, associated, "p", ["l.d AS d", "r.a AS a"]).stored()
-    return {"is_a": closure, "has": traits, "treats": treats, "effect": join_helper(treats, traits, "a", ["l.d AS d", "r.s AS s"])}
+    traits = has.merge(inherited)
+    treats = join_helper(targets, associated, "p", ["l.d AS d", "r.a AS a"])
+    through = join_helper(associated, traits, "a", ["l.p AS p", "r.s AS s"]).stored()
+    return {"is_a": closure, "has": traits, "treats": treats, "effect": join_helper(targets, through, "p", ["l.d AS d", "r.s AS s"])}
 
 
 def reachability(engine: Engine, link: Relation, blocked: Relation) -> dict[str, Relation]:
