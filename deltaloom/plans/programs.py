@@ -38,12 +38,14 @@ def _minus(left: Relation, right: Relation, on) -> Relation:
 def access_control(engine: Engine, user_role: Relation, role_parent: Relation, role_perm: Relation, denied: Relation) -> dict[str, Relation]:
     """Roles (u, r) inherited along (c, p), permissions by (r, p), less denied (u, p).
 
-    The hierarchy is closed by itself, so users' roles are joined once and never go through
-    the rounds.
+    The hierarchy is closed by itself, and permissions go down to each role, so that users are
+    joined once with what their own roles permit; the roles they inherit are only made if these
+    are asked for.
     """
     above = transitive_closure(engine, role_parent)
-    has = user_role.merge(join_helper(user_role, above, {"r": "a"}, ["l.u AS u", "r.b AS r"])).stored()
-    access = join_helper(has, role_perm, {"r": "r"}, ["l.u AS u", "r.p AS p"]).stored()
+    has = user_role.merge(join_helper(user_role, above, {"r": "a"}, ["l.u AS u", "r.b AS r"]))
+    granted = role_perm.merge(join_helper(above, role_perm, {"b": "r"}, ["l.a AS r", "r.p AS p"])).stored()
+    access = join_helper(user_role, granted, "r", ["l.u AS u", "r.p AS p"]).stored()
     return {"has_role": has, "can_access": access, "effective": _minus(access, denied, ["u", "p"])}
 
 
