@@ -9,30 +9,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..engine import Engine
-from ..operators import ExtendAnti, ExtendWith, Iteration, Relation, Variable, aggregate, anti_join, extend_into, join_anti, join_helper, join_into, semi_join
+from ..operators import ExtendAnti, ExtendWith, Iteration, Relation, aggregate, anti_join, extend_into, join_helper, semi_join
 from .closure import reachable_from, transitive_closure
 
 
-def _finished(relation: Relation) -> Variable:
-    """A variable whose tuples are all recent: input of one step outside a loop."""
-    out = Variable(relation.engine, relation.schema)
-    out.insert(relation)
-    out.changed()
-    return out
-
-
-def _settled(relation: Relation) -> Variable:
-    """A variable whose tuples are all stable: the fixed side of a rule."""
-    out = _finished(relation)
-    out.changed()
-    return out
-
-
 def _minus(left: Relation, right: Relation, on) -> Relation:
-    """Tuples of left without a partner in right, as a stratum of its own."""
-    out = Variable(left.engine, left.schema)
-    join_anti(_finished(left), _settled(right), on, None, out)
-    return out.complete()
+    """Tuples of left without a partner in right, both finished; what is left needs no comparison."""
+    return anti_join(left, right, on)
 
 
 def access_control(engine: Engine, user_role: Relation, role_parent: Relation, role_perm: Relation, denied: Relation) -> dict[str, Relation]:
@@ -91,7 +74,7 @@ def ontology(engine: Engine, is_a: Relation, has: Relation, targets: Relation, a
 
 def reachability(engine: Engine, link: Relation, blocked: Relation) -> dict[str, Relation]:
     """Closure of link (a, b), and what of it is not blocked (a, b)."""
-    reach = transitive_closure(engine, link).stored()
+    reach = transitive_closure(engine, link)
     return {"reachable": reach, "allowed": _minus(reach, blocked, ["a", "b"])}
 
 
@@ -100,7 +83,7 @@ def dependencies(engine: Engine, direct: Relation, size: Relation) -> dict[str,
 
     As relations are sets, two packages of one size count once among a package's sizes.
     """
-    needs = transitive_closure(engine, direct).stored()
+    needs = transitive_closure(engine, direct)
     sizes = join_helper(needs, size, {"b": "a"}, ["l.a AS a", "r.n AS n"])
     needed = aggregate(sizes, "a", n="sum(n)")
     own = size.df.alias("s").join(needed.df.alias("t"), F.expr("s.a = t.a"), "left").select("s.a", (F.col("s.n") + F.coalesce("t.n", F.lit(0))).alias("n"))
